@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from signalweave.deploy import ship
-from signalweave.llm import chunk_bpe, extendible, wavelet
+from signalweave.llm import chunk_bpe, ecoc_lang, entropy_mix, extendible, mcd_rules, pu_quality, spotsigs, wavelet
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +33,38 @@ def op4_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.encode_texts(_documents(spark, sf_dir), texts=False)
 
 
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    fold = F.pmod(ecoc_lang.crc_of_id(F.col("doc_id")), F.lit(3))
+    model = pu_quality.train(docs, labels, learn=fold != 1)
+    scored = pu_quality.score(docs, model)
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
+
+
+def op6_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.with_next(_documents(spark, sf_dir))
+
+
+def op7_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    fold = F.pmod(ecoc_lang.crc_of_id(F.col("doc_id")), F.lit(5))
+    model = ecoc_lang.train(docs.where(fold != 0))
+    found = ecoc_lang.predict(docs, model)
+    return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op8_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = entropy_mix.mix(_documents(spark, sf_dir))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
+
+
+def op9_mcd_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mcd_rules.quality_rules(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_wavelet_token_shards, op3_extendible_sharding, op4_chunk_bpe]
+    found = [op2_wavelet_token_shards, op3_extendible_sharding, op4_chunk_bpe, op5_pu_quality, op6_spotsigs_fingerprints, op7_ecoc_language, op8_entropy_mixing, op9_mcd_quality_rules]
     return {f.__name__: f for f in found}
 
 
