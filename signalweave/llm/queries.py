@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalweave.deploy import ship
-from signalweave.llm import chunk_bpe, ecoc_lang, entropy_mix, extendible, mcd_rules, pu_quality, spotsigs, wavelet
+from signalweave.llm import chunk_bpe, ecoc_lang, entropy_mix, extendible, mcd_rules, ngram_join, pu_quality, spotsigs, superkmer, wavelet
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(_documents(spark, sf_dir), n=4, percent=85)
+
+
 def op2_wavelet_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = wavelet.write_token_shards(_documents(spark, sf_dir))
     return wavelet.read_token_shards(spark, path, tokens=False)
@@ -63,10 +67,18 @@ def op9_mcd_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mcd_rules.quality_rules(_documents(spark, sf_dir))
 
 
+def op10_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmer.remove_repeats(_documents(spark, sf_dir), texts=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_wavelet_token_shards, op3_extendible_sharding, op4_chunk_bpe, op5_pu_quality, op6_spotsigs_fingerprints, op7_ecoc_language, op8_entropy_mixing, op9_mcd_quality_rules]
+    found = [op1_ngram_jaccard_join, op2_wavelet_token_shards, op3_extendible_sharding, op4_chunk_bpe, op5_pu_quality, op6_spotsigs_fingerprints, op7_ecoc_language, op8_entropy_mixing, op9_mcd_quality_rules, op10_superkmer_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_extendible_sharding": extendible.ORACLE.format(limit=SHARD_BYTES)}
+    return {
+        "op1_ngram_jaccard_join": ngram_join.ORACLE.format(n=4, percent=85),
+        "op3_extendible_sharding": extendible.ORACLE.format(limit=SHARD_BYTES),
+        "op10_superkmer_dedup": superkmer.ORACLE.format(k=superkmer.K),
+    }
