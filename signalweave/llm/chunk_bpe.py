@@ -134,16 +134,17 @@ def _encoder(path: str) -> ChunkEncoder:
     return _made[path]
 
 
-def encode_texts(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), texts: bool = True) -> DataFrame:
-    """``keep`` columns, n_tokens, ids_sha256, decoded_sha256 and, with ``texts``, ids (array) and decoded (string).
+def encode_texts(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), texts: bool = True, decoded: bool = True) -> DataFrame:
+    """``keep`` columns, n_tokens, ids_sha256, decoded_sha256 and, with ``texts``, ids (array) and, with ``decoded`` too, decoded (string).
 
     One pass over the rows, no shuffle.
     """
     path = path or tokenizer_path()
     cols = [docs[c] for c in keep]
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    extra = ", ids array<int>, decoded string" if texts else ""
-    names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if texts else [])]
+    decoded = texts and decoded
+    extra = (", ids array<int>" if texts else "") + (", decoded string" if decoded else "")
+    names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * texts, *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(path)
@@ -153,17 +154,20 @@ def encode_texts(docs: DataFrame, path: str | None = None, keep: tuple[str, ...]
                 for raw in raws:
                     ends = chunk_ends(np.frombuffer(raw, np.uint8)).tolist()
                     runs = coder.encode(raw, ends)
-                    shown, decoded = b" ".join([x[1] for x in runs]), b" ".join([x[2] for x in runs])
+                    shown, text = b" ".join([x[1] for x in runs]), b" ".join([x[2] for x in runs])
                     counts.append(sum(x[0] for x in runs))
                     idsums.append(hashlib.sha256(shown).hexdigest())
-                    textsums.append(hashlib.sha256(decoded).hexdigest())
+                    textsums.append(hashlib.sha256(text).hexdigest())
                     if texts:
-                        all_ids.append([int(x) for x in shown.split()])
-                        all_texts.append(decoded.decode())
+                        all_ids.append(np.fromstring(shown, np.int32, sep=" "))
+                    if decoded:
+                        all_texts.append(text.decode())
                 arrays = [part.column(i) for i in range(len(keep))]
                 arrays += [pa.array(counts, pa.int64()), pa.array(idsums, pa.string()), pa.array(textsums, pa.string())]
                 if texts:
-                    arrays += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_texts, pa.string())]
+                    arrays.append(pa.array(all_ids, pa.list_(pa.int32())))
+                if decoded:
+                    arrays.append(pa.array(all_texts, pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return docs.select(*cols, docs["text"]).mapInArrow(run, f"{types}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")

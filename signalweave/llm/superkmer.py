@@ -80,18 +80,18 @@ def _minimisers(docs: DataFrame, k: int, m: int) -> DataFrame:
 
 
 def _packed(wanted: DataFrame, k: int, m: int) -> DataFrame:
-    """Super-k-mers of the wanted minimisers: (mini, sub, split, doc_key, row_hash, start, words).
+    """Super-k-mers of the wanted minimisers: (mini, sub, doc_key, row, start, words).
 
-    ``wanted``: doc_key, text, minis (array of mini and number of sub-buckets).
+    ``wanted``: doc_key, text, minis (array of mini and number of sub-buckets), row (hash of the text).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
             for part, raws in slices(batch):
-                rows = ([], [], [], [], [])
+                rows = ([], [], [], [], [], [])
                 for i, raw in enumerate(raws):
-                    key = part.column(0)[i].as_py()
+                    key, row = part.column(0)[i].as_py(), part.column(3)[i].as_py()
                     subs = {x["mini"]: x["subs"] for x in part.column(2)[i].as_py()}
                     words = raw.split()
                     mini, first, count = super_kmers(hash_words(words, memory), k, m)
@@ -101,32 +101,33 @@ def _packed(wanted: DataFrame, k: int, m: int) -> DataFrame:
                             rows[0].append(mi)
                             rows[1].append((hash((key, 7)) % n) if n > 1 else -1)
                             rows[2].append(key)
-                            rows[3].append(f)
-                            rows[4].append(b" ".join(words[f : f + c + k - 1]))
+                            rows[3].append(row)
+                            rows[4].append(f)
+                            rows[5].append(b" ".join(words[f : f + c + k - 1]))
                     if len(rows[0]) > 20_000:
                         yield _batch(rows)
-                        rows = ([], [], [], [], [])
+                        rows = ([], [], [], [], [], [])
                 if rows[0]:
                     yield _batch(rows)
 
     def _batch(rows: tuple) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], names=["mini", "sub", "doc_key", "start", "words"])
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], names=["mini", "sub", "doc_key", "row", "start", "words"])
 
-    return wanted.select("doc_key", "text", "minis").mapInArrow(run, "mini bigint, sub int, doc_key bigint, start int, words binary")
+    return wanted.select("doc_key", "text", "minis", "row").mapInArrow(run, "mini bigint, sub int, doc_key bigint, row bigint, start int, words binary")
 
 
 def _settle(packed: DataFrame, k: int) -> DataFrame:
-    """Windows of each bucket, sorted: (open, doc_key, first, last, h1, h2).
+    """Windows of each bucket, sorted: (open, doc_key, row, first, last, h1, h2).
 
     open = false: windows first..last of doc_key start in a smaller document.
     open = true: a single window (h1, h2) of a split bucket that is the
     smallest of its sub-bucket.
     """
-    schema = "open boolean, doc_key bigint, first int, last int, h1 bigint, h2 bigint"
-    names = ["open", "doc_key", "first", "last", "h1", "h2"]
+    schema = "open boolean, doc_key bigint, row bigint, first int, last int, h1 bigint, h2 bigint"
+    names = ["open", "doc_key", "row", "first", "last", "h1", "h2"]
 
-    def judge(sub: int, keys: list[int], starts: list[int], packs: list[bytes], memory: WordHashes) -> Iterator[pa.RecordBatch]:
+    def judge(sub: int, keys: list[int], texts: list[int], starts: list[int], packs: list[bytes], memory: WordHashes) -> Iterator[pa.RecordBatch]:
         a, b, sizes = [], [], []
         for raw in packs:
             one, two = window_hashes(hash_words(raw.split(b" "), memory), k)
@@ -134,54 +135,55 @@ def _settle(packed: DataFrame, k: int) -> DataFrame:
             b.append(two)
             sizes.append(len(one))
         h1, h2 = np.concatenate(a), np.concatenate(b)
-        doc = np.repeat(np.array(keys, np.int64), sizes)
+        doc, row = np.repeat(np.array(keys, np.int64), sizes), np.repeat(np.array(texts, np.int64), sizes)
         pos = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, sizes, strict=True)])
         order = np.lexsort((pos, doc, h2, h1))
-        h1, h2, doc, pos = h1[order], h2[order], doc[order], pos[order]
+        h1, h2, doc, row, pos = h1[order], h2[order], doc[order], row[order], pos[order]
         new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
         least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         again = doc > least
         if again.any():
-            yield ranges(doc[again], pos[again])
+            yield ranges(doc[again], row[again], pos[again])
         if sub >= 0 and not again.all():
             rest = ~again
             n = int(rest.sum())
             p = pa.array(pos[rest].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), pa.array(doc[rest]), p, p, pa.array(signed(h1[rest])), pa.array(signed(h2[rest]))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), pa.array(doc[rest]), pa.array(row[rest]), p, p, pa.array(signed(h1[rest])), pa.array(signed(h2[rest]))], names=names)
 
-    def ranges(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((pos, doc))
-        doc, pos = doc[order], pos[order]
-        cut = np.concatenate([[True], (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + 1)])
+    def ranges(doc: np.ndarray, row: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((pos, row, doc))
+        doc, row, pos = doc[order], row[order], pos[order]
+        cut = np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (pos[1:] > pos[:-1] + 1)])
         at = np.flatnonzero(cut)
         end = np.append(at[1:], len(doc)) - 1
         n = len(at)
         none = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, bool)), pa.array(doc[at]), pa.array(pos[at].astype(np.int32)), pa.array(pos[end].astype(np.int32)), none, none], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, bool)), pa.array(doc[at]), pa.array(row[at]), pa.array(pos[at].astype(np.int32)), pa.array(pos[end].astype(np.int32)), none, none], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
-        now, keys, starts, packs = None, [], [], []
+        now, keys, texts, starts, packs = None, [], [], [], []
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(5)]
-            for mini, sub, key, start, words in zip(*cols, strict=True):
+            cols = [batch.column(i).to_pylist() for i in range(6)]
+            for mini, sub, key, text, start, words in zip(*cols, strict=True):
                 if (mini, sub) != now:
                     if packs and (len(packs) > 1 or now[1] >= 0):
-                        yield from judge(now[1], keys, starts, packs, memory)
-                    now, keys, starts, packs = (mini, sub), [], [], []
+                        yield from judge(now[1], keys, texts, starts, packs, memory)
+                    now, keys, texts, starts, packs = (mini, sub), [], [], [], []
                 keys.append(key)
+                texts.append(text)
                 starts.append(start)
                 packs.append(words)
         if packs and (len(packs) > 1 or now[1] >= 0):
-            yield from judge(now[1], keys, starts, packs, memory)
+            yield from judge(now[1], keys, texts, starts, packs, memory)
 
     dealt = packed.repartition("mini", "sub").sortWithinPartitions("mini", "sub")
-    return dealt.select("mini", "sub", "doc_key", "start", "words").mapInArrow(run, schema)
+    return dealt.select("mini", "sub", "doc_key", "row", "start", "words").mapInArrow(run, schema)
 
 
 def repeated_windows(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """(doc_id, first, last): ranges of windows of a document that also start in a document with a smaller id."""
-    rows = docs.select(F.coalesce("doc_id", F.lit(LAST).cast("bigint")).alias("doc_key"), "text").where(F.col("text").isNotNull())
+    """(doc_key, row, first, last): ranges of windows of a document, named by id and hash of its text, that also start in a document with a smaller id."""
+    rows = docs.select(F.coalesce("doc_id", F.lit(LAST).cast("bigint")).alias("doc_key"), F.xxhash64("text").alias("row"), "text").where(F.col("text").isNotNull())
     minis = materialize(_minimisers(rows, k, m), "minimisers")
     counted = minis.groupBy("mini").agg(F.count(F.lit(1)).alias("n"), F.min("doc_key").alias("lo"), F.max("doc_key").alias("hi"))
     shared = materialize(counted.where(F.col("lo") < F.col("hi")).select("mini", F.ceil(F.col("n") / BUCKET).cast("int").alias("subs")), "shared")
@@ -192,19 +194,19 @@ def repeated_windows(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     packed = _packed(rows.join(of_docs, "doc_key"), k, m)
     settled = materialize(_settle(packed, k), "settled")
     discard(of_docs)
-    closed = settled.where(~F.col("open")).select("doc_key", "first", "last")
+    closed = settled.where(~F.col("open")).select("doc_key", "row", "first", "last")
     # What split buckets left open: at most one document a sub-bucket for each window.
     still = settled.where(F.col("open"))
     least = still.groupBy("h1", "h2").agg(F.min("doc_key").alias("least"), F.max("doc_key").alias("most")).where(F.col("least") < F.col("most"))
-    late = still.join(least, ["h1", "h2"]).where(F.col("doc_key") > F.col("least")).select("doc_key", "first", "last")
-    return closed.unionByName(late).select(F.when(F.col("doc_key") < LAST, F.col("doc_key")).alias("doc_id"), "doc_key", "first", "last")
+    late = still.join(least, ["h1", "h2"]).where(F.col("doc_key") > F.col("least")).select("doc_key", "row", "first", "last")
+    return closed.unionByName(late)
 
 
 def remove_repeats(docs: DataFrame, k: int = K, m: int = M, keep: tuple[str, ...] = ("doc_id",), texts: bool = True) -> DataFrame:
-    """``keep``, n_words, n_removed, kept_sha256 and, with ``texts``, the kept words joined by one space."""
-    found = materialize(repeated_windows(docs, k, m).groupBy("doc_key").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges")
-    keyed = docs.select(*keep, F.coalesce("doc_id", F.lit(LAST).cast("bigint")).alias("doc_key"), F.col("text").alias("_text"))
-    joined = keyed.join(found, "doc_key", "left").select(*keep, "_text", "ranges")
+    """``keep``, n_words, n_removed, kept_sha256 and, with ``texts``, kept: the kept words joined by one space, or the text itself where nothing repeats."""
+    found = materialize(repeated_windows(docs, k, m).groupBy("doc_key", "row").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges")
+    keyed = docs.select(*keep, F.coalesce("doc_id", F.lit(LAST).cast("bigint")).alias("doc_key"), F.xxhash64("text").alias("row"), F.col("text").alias("_text"))
+    joined = keyed.join(found, ["doc_key", "row"], "left").select(*keep, "_text", "ranges")
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     at = len(keep)
 
@@ -212,7 +214,8 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, keep: tuple[str, ...
         for batch in batches:
             for part, raws in slices(batch, "_text"):
                 n_words, n_removed, sums, out = [], [], [], []
-                for raw, cuts in zip(raws, part.column(at + 1).to_pylist(), strict=True):
+                known = part.column(at).is_valid().to_pylist()
+                for raw, cuts, valid in zip(raws, part.column(at + 1).to_pylist(), known, strict=True):
                     words = raw.split()
                     n_words.append(len(words))
                     if cuts:
@@ -226,7 +229,7 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, keep: tuple[str, ...
                     kept = b" ".join(words)
                     sums.append(hashlib.sha256(kept).hexdigest())
                     if texts:
-                        out.append(kept.decode("utf-8", "replace"))
+                        out.append((kept if cuts else raw).decode("utf-8", "replace") if valid else None)
                 arrays = [*[part.column(i) for i in range(at)], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sums, pa.string())]
                 if texts:
                     arrays.append(pa.array(out, pa.string()))
