@@ -23,8 +23,8 @@ are still in different classes.  A large group of near copies costs a number of
 comparisons in proportion to its size.
 
 *Bitmaps.*  Before two sets are fetched, parities of their shingles over 1024
-positions bound the size of their difference from below; pairs beyond the bound
-are no links.
+positions, and for large sets over several positions a shingle, bound the size
+of their difference from below; pairs beyond the bound are no links.
 
 Classes are joined by minimum labels with pointer jumping, in tables on the
 shared folder.
@@ -47,12 +47,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalweave.llm.store import discard, materialize
-from signalweave.llm.text import WordHashes, gram_hashes, hash_words, mixed, signed, slices
+from signalweave.llm.text import WordHashes, gram_hashes, hash_words, signed, slices
 
 #: Buckets of the frequency sketch, as a power of two: a table of one byte each travels to the tasks.
-SKETCH_BITS = 19
+SKETCH_BITS = 21
 SKETCH_ROWS = 16
 BITMAP = 1024
+#: Sets above this size have a second bitmap of four to eight positions a shingle.
+WIDE_FROM = 256
 #: Entries of an index list that are skipped together.
 BLOCK = 64
 #: Prefix positions that give first-round neighbours.
@@ -84,6 +86,22 @@ def pair_overlap(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.n
     return -(-percent * (a + b) // (100 + percent))
 
 
+def parities(s: np.ndarray, width: int) -> bytes:
+    """Of each of ``width`` positions, whether an odd number of shingles falls on it; position 0 first."""
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Lower bound of the symmetric difference of two sets; the wider bitmap is folded to the narrower one's width."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _digest(s: np.ndarray) -> tuple[int, int]:
     d = xxhash.xxh3_128_digest(s.tobytes())
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
@@ -95,12 +113,12 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         sketch = np.zeros(1 << SKETCH_BITS, np.int32)
-        names = ["kind", "doc_id", "size", "f1", "f2", "key", "bitmap"]
+        names = ["kind", "doc_id", "size", "f1", "f2", "key", "bitmap", "wide"]
         shift = np.uint64(64 - SKETCH_BITS)
         known: set[tuple[int, int]] = set()
         for batch in batches:
             for part, raws in slices(batch):
-                size, f1, f2, keys, maps = [], [], [], [], []
+                size, f1, f2, keys, maps, wides, fresh = [], [], [], [], [], [], []
                 for raw in raws:
                     s = shingle_set(raw, n, memory)
                     d = _digest(s)
@@ -108,24 +126,25 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                         if len(known) >= 200_000:
                             known.clear()
                         known.add(d)
-                        np.add.at(sketch, (s >> shift).astype(np.int64), 1)
+                        fresh.append(s)
                     size.append(len(s))
                     f1.append(d[0])
                     f2.append(d[1])
-                    least = np.partition(mixed(s), KEY_HASHES - 1)[:KEY_HASHES] if len(s) > KEY_HASHES else s
-                    keys.append(int.from_bytes(xxhash.xxh3_64_digest(np.sort(least).tobytes()), "little", signed=True))
-                    odd = np.bincount((mixed(s) & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
-                    maps.append(np.packbits(odd.astype(bool)).tobytes())
+                    keys.append(int.from_bytes(xxhash.xxh3_64_digest(s[:KEY_HASHES].tobytes()), "little", signed=True))
+                    maps.append(parities(s, BITMAP))
+                    wides.append(parities(s, 4 << int(len(s)).bit_length()) if len(s) > WIDE_FROM else b"")
+                if fresh:
+                    sketch += np.bincount((np.concatenate(fresh) >> shift).astype(np.int64), minlength=len(sketch))
                 m = len(raws)
-                arrays = [pa.array(np.zeros(m, np.int32)), part.column(0), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.int64()), pa.array(maps, pa.binary())]
+                arrays = [pa.array(np.zeros(m, np.int32)), part.column(0), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.int64()), pa.array(maps, pa.binary()), pa.array(wides, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
         if sketch.any():
             pieces = [p.tobytes() for p in np.split(sketch, SKETCH_ROWS)]
             none = pa.nulls(SKETCH_ROWS, pa.int64())
-            arrays = [pa.array(np.ones(SKETCH_ROWS, np.int32)), pa.array(range(SKETCH_ROWS), pa.int64()), none, none, none, none, pa.array(pieces, pa.binary())]
+            arrays = [pa.array(np.ones(SKETCH_ROWS, np.int32)), pa.array(range(SKETCH_ROWS), pa.int64()), none, none, none, none, pa.array(pieces, pa.binary()), pa.nulls(SKETCH_ROWS, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id bigint, size bigint, f1 bigint, f2 bigint, key bigint, bitmap binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id bigint, size bigint, f1 bigint, f2 bigint, key bigint, bitmap binary, wide binary")
 
 
 def _frequency_classes(pieces: DataFrame) -> np.ndarray:
@@ -293,18 +312,25 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     need = F.floor((total * percent + (99 + percent)) / (100 + percent))
     joined = joined.where((F.least("size_a", "size_b") >= need)).withColumn("room", total - 2 * need)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pop = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            y = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            apart = pop[x ^ y].sum(axis=1, dtype=np.int64)
-            keep = apart <= batch.column(4).to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+            x = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            y = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2)], names=["a", "b", "room"]).filter(pa.array(keep))
+
+    def broad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True)
+            keep = [not x or not y or least_difference(x, y) <= room for room, x, y in maps]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select("a", "b", "map_a", "map_b", "room").mapInArrow(run, "a bigint, b bigint")
+    near = joined.select("a", "b", "room", "map_a", "map_b").mapInArrow(narrow, "a bigint, b bigint, room bigint")
+    side = sets.select("f1", "wide")
+    near = near.join(side.withColumnsRenamed({"f1": "a", "wide": "wide_a"}), "a").join(side.withColumnsRenamed({"f1": "b", "wide": "wide_b"}), "b")
+    return near.select("a", "b", "room", "wide_a", "wide_b").mapInArrow(broad, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -387,7 +413,7 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     rows = scanned.where(F.col("kind") == 0)
     classes = _frequency_classes(scanned.where(F.col("kind") == 1))
     # One representative of equal sets; the second half of the digest guards the first.
-    equal = rows.where(F.col("size") > 0).groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("key").alias("key"), F.first("bitmap").alias("bitmap"), F.count(F.lit(1)).alias("copies"))
+    equal = rows.where(F.col("size") > 0).groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("key").alias("key"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"), F.count(F.lit(1)).alias("copies"))
     sets = materialize(equal, "equal_sets")
     lists = materialize(_lists(_prefixes(docs, n, percent, classes)), "lists")
 

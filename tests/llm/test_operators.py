@@ -386,3 +386,14 @@ def test_rolling_helpers():
         assert len(g) == len(y) - n + 1
         assert (g[20 : 60 - n + 1] == g[60 : 100 - n + 1]).all()
         assert len(set(g[: 60 - n + 1].tolist())) == 60 - n + 1
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        pool = rng.integers(0, 2**64, 4000, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, int(rng.integers(1, 3000)))) for _ in range(2))
+        apart = len(np.setxor1d(a, b))
+        wide = [ngram_join.parities(x, 4 << len(x).bit_length()) for x in (a, b)]
+        assert ngram_join.least_difference(*wide) <= apart
+        assert ngram_join.least_difference(wide[0], wide[0]) == 0
