@@ -229,10 +229,11 @@ def _lists(prefixes: DataFrame) -> DataFrame:
     return prefixes.repartition("token").sortWithinPartitions("token", "f1").mapInArrow(run, "token bigint, f1 bigint, size int, pos int")
 
 
-def list_pairs(size: np.ndarray, pos: np.ndarray, label: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def list_pairs(size: np.ndarray, pos: np.ndarray, label: np.ndarray, percent: int, maps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of one list, sorted by size, whose sets may link and have different labels.
 
-    Blocks of the list are skipped by size and by the least position in them.
+    Blocks of the list are skipped by size and by the least position in them;
+    ``maps`` are the sets' bitmaps, one row each.
     """
     left, right = [], []
     n = len(size)
@@ -251,6 +252,10 @@ def list_pairs(size: np.ndarray, pos: np.ndarray, label: np.ndarray, percent: in
             room = 1 + np.minimum(sizes - places - 1, size[i] - pos[i] - 1) + np.minimum(places, pos[i])
             ok = (label[lo:hi] != label[i]) & (room >= pair_overlap(sizes, int(size[i]), percent))
             found = np.flatnonzero(ok) + lo
+            if maps is not None and len(found):
+                total = size[found].astype(np.int64) + int(size[i])
+                apart = np.bitwise_count(maps[found] ^ maps[i]).sum(axis=1, dtype=np.int64)
+                found = found[apart <= total - 2 * pair_overlap(total, 0, percent)]
             if len(found):
                 left.append(found)
                 right.append(np.full(len(found), i))
@@ -260,13 +265,20 @@ def list_pairs(size: np.ndarray, pos: np.ndarray, label: np.ndarray, percent: in
 
 
 def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b): candidate pairs of sets in different classes; ``lists`` has a label column."""
+    """(a, b): candidate pairs of sets in different classes; ``lists`` has columns label and bitmap.
+
+    The bitmaps travel with the list entries, so that pairs which they rule out
+    are never made into rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: set[tuple[int, int]] = set()
         held: list[np.ndarray] | None = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cols.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
             if held is not None:
                 cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
             last = int(np.searchsorted(cols[0], cols[0][-1]))
@@ -282,10 +294,10 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
         cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         a, b = [], []
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            f1, size, pos, label = (c[lo:hi] for c in cols[1:])
+            f1, size, pos, label, maps = (c[lo:hi] for c in cols[1:])
             if (label == label[0]).all():
                 continue
-            i, j = list_pairs(size, pos, label, percent)
+            i, j = list_pairs(size, pos, label, percent, maps)
             for x, y in zip(f1[i].tolist(), f1[j].tolist(), strict=True):
                 pair = (x, y) if x < y else (y, x)
                 if pair not in made:
@@ -301,7 +313,7 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     sorted_lists = lists.repartition("token").sortWithinPartitions("token", "size", "f1")
-    return sorted_lists.select("token", "f1", "size", "pos", "label").mapInArrow(run, "a bigint, b bigint").distinct()
+    return sorted_lists.select("token", "f1", "size", "pos", "label", "bitmap").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -428,7 +440,8 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     labels = connected(sets, links)
 
     # Second round: only pairs of sets that are still apart.
-    marked = lists.join(labels.withColumnRenamed("node", "f1"), "f1", "left").withColumn("label", F.coalesce("label", "f1"))
+    side = sets.select("f1", "bitmap").join(labels.withColumnRenamed("node", "f1"), "f1", "left").select("f1", "bitmap", F.coalesce("label", "f1").alias("label"))
+    marked = lists.join(side, "f1")
     pairs = materialize(_plausible(_cross_pairs(marked, percent), sets, percent), "second_pairs")
     more = materialize(_verified(pairs, sets, docs, n, percent), "more_links")
     labels = connected(sets, links.unionByName(more))
