@@ -18,9 +18,10 @@ in its sets, leave too little room for the overlap that a link needs.
 *Answers from similar sets.*  A set verified to be highly similar to another
 takes over that set's answers: both are in one class, so what the one is linked
 with need not be computed for the other.  Candidate pairs are therefore tried
-in rounds: first every set against a few close ones, then only pairs whose sets
-are still in different classes.  A large group of near copies costs a number of
-comparisons in proportion to its size.
+in rounds: first, in every index list, each set against the nearest in size that
+may link with it and is in another class, then all pairs whose sets are still in
+different classes.  A large group of near copies is chained together by the
+first rounds, at a number of pairs in proportion to the entries of its lists.
 
 *Bitmaps.*  Before two sets are fetched, parities of their shingles over 1024
 positions, and for large sets over several positions a shingle, bound the size
@@ -57,10 +58,8 @@ BITMAP = 1024
 WIDE_FROM = 256
 #: Entries of an index list that are skipped together.
 BLOCK = 64
-#: Prefix positions that give first-round neighbours.
-NEAR = 3
-#: Least hashes that form the key under which close sets meet first.
-KEY_HASHES = 4
+#: Partners that an entry of a list proposes, for each round before the last; the last round takes all that are left.
+SWEEPS = (1, 2)
 #: Pairs that travel with one copy of a document's set.
 FAN = 64
 
@@ -108,17 +107,17 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: (doc_id, size, f1, f2, key, bitmap) of each document; kind 1: a piece of a task's sketch."""
+    """kind 0: (doc_id, size, f1, f2, bitmap) of each document; kind 1: a piece of a task's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         sketch = np.zeros(1 << SKETCH_BITS, np.int32)
-        names = ["kind", "doc_id", "size", "f1", "f2", "key", "bitmap", "wide"]
+        names = ["kind", "doc_id", "size", "f1", "f2", "bitmap", "wide"]
         shift = np.uint64(64 - SKETCH_BITS)
         known: set[tuple[int, int]] = set()
         for batch in batches:
             for part, raws in slices(batch):
-                size, f1, f2, keys, maps, wides, fresh = [], [], [], [], [], [], []
+                size, f1, f2, maps, wides, fresh = [], [], [], [], [], []
                 for raw in raws:
                     s = shingle_set(raw, n, memory)
                     d = _digest(s)
@@ -130,21 +129,20 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                     size.append(len(s))
                     f1.append(d[0])
                     f2.append(d[1])
-                    keys.append(int.from_bytes(xxhash.xxh3_64_digest(s[:KEY_HASHES].tobytes()), "little", signed=True))
                     maps.append(parities(s, BITMAP))
                     wides.append(parities(s, 4 << int(len(s)).bit_length()) if len(s) > WIDE_FROM else b"")
                 if fresh:
                     sketch += np.bincount((np.concatenate(fresh) >> shift).astype(np.int64), minlength=len(sketch))
                 m = len(raws)
-                arrays = [pa.array(np.zeros(m, np.int32)), part.column(0), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.int64()), pa.array(maps, pa.binary()), pa.array(wides, pa.binary())]
+                arrays = [pa.array(np.zeros(m, np.int32)), part.column(0), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(maps, pa.binary()), pa.array(wides, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
         if sketch.any():
             pieces = [p.tobytes() for p in np.split(sketch, SKETCH_ROWS)]
             none = pa.nulls(SKETCH_ROWS, pa.int64())
-            arrays = [pa.array(np.ones(SKETCH_ROWS, np.int32)), pa.array(range(SKETCH_ROWS), pa.int64()), none, none, none, none, pa.array(pieces, pa.binary()), pa.nulls(SKETCH_ROWS, pa.binary())]
+            arrays = [pa.array(np.ones(SKETCH_ROWS, np.int32)), pa.array(range(SKETCH_ROWS), pa.int64()), none, none, none, pa.array(pieces, pa.binary()), pa.nulls(SKETCH_ROWS, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id bigint, size bigint, f1 bigint, f2 bigint, key bigint, bitmap binary, wide binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id bigint, size bigint, f1 bigint, f2 bigint, bitmap binary, wide binary")
 
 
 def _frequency_classes(pieces: DataFrame) -> np.ndarray:
@@ -229,21 +227,24 @@ def _lists(prefixes: DataFrame) -> DataFrame:
     return prefixes.repartition("token").sortWithinPartitions("token", "f1").mapInArrow(run, "token bigint, f1 bigint, size int, pos int")
 
 
-def list_pairs(size: np.ndarray, pos: np.ndarray, label: np.ndarray, percent: int, maps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def list_pairs(size: np.ndarray, pos: np.ndarray, label: np.ndarray, percent: int, maps: np.ndarray | None = None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of one list, sorted by size, whose sets may link and have different labels.
 
-    Blocks of the list are skipped by size and by the least position in them;
-    ``maps`` are the sets' bitmaps, one row each.
+    Blocks of the list are skipped by size, by the least position in them and
+    by labels; ``maps`` are the sets' bitmaps, one row each.  With ``most``,
+    each set is paired with that many of the nearest before it.
     """
     left, right = [], []
     n = len(size)
     starts = np.arange(0, n, BLOCK)
     floor = np.minimum.reduceat(pos, starts)
+    least, greatest = np.minimum.reduceat(label, starts), np.maximum.reduceat(label, starts)
     for i in range(1, n):
+        left_over = most
         low = int(np.searchsorted(size[:i], min_overlap(int(size[i]), percent)))
-        for b in range(low // BLOCK, (i - 1) // BLOCK + 1):
+        for b in range((i - 1) // BLOCK, low // BLOCK - 1, -1):
             lo, hi = max(low, b * BLOCK), min(i, (b + 1) * BLOCK)
-            if lo >= hi:
+            if lo >= hi or least[b] == greatest[b] == label[i]:
                 continue
             need_least = pair_overlap(int(size[lo]), int(size[i]), percent)
             if 1 + min(int(size[hi - 1]) - int(floor[b]) - 1, int(size[i]) - int(pos[i]) - 1) + min(int(pos[lo:hi].max()), int(pos[i])) < need_least:
@@ -256,17 +257,24 @@ def list_pairs(size: np.ndarray, pos: np.ndarray, label: np.ndarray, percent: in
                 total = size[found].astype(np.int64) + int(size[i])
                 apart = np.bitwise_count(maps[found] ^ maps[i]).sum(axis=1, dtype=np.int64)
                 found = found[apart <= total - 2 * pair_overlap(total, 0, percent)]
+            if left_over is not None:
+                found = found[max(0, len(found) - left_over) :]
+                left_over -= len(found)
             if len(found):
                 left.append(found)
                 right.append(np.full(len(found), i))
+            if left_over == 0:
+                break
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(left), np.concatenate(right)
 
 
-def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
+def _cross_pairs(lists: DataFrame, percent: int, most: int | None = None) -> DataFrame:
     """(a, b): candidate pairs of sets in different classes; ``lists`` has columns label and bitmap.
 
+    ``most`` is the number of partners that an entry proposes in a list, all without it.
+
     The bitmaps travel with the list entries, so that pairs which they rule out
     are never made into rows.
     """
@@ -297,7 +305,7 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
             f1, size, pos, label, maps = (c[lo:hi] for c in cols[1:])
             if (label == label[0]).all():
                 continue
-            i, j = list_pairs(size, pos, label, percent, maps)
+            i, j = list_pairs(size, pos, label, percent, maps, most)
             for x, y in zip(f1[i].tolist(), f1[j].tolist(), strict=True):
                 pair = (x, y) if x < y else (y, x)
                 if pair not in made:
@@ -425,26 +433,19 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     rows = scanned.where(F.col("kind") == 0)
     classes = _frequency_classes(scanned.where(F.col("kind") == 1))
     # One representative of equal sets; the second half of the digest guards the first.
-    equal = rows.where(F.col("size") > 0).groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("key").alias("key"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"), F.count(F.lit(1)).alias("copies"))
+    equal = rows.where(F.col("size") > 0).groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"), F.count(F.lit(1)).alias("copies"))
     sets = materialize(equal, "equal_sets")
     lists = materialize(_lists(_prefixes(docs, n, percent, classes)), "lists")
 
-    # First round: every set against the least of its key, and against a neighbour in its first lists.
-    keyed = sets.select("f1", "key")
-    heads = keyed.groupBy("key").agg(F.min("f1").alias("head"))
-    stars = keyed.join(heads, "key").where(F.col("f1") != F.col("head")).select("f1", F.col("head").alias("other"))
-    near = lists.where(F.col("pos") < NEAR).groupBy("token").agg(F.min("f1").alias("head"))
-    near = lists.where(F.col("pos") < NEAR).select("token", "f1").join(near, "token").where(F.col("f1") != F.col("head")).select("f1", F.col("head").alias("other"))
-    tried = stars.unionByName(near).select(F.least("f1", "other").alias("a"), F.greatest("f1", "other").alias("b")).distinct()
-    links = materialize(_verified(materialize(_plausible(tried, sets, percent), "first_pairs"), sets, docs, n, percent), "links")
-    labels = connected(sets, links)
-
-    # Second round: only pairs of sets that are still apart.
-    side = sets.select("f1", "bitmap").join(labels.withColumnRenamed("node", "f1"), "f1", "left").select("f1", "bitmap", F.coalesce("label", "f1").alias("label"))
-    marked = lists.join(side, "f1")
-    pairs = materialize(_plausible(_cross_pairs(marked, percent), sets, percent), "second_pairs")
-    more = materialize(_verified(pairs, sets, docs, n, percent), "more_links")
-    labels = connected(sets, links.unionByName(more))
+    # Rounds: a few close partners for each entry of a list, then every pair whose sets are still apart.
+    links = None
+    labels = sets.select(F.col("f1").alias("node"), F.col("f1").alias("label"))
+    for most in (*SWEEPS, None):
+        side = sets.select("f1", "bitmap").join(labels.withColumnRenamed("node", "f1"), "f1", "left").select("f1", "bitmap", F.coalesce("label", "f1").alias("label"))
+        pairs = materialize(_plausible(_cross_pairs(lists.join(side, "f1"), percent, most), sets, percent), "pairs")
+        found = materialize(_verified(pairs, sets, docs, n, percent), "links")
+        links = found if links is None else links.unionByName(found)
+        labels = connected(sets, links)
 
     named = sets.join(labels.withColumnRenamed("node", "f1"), "f1", "left").withColumn("label", F.coalesce("label", "f1"))
     ids = materialize(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "component_ids")
