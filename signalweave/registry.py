@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from signalweave.plans import graphs, history, telemetry, texts  # noqa: F401
+    from signalweave.plans import facts, graphs, history, telemetry, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
