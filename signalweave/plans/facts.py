@@ -9,7 +9,7 @@ from signalweave.operators import journal
 from signalweave.registry import register, table
 
 SPLIT = "1995-01-20 00:00:00"
-_AT = F.lit("2030-01-01 00:00:00").cast("timestamp")
+AT = "2030-01-01 00:00:00"
 
 
 def return_facts(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
@@ -41,9 +41,9 @@ FROM new LEFT JOIN old USING (repo, area)
 UNION ALL
 SELECT repo, area, old.statement, old.total, 'superseded' FROM old JOIN new USING (repo, area) WHERE old.statement <> new.statement""")
 def journal_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    empty = spark.createDataFrame([], journal.JOURNAL)
-    first = journal.assert_facts(empty, return_facts(spark, sf_dir, SPLIT), "lines", _AT).drop("outcome")
-    return journal.assert_facts(first, return_facts(spark, sf_dir), "lines", _AT).select("repo", "area", "statement", "total", "outcome")
+    empty, now = spark.createDataFrame([], journal.JOURNAL), F.lit(AT).cast("timestamp")
+    first = journal.assert_facts(empty, return_facts(spark, sf_dir, SPLIT), "lines", now).drop("outcome")
+    return journal.assert_facts(first, return_facts(spark, sf_dir), "lines", now).select("repo", "area", "statement", "total", "outcome")
 
 
 @register("upsert_latest", """
