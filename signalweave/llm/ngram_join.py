@@ -59,7 +59,7 @@ WIDE_FROM = 256
 #: Entries of an index list that are skipped together.
 BLOCK = 64
 #: Partners that an entry of a list proposes, for each round before the last; the last round takes all that are left.
-SWEEPS = (1, 2)
+SWEEPS = (2,)
 #: Pairs that travel with one copy of a document's set.
 FAN = 64
 
@@ -325,21 +325,12 @@ def _cross_pairs(lists: DataFrame, percent: int, most: int | None = None) -> Dat
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Drops pairs whose sizes or bitmaps rule a link out."""
-    side = sets.select("f1", "size", "bitmap")
-    joined = pairs.join(side.withColumnsRenamed({"f1": "a", "size": "size_a", "bitmap": "map_a"}), "a").join(side.withColumnsRenamed({"f1": "b", "size": "size_b", "bitmap": "map_b"}), "b")
+    """Drops pairs whose wide bitmaps rule a link out; ``_cross_pairs`` has tried the sizes and narrow ones."""
+    ends = pairs.select(F.col("a").alias("f1")).unionByName(pairs.select(F.col("b").alias("f1")))
+    side = sets.select("f1", "size", "wide").join(ends, "f1", "left_semi")
+    joined = pairs.join(side.withColumnsRenamed({"f1": "a", "size": "size_a", "wide": "wide_a"}), "a").join(side.withColumnsRenamed({"f1": "b", "size": "size_b", "wide": "wide_b"}), "b")
     total = F.col("size_a") + F.col("size_b")
-    need = F.floor((total * percent + (99 + percent)) / (100 + percent))
-    joined = joined.where((F.least("size_a", "size_b") >= need)).withColumn("room", total - 2 * need)
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            y = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= batch.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2)], names=["a", "b", "room"]).filter(pa.array(keep))
+    room = total - 2 * F.floor((total * percent + (99 + percent)) / (100 + percent))
 
     def broad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,10 +338,7 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = [not x or not y or least_difference(x, y) <= room for room, x, y in maps]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = joined.select("a", "b", "room", "map_a", "map_b").mapInArrow(narrow, "a bigint, b bigint, room bigint")
-    side = sets.select("f1", "wide")
-    near = near.join(side.withColumnsRenamed({"f1": "a", "wide": "wide_a"}), "a").join(side.withColumnsRenamed({"f1": "b", "wide": "wide_b"}), "b")
-    return near.select("a", "b", "room", "wide_a", "wide_b").mapInArrow(broad, "a bigint, b bigint")
+    return joined.select("a", "b", room.alias("room"), "wide_a", "wide_b").mapInArrow(broad, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -359,6 +347,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percen
     ends = numbered.select("pair", "a", "b", F.explode(F.array("a", "b")).alias("f1"))
     of_docs = ends.join(sets.select("f1", "doc_id"), "f1")
     wanted = of_docs.groupBy("doc_id", F.pmod("pair", F.lit(FAN)).alias("fan")).agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    # As a table its size is known, so that a small one is sent to the texts, which then stay where they are.
+    wanted = materialize(wanted, "wanted")
     # Rows of one doc_id may differ in text: the digest says which one is meant.
     texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "pairs")
 
@@ -403,7 +393,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percen
     return fetched.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "a bigint, b bigint")
 
 
-def connected(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label) for the nodes of ``edges``: label is the smallest node reachable.
 
     Each round takes the least label of all neighbours and then the label of
@@ -427,6 +417,15 @@ def connected(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Data
     raise RuntimeError("labels did not settle")
 
 
+def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after links are added: the rounds run over the classes that the links join, not over all links so far."""
+    of = labels.select("node", "label")
+    ends = links.join(of.withColumnsRenamed({"node": "a", "label": "label_a"}), "a").join(of.withColumnsRenamed({"node": "b", "label": "label_b"}), "b")
+    joined = connected(ends.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a != b"))
+    new = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left")
+    return materialize(new.select("node", F.coalesce("least", "label").alias("label")), "node_labels")
+
+
 def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     scanned = materialize(_sets(docs, n), "sets")
@@ -438,16 +437,14 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     lists = materialize(_lists(_prefixes(docs, n, percent, classes)), "lists")
 
     # Rounds: a few close partners for each entry of a list, then every pair whose sets are still apart.
-    links = None
     labels = sets.select(F.col("f1").alias("node"), F.col("f1").alias("label"))
     for most in (*SWEEPS, None):
-        side = sets.select("f1", "bitmap").join(labels.withColumnRenamed("node", "f1"), "f1", "left").select("f1", "bitmap", F.coalesce("label", "f1").alias("label"))
-        pairs = materialize(_plausible(_cross_pairs(lists.join(side, "f1"), percent, most), sets, percent), "pairs")
-        found = materialize(_verified(pairs, sets, docs, n, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = connected(sets, links)
+        side = sets.select("f1", "bitmap").join(labels.withColumnRenamed("node", "f1"), "f1")
+        tried = materialize(_cross_pairs(lists.join(side, "f1"), percent, most), "tried")
+        pairs = materialize(_plausible(tried, sets, percent), "pairs")
+        labels = relabel(labels, materialize(_verified(pairs, sets, docs, n, percent), "links"))
 
-    named = sets.join(labels.withColumnRenamed("node", "f1"), "f1", "left").withColumn("label", F.coalesce("label", "f1"))
+    named = sets.join(labels.withColumnRenamed("node", "f1"), "f1")
     ids = materialize(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "component_ids")
     classes_of = materialize(named.select("f1", "f2", "label").join(ids, "label").select("f1", "f2", "component_id"), "classes")
     return rows.join(classes_of, ["f1", "f2"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
