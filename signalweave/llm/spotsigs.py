@@ -1,11 +1,12 @@
 """Document fingerprints by SpotSigs.
 
 A spot signature is an anchor, a very common word, with the chain of the next
-two content words after it; the set of all of them is the fingerprint.  Text
-that is not prose (menus, lists) has few anchors and so hardly any signatures.
-A text with fewer than ``FEW`` signatures takes every word as an anchor, so
-that short texts have fingerprints too; a text without words has one signature
-of its characters, and empty text has none.
+two content words after it.  Text that is not prose (menus, lists) has few anchors
+and so hardly any spot signatures.  The fingerprint of every text is therefore
+the set of its spot signatures together with its plain chains, each word with
+the next two: it has one kind for short and long texts, so that a small change
+of a text is a small change of its fingerprint.  A text without words has one
+signature of its characters, and empty text has none.
 
 ``with_next`` gives every document the fingerprint of itself, of a following
 document and of a text mixed from both.  ``similar_pairs`` is the join: sets are
@@ -31,8 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signalweave.llm.text import gram_hashes
+
 CHAIN = 2
-FEW = 8
 
 #: Common words that serve as anchors.
 ANCHORS = frozenset(
@@ -47,25 +49,26 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def signatures(text: str, chain: int = CHAIN) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of the spot signatures of a text."""
+    """Sorted distinct 32-bit hashes of the spot signatures and plain chains of a text."""
     if not text:
         return np.empty(0, np.uint32)
     words = _WORD.findall(text.lower())
     if not words:
         return np.array([xxhash.xxh32_intdigest(text.encode("utf-8", "replace"))], np.uint32)
-    found = _spots(words, ANCHORS, chain)
-    if len(found) < FEW:
-        found = _spots(words, None, chain)
-    hashes = np.fromiter((xxhash.xxh32_intdigest(s) for s in found), np.uint32, len(found))
-    return np.unique(hashes)
+    found = _spots(words, chain)
+    hashes = np.fromiter(map(xxhash.xxh32_intdigest, found), np.uint32, len(found))
+    return np.unique(np.concatenate([hashes, _chains(words, chain)]))
+
 
+def _chains(words: list[str], chain: int) -> np.ndarray:
+    """Hashes of each word with the next ``chain`` words, or with as many as there are."""
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    ends = [gram_hashes(hashes[-k:], k) for k in range(1, min(chain, len(words)) + 1)]
+    return (np.concatenate([gram_hashes(hashes, chain + 1), *ends]) >> np.uint64(32)).astype(np.uint32)
 
-def _spots(words: list[str], anchors: frozenset[str] | None, chain: int) -> set[str]:
+
+def _spots(words: list[str], chain: int, anchors: frozenset[str] = ANCHORS) -> set[str]:
     found = set()
-    if anchors is None:
-        for i in range(len(words)):
-            found.add(" ".join(words[i : i + 1 + chain]))
-        return found
     if chain == 2:  # from the end, with the next two content words at hand
         first = second = ""
         for w in reversed(words):

@@ -234,6 +234,22 @@ def test_fingerprint_pairs_are_those_of_brute_force(docs):
     assert {tuple(sorted((r.a, r.b))) for r in spotsigs.similar_pairs(docs, 0.8).collect()} == want
 
 
+def test_fingerprints_are_of_one_kind_for_short_and_long_texts(spark):
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(400)]
+    texts = []
+    for k in range(5, 11):  # k anchors with two content words after each: signatures on both sides of 8
+        for _ in range(5):
+            words = rng.choices(vocab, k=90)
+            for at in range(k):
+                words[9 * at] = "the"
+            texts += [" ".join(words), " ".join(["the", *words[1:], "the", "w1", "w2"])]
+    for a, b in zip(texts[::2], texts[1::2], strict=True):
+        assert spotsigs.jaccard(spotsigs.signatures(a), spotsigs.signatures(b)) > 0.8
+    found = {(min(r.a, r.b), max(r.a, r.b)) for r in spotsigs.similar_pairs(spark.createDataFrame(rows_of(texts), SCHEMA), 0.8).collect()}
+    assert found == {(i, i + 1) for i in range(0, len(texts), 2)}
+
+
 def test_language_codes(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     fold = F.pmod(ecoc_lang.crc_of_id(F.col("doc_id")), F.lit(5))
