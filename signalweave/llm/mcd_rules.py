@@ -9,9 +9,11 @@ medians and median deviations) gives a Mahalanobis distance, and a document too
 far from its group is rejected.
 
 Groups below ``min_group`` documents are pooled by language, then together;
-what is still below that has no estimate and is kept.  A variance floor for
-each statistic keeps groups with a constant statistic regular and says which
-deviations are too small to matter.
+what is still below that has no estimate and is kept.  To the group's scatter is
+added only the counting noise of each statistic, which keeps groups with a
+constant statistic regular: the variance that a share or mean over so many words
+has by chance, as a mean of the group.  Lines are so few that a document's own
+number of them counts.
 
 DataFrame operations only.  The concentration steps are grouped sums and a
 histogram of distances, so a group that holds a third of all rows is summed
@@ -34,9 +36,9 @@ WINDOW = 3
 CORE = 0.75
 STEPS = 4
 MIN_GROUP = 50
-#: Standard deviation below which a statistic's spread is not taken to be real, in the order of FEATURES.
-FLOORS = (0.8, 0.12, 0.05, 0.15, 0.2)
-FEATURES = ("x0", "x1", "x2", "x3", "x4")
+#: Repeated lines come last: their noise is a document's own, so only the last entry of the factor differs by row.
+FEATURES = ("x0", "x1", "x2", "x4", "x3")
+NOISE = ("v0", "v1", "v2", "v4", "v3")
 #: Median of the chi-squared distribution with five degrees of freedom, and its quantile at one in ten million.
 CHI2_MEDIAN, CHI2_CUT = 4.3515, 41.7
 
@@ -86,6 +88,12 @@ def statistics(counts: DataFrame) -> DataFrame:
         F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))).alias("x2"),
         F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("x3"),
         F.sqrt(F.col("n_repeat_words") / words).alias("x4"),
+        # Counting noise: of log n, of a mean word length, and 1/4n of the root of a share; repeated words come six at once.
+        (1 / words).alias("v0"),
+        (0.25 / words).alias("v1"),
+        (0.25 / F.greatest(F.col("word_chars"), F.lit(1))).alias("v2"),
+        (0.25 / F.greatest(F.col("n_lines"), F.lit(1))).alias("v3"),
+        (1.5 / words).alias("v4"),
     )
 
 
@@ -111,13 +119,14 @@ def _group_medians(rows: DataFrame, of: list[Column]) -> DataFrame:
 
 
 def _distance(p: int) -> Column:
-    """Squared Mahalanobis distance by forward substitution with the group's Cholesky factor."""
+    """Squared Mahalanobis distance by forward substitution with the group's Cholesky factor; the last diagonal entry is still squared and without noise."""
     y: list[Column] = []
     for i in range(p):
         v = F.col(FEATURES[i]) - F.col(f"c{i}")
         for j in range(i):
             v = v - F.col(f"l{i}{j}") * y[j]
-        y.append(v / F.col(f"l{i}{i}"))
+        own = F.sqrt(F.greatest(F.col(f"l{i}{i}") + F.col(NOISE[i]), F.lit(1e-9)))
+        y.append(v / (F.col(f"l{i}{i}") if i < p - 1 else own))
     total = y[0] * y[0]
     for v in y[1:]:
         total = total + v * v
@@ -129,22 +138,25 @@ def _bin_of(d2: Column) -> Column:
     return F.floor(F.log(F.greatest(d2, F.lit(1e-12))) / F.log(F.lit(1.02))).cast("bigint")
 
 
-def _estimate(core: DataFrame, floors: tuple[float, ...]) -> DataFrame:
-    """(g, c*, l**): mean and Cholesky factor of the covariance plus floors, by grouped sums."""
+def _estimate(core: DataFrame, noise: DataFrame) -> DataFrame:
+    """(g, c*, l**): mean and Cholesky factor of the covariance plus noise, by grouped sums."""
     p = len(FEATURES)
     sums = [F.count(F.lit(1)).alias("n"), *[_exact(F.col(f)).alias(f"s{i}") for i, f in enumerate(FEATURES)]]
     sums += [_exact(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)]
     got = core.groupBy("g").agg(*sums)
     got = got.select("g", *[(F.col(f"s{i}") / F.col("n")).alias(f"c{i}") for i in range(p)], *[(F.col(f"q{i}{j}") / F.col("n")).alias(f"e{i}{j}") for i in range(p) for j in range(i + 1)])
+    got = got.join(noise, "g")
     for i in range(p):
         for j in range(i + 1):
             v = F.col(f"e{i}{j}") - F.col(f"c{i}") * F.col(f"c{j}")
-            if i == j:
-                v = v + F.lit(floors[i] ** 2)
+            if i == j < p - 1:
+                v = v + F.col(f"w{i}")
             for k in range(j):
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            got = got.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-9))) if i == j else v / F.col(f"l{j}{j}"))
-    return got.drop(*[f"e{i}{j}" for i in range(p) for j in range(i + 1)])
+            if i == j:
+                v = F.sqrt(F.greatest(v, F.lit(1e-9))) if i < p - 1 else F.greatest(v, F.lit(0.0))
+            got = got.withColumn(f"l{i}{j}", v if i == j else v / F.col(f"l{j}{j}"))
+    return got.drop(*[f"e{i}{j}" for i in range(p) for j in range(i + 1)], *[f"w{i}" for i in range(p - 1)])
 
 
 def robust_groups(rows: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
@@ -162,30 +174,33 @@ def robust_groups(rows: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     return rows.withColumn("label", label).join(groups, "label", "left").drop("label")
 
 
-def mcd_distances(rows: DataFrame, floors: tuple[float, ...] = FLOORS, core: float = CORE, steps: int = STEPS) -> DataFrame:
+def mcd_distances(rows: DataFrame, core: float = CORE, steps: int = STEPS) -> DataFrame:
     """Adds distance2, scaled so that the core of each group has the median of a Gaussian; null without a group."""
-    judged = rows.where(~F.col("base_failed") & F.col("g").isNotNull()).select("g", *FEATURES)
+    p = len(FEATURES)
+    judged = rows.where(~F.col("base_failed") & F.col("g").isNotNull()).select("g", *FEATURES, *NOISE)
+    noise = materialize(judged.groupBy("g").agg(*[(_exact(F.col(v)) / F.count(F.lit(1))).alias(f"w{i}") for i, v in enumerate(NOISE[:-1])]), "noise")
     medians = materialize(_group_medians(judged, [F.col(f) for f in FEATURES]), "medians")
     centred = judged.join(medians, "g")
     spread = _group_medians(centred.select("g", *[F.abs(F.col(f) - F.col(f"m{i}")).alias(f"x{i}") for i, f in enumerate(FEATURES)]), [F.col(f) for f in FEATURES])
-    spread = spread.withColumnsRenamed({f"m{i}": f"d{i}" for i in range(len(FEATURES))})
-    start = medians.join(spread, "g")
-    # The first factor is diagonal: medians and median deviations, widened by the floors.
-    zero = [F.lit(0.0).alias(f"l{i}{j}") for i in range(len(FEATURES)) for j in range(i)]
-    diagonal = [F.sqrt((1.4826 * F.col(f"d{i}")) ** 2 + F.lit(floors[i] ** 2)).alias(f"l{i}{i}") for i in range(len(FEATURES))]
-    model = materialize(start.select("g", *[F.col(f"m{i}").alias(f"c{i}") for i in range(len(FEATURES))], *zero, *diagonal), "model")
+    spread = spread.withColumnsRenamed({f"m{i}": f"d{i}" for i in range(p)})
+    start = medians.join(spread, "g").join(noise, "g")
+    # The first factor is diagonal: medians and median deviations, widened by the noise.
+    zero = [F.lit(0.0).alias(f"l{i}{j}") for i in range(p) for j in range(i)]
+    square = [(1.4826 * F.col(f"d{i}")) ** 2 for i in range(p)]
+    diagonal = [(F.sqrt(square[i] + F.col(f"w{i}")) if i < p - 1 else square[i]).alias(f"l{i}{i}") for i in range(p)]
+    model = materialize(start.select("g", *[F.col(f"m{i}").alias(f"c{i}") for i in range(p)], *zero, *diagonal), "model")
     for _ in range(steps):
-        near = judged.join(model, "g").select("g", *FEATURES, _bin_of(_distance(len(FEATURES))).alias("bin"))
+        near = judged.join(model, "g").select("g", *FEATURES, _bin_of(_distance(p)).alias("bin"))
         cut = _quantile_bin(near.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n")), ["g"], core)
         cut = materialize(cut.withColumnRenamed("bin", "cut"), "cut")
-        model = materialize(_estimate(near.join(cut, "g").where(F.col("bin") <= F.col("cut")), floors), "model")
-    near = judged.join(model, "g").select("g", _bin_of(_distance(len(FEATURES))).alias("bin"))
+        model = materialize(_estimate(near.join(cut, "g").where(F.col("bin") <= F.col("cut")), noise), "model")
+    near = judged.join(model, "g").select("g", _bin_of(_distance(p)).alias("bin"))
     middle = _quantile_bin(near.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n")), ["g"], 0.5)
     scale = F.pow(F.lit(1.02), F.col("bin") + 0.5) / F.lit(CHI2_MEDIAN)
-    # The floors widen the scatter: a group tighter than they are is not stretched to look Gaussian.
+    # A group tighter than the counting noise is not stretched to look Gaussian.
     scales = materialize(middle.select("g", F.greatest(scale, F.lit(1.0)).alias("scale")), "scales")
     model = model.join(scales, "g")
-    return rows.join(model, "g", "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance(len(FEATURES)) / F.col("scale"))).select(*rows.columns, "distance2")
+    return rows.join(model, "g", "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance(p) / F.col("scale"))).select(*rows.columns, "distance2")
 
 
 def quality_rules(docs: DataFrame, cut: float = CHI2_CUT, min_group: int = MIN_GROUP) -> DataFrame:

@@ -351,6 +351,24 @@ def test_outliers_go_and_the_rest_stays(spark, empty):
     assert mcd_rules.quality_rules(empty).count() == 0
 
 
+def test_one_odd_statistic_is_enough(spark):
+    rng = random.Random(9)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(3000)]
+    lines = lambda n: [" ".join(rng.choices(vocab, k=10)) for _ in range(n)]
+    texts = ["\n".join(lines(30)) for _ in range(200)]
+    words = "\n".join(lines(30)).split()
+    symbols = [w + "#" if k % 3 == 0 else w for k, w in enumerate(words)]  # x2: about 6 % of the word characters
+    passage = rng.choices(vocab, k=73)
+    repeated = [*passage, *words[:75], *passage, *words[75:150]]  # x4: 49 % of the words
+    copied = "\n".join(line + "\nab" for line in lines(27))  # x3: 26 of 54 lines, no repeated window
+    split = lambda ws: "\n".join(" ".join(ws[k : k + 10]) for k in range(0, len(ws), 10))
+    texts += [split(symbols), split(repeated), copied]
+    rows = [(i, t, "en", "a", 0, 0.0, "x") for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in mcd_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(got[i].base_failed for i in got)
+    assert sorted(i for i in got if not got[i].kept) == [200, 201, 202]
+
+
 def brute_removed(texts, k):
     words = [WORD.findall(t or "") for t in texts]
     first = {}
