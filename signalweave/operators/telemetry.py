@@ -1,6 +1,6 @@
 """What an activity log tells: heat, use, sessions, streaks, trends.
 
-Batch forms; ``signalweave.streaming`` has the same over streams.
+Batch forms only; none of them is built over streams.
 """
 
 from __future__ import annotations

@@ -1,4 +1,4 @@
-"""Graph queries: trade between nations, and what leads where in users' event chains."""
+"""Graph queries over trade between nations."""
 
 from __future__ import annotations
 

@@ -1 +1 @@
-"""Streaming of the library."""
+"""Empty: no streaming form is built yet."""
