@@ -15,25 +15,28 @@ ceil(t n) + 1 shingles.  The list of a shingle is sorted by set size in blocks;
 a block is skipped for a probe when its sizes, or the positions of the shingle
 in its sets, leave too little room for the overlap that a link needs.
 
-*Answers from similar sets.*  A set verified to be highly similar to another
-takes over that set's answers: both are in one class, so what the one is linked
-with need not be computed for the other.  Candidate pairs are therefore tried
-in rounds: first, in every index list, each set against the nearest in size that
-may link with it and is in another class, then all pairs whose sets are still in
-different classes.  A large group of near copies is chained together by the
-first rounds, at a number of pairs in proportion to the entries of its lists.
+*Answers from similar sets.*  A set verified to be similar to another takes over
+that set's answers: both are in one class, so what the one is linked with need
+not be computed for the other.  So candidate pairs are tried in two rounds.
+First each set of an index list is tried with its neighbour by size only, in
+another order of equal sizes in every list, so that a large group of near copies
+is chained together by pairs in proportion to the entries of its lists.  Then all
+pairs are tried whose sets are in different classes.
 
-*Bitmaps.*  Before two sets are fetched, parities of their shingles over 1024
-positions, and for large sets over several positions a shingle, bound the size
-of their difference from below; pairs beyond the bound are no links.
+*Bitmaps.*  Before two sets are fetched, the parities of their shingles over 512
+positions bound the size of their difference from below; pairs beyond what a
+link allows are no links.
 
-Classes are joined by minimum labels with pointer jumping, in tables on the
-shared folder.
+Classes are joined by union-find inside tasks, then between tasks, in tables on
+the shared folder.
 
 Words are runs of other than ASCII white space, A to Z lower-cased.  With fewer
 than ``n`` words the whole sequence is one shingle; null text and text without
-words is empty, linked with nothing, and its own class.  Rows with equal doc_id
-are one document for the class; each row keeps its own set size.
+words is empty, linked with nothing, and its own class.  Every row is a document
+of its own: rows that repeat a doc_id may be in different classes, and a class
+takes the smallest of its doc_ids, null only if it has no other.  An empty table
+gives an empty result.  Columns other than doc_id and text are not read.  Texts
+of any length are taken whole; a task holds the largest of them a few times.
 """
 
 from __future__ import annotations
@@ -44,35 +47,46 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalweave.llm.store import discard, materialize
-from signalweave.llm.text import WordHashes, gram_hashes, hash_words, signed, slices
+from signalweave.llm.text import Words, gram_hashes, mixed, signed, slices
 
 #: Buckets of the frequency sketch, as a power of two: a table of one byte each travels to the tasks.
 SKETCH_BITS = 21
 SKETCH_ROWS = 16
-BITMAP = 1024
-#: Sets above this size have a second bitmap of four to eight positions a shingle.
-WIDE_FROM = 256
-#: Entries of an index list that are skipped together.
+#: Words of 64 positions in a set's bitmap.
+BITMAP = 8
+#: Entries of an index list that are skipped together; lists of up to so many are taken in vector passes with others.
 BLOCK = 64
-#: Partners that an entry of a list proposes, for each round before the last; the last round takes all that are left.
-SWEEPS = (2,)
 #: Pairs that travel with one copy of a document's set.
 FAN = 64
-
-
-def shingle_set(raw: bytes, n: int, memory: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text."""
-    words = hash_words(raw.lower().split(), memory)
-    if len(words) == 0:
-        return words
-    if len(words) < n:
+#: Up to so many keys of wanted texts, 24 bytes each, are sent to the texts; more meet them in a shuffle.
+SENT_KEYS = 1_000_000
+#: Links that a task joins at once.
+LOCAL_LINKS = 1_000_000
+
+
+def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of all texts, one text after the other, and the bounds of each."""
+    words = Words(texts, lower=True)
+    hashes, held = words.hashes(), np.diff(words.bounds)
+    counts = np.maximum(held - n + 1, 0)
+    grams = gram_hashes(hashes, n)[words.windows(n)]
+    short = np.flatnonzero((held > 0) & (held < n))
+    if len(short):
         with np.errstate(over="ignore"):
-            return gram_hashes(words, len(words)) ^ np.uint64(0xA5A5A5A5A5A5A5A5 + len(words))
-    return np.unique(gram_hashes(words, n))
+            whole = [gram_hashes(hashes[words.bounds[i] : words.bounds[i + 1]], int(held[i]))[0] ^ np.uint64(0xA5A5A5A5A5A5A5A5 + int(held[i])) for i in short.tolist()]
+        grams = np.insert(grams, np.cumsum(counts)[short], np.array(whole, np.uint64))
+        counts[short] = 1
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        grams[lo:hi].sort()
+    fresh = np.ones(len(grams), bool)
+    fresh[1:] = grams[1:] != grams[:-1]
+    fresh[bounds[:-1][counts > 0]] = True
+    return grams[fresh], np.concatenate([[0], np.cumsum(fresh)])[bounds]
 
 
 def min_overlap(size: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -85,20 +99,12 @@ def pair_overlap(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.n
     return -(-percent * (a + b) // (100 + percent))
 
 
-def parities(s: np.ndarray, width: int) -> bytes:
-    """Of each of ``width`` positions, whether an odd number of shingles falls on it; position 0 first."""
-    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-    return np.packbits(odd.astype(bool)).tobytes()
-
-
-def least_difference(x: bytes, y: bytes) -> int:
-    """Lower bound of the symmetric difference of two sets; the wider bitmap is folded to the narrower one's width."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+def parities(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Of each of the positions, whether an odd number of a set's shingles falls on it; a row of ``BITMAP`` words for each set."""
+    width, sets = 64 * BITMAP, len(bounds) - 1
+    owner = np.repeat(np.arange(sets), np.diff(bounds))
+    odd = np.bincount(owner * width + (grams & np.uint64(width - 1)).astype(np.int64), minlength=sets * width) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).reshape(sets, BITMAP)
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -106,43 +112,46 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+_MAP = [f"m{i}" for i in range(BITMAP)]
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, a hash of the text, and the text: the first two find a document again."""
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: (doc_id, size, f1, f2, bitmap) of each document; kind 1: a piece of a task's sketch."""
+    """kind 0: (doc_id, row, size, f1, f2, bitmap) of each document; kind 1: a piece of a task's sketch."""
+    names = ["kind", "doc_id", "row", "size", "f1", "f2", *_MAP, "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = WordHashes()
         sketch = np.zeros(1 << SKETCH_BITS, np.int32)
-        names = ["kind", "doc_id", "size", "f1", "f2", "bitmap", "wide"]
         shift = np.uint64(64 - SKETCH_BITS)
-        known: set[tuple[int, int]] = set()
+        known: set[int] = set()
         for batch in batches:
             for part, raws in slices(batch):
-                size, f1, f2, maps, wides, fresh = [], [], [], [], [], []
-                for raw in raws:
-                    s = shingle_set(raw, n, memory)
-                    d = _digest(s)
-                    if d not in known:  # equal sets count once a task
-                        if len(known) >= 200_000:
+                grams, bounds = shingle_sets(raws, n)
+                found = [_digest(grams[lo:hi]) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                fresh = np.zeros(len(raws), bool)
+                for i, (f1, _) in enumerate(found):
+                    if f1 not in known:  # equal sets count once a task
+                        if len(known) >= 500_000:
                             known.clear()
-                        known.add(d)
-                        fresh.append(s)
-                    size.append(len(s))
-                    f1.append(d[0])
-                    f2.append(d[1])
-                    maps.append(parities(s, BITMAP))
-                    wides.append(parities(s, 4 << int(len(s)).bit_length()) if len(s) > WIDE_FROM else b"")
-                if fresh:
-                    sketch += np.bincount((np.concatenate(fresh) >> shift).astype(np.int64), minlength=len(sketch))
+                        known.add(f1)
+                        fresh[i] = True
+                sizes = np.diff(bounds)
+                sketch += np.bincount((grams[np.repeat(fresh, sizes)] >> shift).astype(np.int64), minlength=len(sketch))
                 m = len(raws)
-                arrays = [pa.array(np.zeros(m, np.int32)), part.column(0), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(maps, pa.binary()), pa.array(wides, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                maps = parities(grams, bounds)
+                arrays = [pa.array(np.zeros(m, np.int32)), part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array([f for f, _ in found], pa.int64()), pa.array([f for _, f in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(maps[:, i]) for i in range(BITMAP)], pa.nulls(m, pa.binary())], names=names)
         if sketch.any():
             pieces = [p.tobytes() for p in np.split(sketch, SKETCH_ROWS)]
             none = pa.nulls(SKETCH_ROWS, pa.int64())
-            arrays = [pa.array(np.ones(SKETCH_ROWS, np.int32)), pa.array(range(SKETCH_ROWS), pa.int64()), none, none, none, pa.array(pieces, pa.binary()), pa.nulls(SKETCH_ROWS, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(SKETCH_ROWS, np.int32)), pa.array(range(SKETCH_ROWS), pa.int64()), *[none] * (4 + BITMAP), pa.array(pieces, pa.binary())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id bigint, size bigint, f1 bigint, f2 bigint, bitmap binary, wide binary")
+    maps = ", ".join(f"{m} bigint" for m in _MAP)
+    return _named(docs).mapInArrow(run, f"kind int, doc_id bigint, row bigint, size bigint, f1 bigint, f2 bigint, {maps}, counts binary")
 
 
 def _frequency_classes(pieces: DataFrame) -> np.ndarray:
@@ -156,14 +165,15 @@ def _frequency_classes(pieces: DataFrame) -> np.ndarray:
             out += np.frombuffer(raw, np.int64 if len(raw) == out.nbytes else np.int32)
         return pd.DataFrame({"piece": [part["piece"].iloc[0]], "lane": [0], "counts": [out.tobytes()]})
 
-    lanes = pieces.select(F.col("doc_id").alias("piece"), F.pmod(F.spark_partition_id(), F.lit(64)).alias("lane"), F.col("bitmap").alias("counts"))
+    def levels(part: pd.DataFrame) -> pd.DataFrame:
+        counts = np.frombuffer(total(part)["counts"].iloc[0], np.int64)
+        return pd.DataFrame({"piece": [part["piece"].iloc[0]], "lane": [0], "counts": [np.floor(2 * np.log2(counts + 1)).astype(np.uint8).tobytes()]})
+
+    lanes = pieces.select(F.col("doc_id").alias("piece"), F.pmod(F.spark_partition_id(), F.lit(64)).alias("lane"), "counts")
     once = lanes.groupBy("piece", "lane").applyInPandas(total, schema)
-    got = once.groupBy("piece").applyInPandas(total, schema).collect()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    got = {row["piece"]: row["counts"] for row in once.groupBy("piece").applyInPandas(levels, schema).collect()}
     width = (1 << SKETCH_BITS) // SKETCH_ROWS
-    for row in got:
-        out[row["piece"] * width : (row["piece"] + 1) * width] = np.frombuffer(row["counts"], np.int64)
-    return np.floor(2 * np.log2(out + 1)).astype(np.uint8)
+    return np.concatenate([np.frombuffer(got.get(i, bytes(width)), np.uint8) for i in range(SKETCH_ROWS)])
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
@@ -171,76 +181,110 @@ def _prefixes(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, seen = WordHashes(), set()
+        seen: set[int] = set()
         rank, shift = shared.value, np.uint64(64 - SKETCH_BITS)
         for batch in batches:
             for _, raws in slices(batch):
+                grams, bounds = shingle_sets(raws, n)
+                ranks = rank[(grams >> shift).astype(np.int64)]
                 tokens, owners, sizes, places = [], [], [], []
-                for raw in raws:
-                    s = shingle_set(raw, n, memory)
-                    if not len(s):
+                for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    if lo == hi:
                         continue
-                    f1 = _digest(s)[0]
+                    f1 = _digest(grams[lo:hi])[0]
                     if f1 in seen:
                         continue
                     if len(seen) >= 500_000:
                         seen.clear()
                     seen.add(f1)
-                    take = len(s) - min_overlap(len(s), percent) + 1
-                    order = np.argsort(rank[(s >> shift).astype(np.int64)], kind="stable")[:take]
-                    tokens.append(s[order])
-                    owners.append(np.full(take, f1, np.int64))
-                    sizes.append(np.full(take, len(s), np.int32))
-                    places.append(np.arange(take, dtype=np.int32))
+                    take = hi - lo - min_overlap(hi - lo, percent) + 1
+                    tokens.append(grams[lo + np.argsort(ranks[lo:hi], kind="stable")[:take]])
+                    owners.append(f1)
+                    sizes.append(hi - lo)
+                    places.append(take)
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "f1", "size", "pos"])
+                    takes = np.array(places)
+                    ends = np.cumsum(takes)
+                    pos = np.arange(ends[-1]) - np.repeat(ends - takes, takes)
+                    arrays = [pa.array(signed(np.concatenate(tokens))), pa.array(np.repeat(np.array(owners, np.int64), takes)), pa.array(np.repeat(np.array(sizes, np.int32), takes)), pa.array(pos.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["token", "f1", "size", "pos"])
 
     return docs.select("text").mapInArrow(run, "token bigint, f1 bigint, size int, pos int")
 
 
-def _lists(prefixes: DataFrame) -> DataFrame:
-    """The index lists with two or more sets: (token, f1, size, pos)."""
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of batches sorted by the first one, cut where it changes; a long list is put together once."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        token = cols[0]
+        if held and token[0] == token[-1] == held[0][0][0]:
+            held.append(cols)
+            continue
+        last = int(np.searchsorted(token, token[-1]))  # the last list may go on in the next batch
+        held.append([c[:last] for c in cols])
+        done = [np.concatenate(parts) for parts in zip(*held, strict=True)]
+        if len(done[0]):
+            yield done
+        held = [[c[last:] for c in cols]]
+    if held:
+        yield [np.concatenate(parts) for parts in zip(*held, strict=True)]
+
+
+def may_link(size_a: np.ndarray, pos_a: np.ndarray, size_b: np.ndarray, pos_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets that share a shingle at these positions can link: by their sizes, and by what is left after the positions."""
+    a, b = size_a.astype(np.int64), size_b.astype(np.int64)
+    room = 1 + np.minimum(a - pos_a - 1, b - pos_b - 1) + np.minimum(pos_a, pos_b)
+    return (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (room >= pair_overlap(a, b, percent))
+
+
+def _lists(prefixes: DataFrame, percent: int) -> DataFrame:
+    """kind 0: the index lists with two or more sets (token, f1, size, pos); kind 1: pairs (token, f1) of neighbours in a list."""
+    names = ["kind", "token", "f1", "size", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-        for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            if rest is not None:
-                cols = [np.concatenate([a, b]) for a, b in zip(rest, cols, strict=True)]
-            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last list may go on in the next batch
-            rest = [c[last:] for c in cols]
-            yield from shared([c[:last] for c in cols])
-        if rest is not None:
-            yield from shared(rest)
-
-    def shared(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, f1 = cols[0], cols[1]
-        if len(token) < 2:
-            return
-        fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (f1[1:] != f1[:-1])])  # tasks repeat equal sets
-        token, f1, size, pos = (c[fresh] for c in cols)
-        same = token[1:] == token[:-1]
-        more = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        if more.any():
-            yield pa.RecordBatch.from_arrays([pa.array(token[more]), pa.array(f1[more]), pa.array(size[more]), pa.array(pos[more])], names=["token", "f1", "size", "pos"])
-
-    return prefixes.repartition("token").sortWithinPartitions("token", "f1").mapInArrow(run, "token bigint, f1 bigint, size int, pos int")
-
-
-def list_pairs(size: np.ndarray, pos: np.ndarray, label: np.ndarray, percent: int, maps: np.ndarray | None = None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        for cols in _whole_lists(batches):
+            same = cols[0][1:] == cols[0][:-1]
+            more = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            if not more.any():
+                continue
+            token, f1, size, pos = (c[more] for c in cols)
+            # Equal sizes stand in another order in every list, so that neighbours differ from list to list.
+            with np.errstate(over="ignore"):
+                shuffled = mixed((f1 ^ token).view(np.uint64))
+            order = np.lexsort((shuffled, size, token))
+            token, f1, size, pos = token[order], f1[order], size[order], pos[order]
+            fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (f1[1:] != f1[:-1])])  # tasks repeat equal sets
+            token, f1, size, pos = token[fresh], f1[fresh], size[fresh], pos[fresh]
+            same = token[1:] == token[:-1]
+            more = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            if not more.any():
+                continue
+            arrays = [pa.array(np.zeros(int(more.sum()), np.int32)), *[pa.array(c[more]) for c in (token, f1, size, pos)]]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            at = np.flatnonzero(same)
+            at = at[may_link(size[at], pos[at], size[at + 1], pos[at + 1], percent)]
+            pairs = pd.DataFrame({"token": np.minimum(f1[at], f1[at + 1]), "f1": np.maximum(f1[at], f1[at + 1])}).drop_duplicates()
+            if len(pairs):
+                none = pa.nulls(len(pairs), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(pairs), np.int32)), pa.array(pairs["token"].to_numpy()), pa.array(pairs["f1"].to_numpy()), none, none], names=names)
+
+    return prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(run, "kind int, token bigint, f1 bigint, size int, pos int")
+
+
+def list_pairs(size: np.ndarray, pos: np.ndarray, label: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of one list, sorted by size, whose sets may link and have different labels.
 
-    Blocks of the list are skipped by size, by the least position in them and
-    by labels; ``maps`` are the sets' bitmaps, one row each.  With ``most``,
-    each set is paired with that many of the nearest before it.
+    Blocks of the list are skipped by size, by the least position in them and by labels.
     """
-    left, right = [], []
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     n = len(size)
     starts = np.arange(0, n, BLOCK)
     floor = np.minimum.reduceat(pos, starts)
     least, greatest = np.minimum.reduceat(label, starts), np.maximum.reduceat(label, starts)
     for i in range(1, n):
-        left_over = most
         low = int(np.searchsorted(size[:i], min_overlap(int(size[i]), percent)))
         for b in range((i - 1) // BLOCK, low // BLOCK - 1, -1):
             lo, hi = max(low, b * BLOCK), min(i, (b + 1) * BLOCK)
@@ -249,131 +293,108 @@ def list_pairs(size: np.ndarray, pos: np.ndarray, label: np.ndarray, percent: in
             need_least = pair_overlap(int(size[lo]), int(size[i]), percent)
             if 1 + min(int(size[hi - 1]) - int(floor[b]) - 1, int(size[i]) - int(pos[i]) - 1) + min(int(pos[lo:hi].max()), int(pos[i])) < need_least:
                 continue
-            sizes, places = size[lo:hi].astype(np.int64), pos[lo:hi]
-            room = 1 + np.minimum(sizes - places - 1, size[i] - pos[i] - 1) + np.minimum(places, pos[i])
-            ok = (label[lo:hi] != label[i]) & (room >= pair_overlap(sizes, int(size[i]), percent))
+            ok = (label[lo:hi] != label[i]) & may_link(size[lo:hi], pos[lo:hi], size[i : i + 1], pos[i : i + 1], percent)
             found = np.flatnonzero(ok) + lo
-            if maps is not None and len(found):
-                total = size[found].astype(np.int64) + int(size[i])
-                apart = np.bitwise_count(maps[found] ^ maps[i]).sum(axis=1, dtype=np.int64)
-                found = found[apart <= total - 2 * pair_overlap(total, 0, percent)]
-            if left_over is not None:
-                found = found[max(0, len(found) - left_over) :]
-                left_over -= len(found)
-            if len(found):
-                left.append(found)
-                right.append(np.full(len(found), i))
-            if left_over == 0:
-                break
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+            left.append(found)
+            right.append(np.full(len(found), i))
     return np.concatenate(left), np.concatenate(right)
 
 
-def _cross_pairs(lists: DataFrame, percent: int, most: int | None = None) -> DataFrame:
-    """(a, b): candidate pairs of sets in different classes; ``lists`` has columns label and bitmap.
-
-    ``most`` is the number of partners that an entry proposes in a list, all without it.
-
-    The bitmaps travel with the list entries, so that pairs which they rule out
-    are never made into rows.
-    """
+def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b): candidate pairs of sets in different classes; ``lists`` has columns label and a bitmap of half the width, h0 and on."""
+    half = [f"h{i}" for i in range(BITMAP // 2)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: set[tuple[int, int]] = set()
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
+        for cols in _whole_lists(batches):
+            token = cols[0]
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            of = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])) - 1
+            # Lists of one class have nothing to try.
+            label = cols[4]
+            several = (np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts))[of]
+            if not several.any():
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            cols.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
-            if held is not None:
-                cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
-            last = int(np.searchsorted(cols[0], cols[0][-1]))
-            held = [c[last:] for c in cols]
-            yield from pairs([c[:last] for c in cols], made)
-        if held is not None:
-            yield from pairs(held, made)
-
-    def pairs(cols: list[np.ndarray], made: set) -> Iterator[pa.RecordBatch]:
-        token = cols[0]
-        if not len(token):
-            return
-        cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-        a, b = [], []
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            f1, size, pos, label, maps = (c[lo:hi] for c in cols[1:])
-            if (label == label[0]).all():
-                continue
-            i, j = list_pairs(size, pos, label, percent, maps, most)
-            for x, y in zip(f1[i].tolist(), f1[j].tolist(), strict=True):
-                pair = (x, y) if x < y else (y, x)
-                if pair not in made:
-                    if len(made) > 500_000:
-                        made.clear()
-                    made.add(pair)
-                    a.append(pair[0])
-                    b.append(pair[1])
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    sorted_lists = lists.repartition("token").sortWithinPartitions("token", "size", "f1")
-    return sorted_lists.select("token", "f1", "size", "pos", "label", "bitmap").mapInArrow(run, "a bigint, b bigint").distinct()
+            token, f1, size, pos, label, *maps = (c[several] for c in cols)
+            order = np.lexsort((f1, size, token))
+            token, f1, size, pos, label = token[order], f1[order], size[order], pos[order], label[order]
+            bits = np.stack(maps, axis=1)[order].view(np.uint64)
+            cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+            lengths = np.diff(cuts)
+            longer = lengths > BLOCK
+            for lo, hi in zip(cuts[:-1][longer].tolist(), cuts[1:][longer].tolist(), strict=True):
+                i, j = list_pairs(size[lo:hi], pos[lo:hi], label[lo:hi], percent)
+                yield from pairs(i + lo, j + lo, f1, size, bits)
+            small = np.flatnonzero(np.repeat(~longer, lengths))
+            for step in range(1, int(lengths[~longer].max(initial=1))):
+                i = small[:-step][small[step:] - small[:-step] == step]
+                i = i[(token[i] == token[i + step]) & (label[i] != label[i + step])]
+                j = i + step
+                ok = may_link(size[i], pos[i], size[j], pos[j], percent)
+                yield from pairs(i[ok], j[ok], f1, size, bits)
+
+    def pairs(i: np.ndarray, j: np.ndarray, f1: np.ndarray, size: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kept = []
+        for at in range(0, len(i), 1 << 16):
+            x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            total = size[x].astype(np.int64) + size[y]
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            ok = apart <= total - 2 * pair_overlap(total, 0, percent)
+            a, b = f1[x[ok]], f1[y[ok]]
+            kept.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates())
+        if kept and len(rows := pd.concat(kept).drop_duplicates()):
+            yield pa.RecordBatch.from_arrays([pa.array(rows["a"].to_numpy()), pa.array(rows["b"].to_numpy())], names=["a", "b"])
+
+    dealt = lists.repartition("token").sortWithinPartitions("token")
+    return dealt.select("token", "f1", "size", "pos", "label", *half).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Drops pairs whose wide bitmaps rule a link out; ``_cross_pairs`` has tried the sizes and narrow ones."""
-    ends = pairs.select(F.col("a").alias("f1")).unionByName(pairs.select(F.col("b").alias("f1")))
-    side = sets.select("f1", "size", "wide").join(ends, "f1", "left_semi")
-    joined = pairs.join(side.withColumnsRenamed({"f1": "a", "size": "size_a", "wide": "wide_a"}), "a").join(side.withColumnsRenamed({"f1": "b", "size": "size_b", "wide": "wide_b"}), "b")
+    """(a, b) with size, doc_id and row of both, without pairs whose bitmaps rule a link out."""
+    side = sets.select("f1", "doc_id", "row", "size", *_MAP)
+    ends = [side.select([F.col(c).alias(f"{c}_{x}") for c in side.columns]) for x in "ab"]
+    joined = pairs.join(ends[0], F.col("a") == F.col("f1_a")).join(ends[1], F.col("b") == F.col("f1_b"))
+    apart: Column = sum((F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in _MAP), F.lit(0))
     total = F.col("size_a") + F.col("size_b")
     room = total - 2 * F.floor((total * percent + (99 + percent)) / (100 + percent))
+    return joined.where(apart <= room).select("a", "b", "doc_id_a", "row_a", "doc_id_b", "row_b")
 
-    def broad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            maps = zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True)
-            keep = [not x or not y or least_difference(x, y) <= room for room, x, y in maps]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return joined.select("a", "b", room.alias("room"), "wide_a", "wide_b").mapInArrow(broad, "a bigint, b bigint")
 
-
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs that link, by their whole sets."""
-    numbered = pairs.withColumn("pair", F.xxhash64("a", "b"))
-    ends = numbered.select("pair", "a", "b", F.explode(F.array("a", "b")).alias("f1"))
-    of_docs = ends.join(sets.select("f1", "doc_id"), "f1")
-    wanted = of_docs.groupBy("doc_id", F.pmod("pair", F.lit(FAN)).alias("fan")).agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    # As a table its size is known, so that a small one is sent to the texts, which then stay where they are.
-    wanted = materialize(wanted, "wanted")
-    # Rows of one doc_id may differ in text: the digest says which one is meant.
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "pairs")
+    ends = pairs.select("a", "b", F.pmod(F.xxhash64("a", "b"), F.lit(FAN)).alias("fan"), F.inline(F.array(*[F.struct(F.col(f"doc_id_{x}").alias("w_doc"), F.col(f"row_{x}").alias("w_row"), F.col(x).alias("f1")) for x in "ab"])))
+    wanted = materialize(ends.groupBy("w_doc", "w_row", "f1", "fan").agg(F.collect_list(F.struct("a", "b")).alias("pairs")), "wanted")
+    keys = wanted.select(F.col("w_doc").alias("k_doc"), F.col("w_row").alias("k_row")).distinct()
+    if keys.count() <= SENT_KEYS:
+        keys = F.broadcast(keys)
+    texts = _named(docs)
+    found = texts.join(keys, F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("row") == F.col("k_row")), "left_semi")
+    fetched = found.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("row") == F.col("w_row"))).select("f1", "fan", "text", "pairs")
+    names = ["a", "b", "shingles"]
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = WordHashes()
+        sent: set[tuple[int, int]] = set()
         for batch in batches:
             for part, raws in slices(batch):
+                grams, bounds = shingle_sets(raws, n)
                 a, b, held, size = [], [], [], 0
-                for raw, ps in zip(raws, part.column(1).to_pylist(), strict=True):
-                    s = shingle_set(raw, n, memory)
-                    f1, packed = _digest(s)[0], s.tobytes()
+                for i, (f1, fan, ps) in enumerate(zip(*[part.column(c).to_pylist() for c in (0, 1, 3)], strict=True)):
+                    if (f1, fan) in sent:  # another row without an id and of the same text
+                        continue
+                    sent.add((f1, fan))
+                    packed = grams[bounds[i] : bounds[i + 1]].tobytes()
                     for p in ps:
-                        if f1 == p["a"] or f1 == p["b"]:
-                            a.append(p["a"])
-                            b.append(p["b"])
-                            held.append(packed)
-                            size += len(packed)
-                            if size > 16 << 20:
-                                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(held, pa.binary())], names=["a", "b", "shingles"])
-                                a, b, held, size = [], [], [], 0
+                        a.append(p["a"])
+                        b.append(p["b"])
+                        held.append(packed)
+                        size += len(packed)
+                        if size > 16 << 20:
+                            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(held, pa.binary())], names=names)
+                            a, b, held, size = [], [], [], 0
                 if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(held, pa.binary())], names=["a", "b", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(held, pa.binary())], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, first, done = None, None, False
+        now, first, done = None, b"", False
         for batch in batches:
             a, b = [], []
             for x, y, raw in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
@@ -389,41 +410,65 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percen
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    fetched = texts.mapInArrow(fetch, "a bigint, b bigint, shingles binary")
-    return fetched.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "a bigint, b bigint")
+    sets = fetched.mapInArrow(fetch, "a bigint, b bigint, shingles binary")
+    links = materialize(sets.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "a bigint, b bigint"), "links")
+    discard(wanted)
+    return links
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """(node, root) by the links that a task sees: union-find, ``LOCAL_LINKS`` at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = up[x]
+            return x
+
+        def told() -> pa.RecordBatch:
+            nodes = list(up)
+            out = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "root"])
+            up.clear()
+            return out
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+            if len(up) > LOCAL_LINKS:
+                yield told()
+        if up:
+            yield told()
+
+    return links.mapInArrow(run, "node bigint, root bigint")
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, label) for the nodes of ``edges``: label is the smallest node reachable.
+def connected(links: DataFrame) -> DataFrame:
+    """(node, label) for the nodes of ``links`` (a, b): label is the smallest node reachable.
 
-    Each round takes the least label of all neighbours and then the label of
-    that label; labels only fall, and the rounds end when none does.
+    Each round finds the roots of nodes task by task.  A node with several roots
+    takes the least, and its other roots are linked with that one: these links
+    go to the next round.  The rounds end when no node has two roots.
     """
-    both = materialize(edges.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))).distinct(), "edges")
-    labels = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label"))
-    labels = materialize(labels, "labels")
-    for _ in range(most_rounds):
-        seen = both.join(labels.withColumnsRenamed({"node": "other", "label": "theirs"}), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        lower = labels.join(seen, "node").select("node", F.col("label").alias("was"), F.least("label", "theirs").alias("label"))
-        lower = materialize(lower, "lower")
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("jumped"))
-        new = lower.join(jump, "label", "left").select("node", "was", F.coalesce("jumped", "label").alias("label"))
-        new = materialize(new, "labels")
-        discard(lower)
-        settled = new.where(F.col("was") != F.col("label")).isEmpty()
-        labels = new.select("node", "label")
-        if settled:
-            return labels
-    raise RuntimeError("labels did not settle")
-
-
-def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label) after links are added: the rounds run over the classes that the links join, not over all links so far."""
-    of = labels.select("node", "label")
-    ends = links.join(of.withColumnsRenamed({"node": "a", "label": "label_a"}), "a").join(of.withColumnsRenamed({"node": "b", "label": "label_b"}), "b")
-    joined = connected(ends.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a != b"))
-    new = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left")
-    return materialize(new.select("node", F.coalesce("least", "label").alias("label")), "node_labels")
+    levels, left = [], links
+    while True:
+        roots = _roots(left).groupBy("node").agg(F.min("root").alias("least"), F.collect_set("root").alias("roots"))
+        found = materialize(roots, "roots")
+        levels.append(found.select("node", "least"))
+        many = found.where(F.size("roots") > 1)
+        left = many.select(F.explode("roots").alias("a"), F.col("least").alias("b")).where("a != b").distinct()
+        if many.isEmpty():
+            break
+        left = left.repartition("b")
+    out = levels.pop()
+    while levels:
+        below = levels.pop()
+        out = below.join(out.select(F.col("node").alias("least"), F.col("least").alias("last")), "least", "left").select("node", F.coalesce("last", "least").alias("least"))
+    return materialize(out.withColumnRenamed("least", "label"), "labels")
 
 
 def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -431,23 +476,30 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     scanned = materialize(_sets(docs, n), "sets")
     rows = scanned.where(F.col("kind") == 0)
     classes = _frequency_classes(scanned.where(F.col("kind") == 1))
-    # One representative of equal sets; the second half of the digest guards the first.
-    equal = rows.where(F.col("size") > 0).groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"), F.count(F.lit(1)).alias("copies"))
-    sets = materialize(equal, "equal_sets")
-    lists = materialize(_lists(_prefixes(docs, n, percent, classes)), "lists")
-
-    # Rounds: a few close partners for each entry of a list, then every pair whose sets are still apart.
-    labels = sets.select(F.col("f1").alias("node"), F.col("f1").alias("label"))
-    for most in (*SWEEPS, None):
-        side = sets.select("f1", "bitmap").join(labels.withColumnRenamed("node", "f1"), "f1")
-        tried = materialize(_cross_pairs(lists.join(side, "f1"), percent, most), "tried")
-        pairs = materialize(_plausible(tried, sets, percent), "pairs")
-        labels = relabel(labels, materialize(_verified(pairs, sets, docs, n, percent), "links"))
-
-    named = sets.join(labels.withColumnRenamed("node", "f1"), "f1")
-    ids = materialize(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "component_ids")
-    classes_of = materialize(named.select("f1", "f2", "label").join(ids, "label").select("f1", "f2", "component_id"), "classes")
-    return rows.join(classes_of, ["f1", "f2"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # One representative of equal sets, found again by doc_id and hash of its text; the second half of the digest guards the first.
+    first = F.min_by(F.struct("doc_id", "row"), F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("one")
+    equal = rows.where(F.col("size") > 0).groupBy("f1", "f2").agg(first, *[F.first(c).alias(c) for c in ("size", *_MAP)])
+    sets = materialize(equal.select("f1", "f2", "one.doc_id", "one.row", "size", *_MAP), "equal_sets")
+    listed = materialize(_lists(_prefixes(docs, n, percent, classes), percent), "lists")
+
+    # First neighbours in the lists, then every pair whose sets are still apart.
+    near = listed.where(F.col("kind") == 1).select(F.col("token").alias("a"), F.col("f1").alias("b")).distinct()
+    links = _verified(_plausible(near, sets, percent), docs, n, percent)
+    labels = connected(links)
+    half = [F.col(_MAP[i]).bitwiseXOR(F.col(_MAP[i + BITMAP // 2])).alias(f"h{i}") for i in range(BITMAP // 2)]
+    of_sets = sets.join(labels.withColumnRenamed("node", "f1"), "f1", "left").select("f1", F.coalesce("label", "f1").alias("label"), *half)
+    pairs = materialize(_cross_pairs(listed.where(F.col("kind") == 0).drop("kind").join(of_sets, "f1"), percent), "pairs")
+    more = _verified(_plausible(pairs, sets, percent), docs, n, percent)
+    discard(listed)
+    discard(pairs)
+    # Where the second round found links, the classes take in both rounds' links.
+    final = labels if more.isEmpty() else connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+
+    named = sets.join(final.withColumnRenamed("node", "f1"), "f1", "left").select("f1", "f2", "doc_id", F.coalesce("label", "f1").alias("label"))
+    ids = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
+    of_class = materialize(named.join(ids, "label", "left").select("f1", "f2", F.coalesce("component_id", "doc_id").alias("component_id")), "classes")
+    discard(sets)
+    return rows.join(of_class, ["f1", "f2"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 ORACLE = r"""

@@ -19,7 +19,10 @@ windows together and tells the smallest doc_id that each starts in.
 Window hashes have 128 bits.  Null text has no words; texts of fewer than ``k``
 words keep all; rows with equal doc_id do not remove words of each other, and
 their windows are judged by text, so equal rows give equal results.  A null
-doc_id counts as larger than all others.
+doc_id counts as larger than all others.  An empty table gives an empty result.
+Of the columns only doc_id, text and those named by ``keep`` are read, whatever
+the others are called.  Texts of any length are taken whole; a task holds the
+largest of them a few times.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalweave.llm.store import discard, materialize
-from signalweave.llm.text import STEP, WordHashes, gram_hashes, hash_words, mixed, signed, slices, sliding_min
+from signalweave.llm.text import STEP, Words, gram_hashes, mixed, signed, slices, sliding_min
 
 K = 50
 M = 8
@@ -44,37 +47,35 @@ LAST = 2**63 - 1
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
-def super_kmers(words: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """minimiser, first window and number of windows of each super-k-mer of a text, from its word hashes."""
-    if len(words) < k:
-        empty = np.empty(0, np.int64)
-        return np.empty(0, np.uint64), empty, empty
-    least = sliding_min(gram_hashes(words, m), k - m + 1)
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return least[first], first, np.diff(np.append(first, len(least)))
+def super_kmers(words: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """minimiser, text, first word (among all words) and number of windows of each super-k-mer of the texts."""
+    inside = np.flatnonzero(words.windows(k))
+    if not len(inside):
+        none = np.empty(0, np.int64)
+        return np.empty(0, np.uint64), none, none, none
+    least = sliding_min(gram_hashes(words.hashes(), m), k - m + 1)[inside]
+    owner = np.repeat(np.arange(len(words.bounds) - 1), np.maximum(np.diff(words.bounds) - k + 1, 0))
+    first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])]))
+    return least[first], owner[first], inside[first], np.diff(np.append(first, len(least)))
 
 
-def window_hashes(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of every window."""
+def window_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of every window that lies in one text."""
+    hashes, inside = words.hashes(), words.windows(k)
     with np.errstate(over="ignore"):
-        return gram_hashes(words, k), gram_hashes(mixed(words ^ _SALT) * STEP, k)
+        return gram_hashes(hashes, k)[inside], gram_hashes(mixed(hashes ^ _SALT) * STEP, k)[inside]
 
 
 def _minimisers(docs: DataFrame, k: int, m: int) -> DataFrame:
-    """(mini, doc_key, n): super-k-mers of each document by minimiser."""
+    """(mini, doc_key): a row for each super-k-mer of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = WordHashes()
         for batch in batches:
             for part, raws in slices(batch):
-                minis, owners = [], []
-                for key, raw in zip(part.column(0).to_pylist(), raws, strict=True):
-                    mini, _, _ = super_kmers(hash_words(raw.split(), memory), k, m)
-                    if len(mini):
-                        minis.append(mini)
-                        owners.append(np.full(len(mini), key, np.int64))
-                if minis:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(minis))), pa.array(np.concatenate(owners))], names=["mini", "doc_key"])
+                mini, owner, _, _ = super_kmers(Words(raws), k, m)
+                if len(mini):
+                    keys = part.column(0).to_numpy()[owner]
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(mini)), pa.array(keys)], names=["mini", "doc_key"])
 
     return docs.select("doc_key", "text").mapInArrow(run, "mini bigint, doc_key bigint")
 
@@ -83,36 +84,29 @@ def _packed(wanted: DataFrame, k: int, m: int) -> DataFrame:
     """Super-k-mers of the wanted minimisers: (mini, sub, doc_key, row, start, words).
 
     ``wanted``: doc_key, text, minis (array of mini and number of sub-buckets), row (hash of the text).
+    ``words`` is the piece of the text that the windows cover.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = WordHashes()
         for batch in batches:
             for part, raws in slices(batch):
-                rows = ([], [], [], [], [], [])
-                for i, raw in enumerate(raws):
-                    key, row = part.column(0)[i].as_py(), part.column(3)[i].as_py()
-                    subs = {x["mini"]: x["subs"] for x in part.column(2)[i].as_py()}
-                    words = raw.split()
-                    mini, first, count = super_kmers(hash_words(words, memory), k, m)
-                    for mi, f, c in zip(signed(mini).tolist(), first.tolist(), count.tolist(), strict=True):
-                        n = subs.get(mi)
-                        if n is not None:
-                            rows[0].append(mi)
-                            rows[1].append((hash((key, 7)) % n) if n > 1 else -1)
-                            rows[2].append(key)
-                            rows[3].append(row)
-                            rows[4].append(f)
-                            rows[5].append(b" ".join(words[f : f + c + k - 1]))
-                    if len(rows[0]) > 20_000:
-                        yield _batch(rows)
-                        rows = ([], [], [], [], [], [])
-                if rows[0]:
-                    yield _batch(rows)
-
-    def _batch(rows: tuple) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], names=["mini", "sub", "doc_key", "row", "start", "words"])
+                words = Words(raws)
+                mini, owner, first, count = super_kmers(words, k, m)
+                asked = part.column(2).flatten()
+                known, at = np.unique(asked.field(0).to_numpy(), return_index=True)
+                subs = asked.field(1).to_numpy()[at]
+                place = np.minimum(np.searchsorted(known, signed(mini)), len(known) - 1)
+                taken = np.flatnonzero(known[place] == signed(mini))
+                for lo in range(0, len(taken), 8192):
+                    t = taken[lo : lo + 8192]
+                    key, n, start = part.column(0).to_numpy()[owner[t]], subs[place[t]], first[t] - words.bounds[owner[t]]
+                    # Parts of large buckets hold documents, and places in them, at random.
+                    lot = mixed(key.view(np.uint64) ^ mixed(start.astype(np.uint64) ^ _SALT)) % np.maximum(n, 1).astype(np.uint64)
+                    sub = np.where(n > 1, lot.astype(np.int32), np.int32(-1))
+                    ends = words.last[first[t] + count[t] + k - 2]
+                    packs = [words.data[x:y] for x, y in zip(words.first[first[t]].tolist(), ends.tolist(), strict=True)]
+                    arrays = [pa.array(signed(mini[t])), pa.array(sub.astype(np.int32)), pa.array(key), pa.array(part.column(3).to_numpy()[owner[t]]), pa.array(start.astype(np.int32)), pa.array(packs, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["mini", "sub", "doc_key", "row", "start", "words"])
 
     return wanted.select("doc_key", "text", "minis", "row").mapInArrow(run, "mini bigint, sub int, doc_key bigint, row bigint, start int, words binary")
 
@@ -127,55 +121,49 @@ def _settle(packed: DataFrame, k: int) -> DataFrame:
     schema = "open boolean, doc_key bigint, row bigint, first int, last int, h1 bigint, h2 bigint"
     names = ["open", "doc_key", "row", "first", "last", "h1", "h2"]
 
-    def judge(sub: int, keys: list[int], texts: list[int], starts: list[int], packs: list[bytes], memory: WordHashes) -> Iterator[pa.RecordBatch]:
-        a, b, sizes = [], [], []
-        for raw in packs:
-            one, two = window_hashes(hash_words(raw.split(b" "), memory), k)
-            a.append(one)
-            b.append(two)
-            sizes.append(len(one))
-        h1, h2 = np.concatenate(a), np.concatenate(b)
-        doc, row = np.repeat(np.array(keys, np.int64), sizes), np.repeat(np.array(texts, np.int64), sizes)
-        pos = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, sizes, strict=True)])
-        order = np.lexsort((pos, doc, h2, h1))
-        h1, h2, doc, row, pos = h1[order], h2[order], doc[order], row[order], pos[order]
-        new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        again = doc > least
-        if again.any():
-            yield ranges(doc[again], row[again], pos[again])
-        if sub >= 0 and not again.all():
-            rest = ~again
-            n = int(rest.sum())
+    def judge(buckets: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole buckets, in one sort: the bucket is part of the key."""
+        mini, sub, doc, row, start = (buckets.column(i).to_numpy() for i in range(5))
+        words = Words(buckets.column(5).to_pylist())
+        h1, h2 = window_hashes(words, k)
+        sizes = np.diff(words.bounds) - k + 1
+        pack = np.repeat(np.arange(len(sizes)), sizes)
+        pos = np.arange(len(pack)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + start[pack]
+        with np.errstate(over="ignore"):
+            key = h1 ^ mixed(mixed(mini.view(np.uint64)) + sub.astype(np.uint64))[pack]
+        order = np.argsort(key)
+        new = np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (h2[order][1:] != h2[order][:-1])]))
+        least = np.empty(len(pack), np.int64)
+        least[order] = np.repeat(np.minimum.reduceat(doc[pack][order], new), np.diff(np.append(new, len(pack))))
+        again = doc[pack] > least
+        at = np.flatnonzero(again)
+        if len(at):
+            cut = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (np.diff(pack[at]) > 0)]))
+            lo, hi = at[cut], at[np.append(cut[1:], len(at)) - 1]
+            none = pa.nulls(len(lo), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(lo), bool)), pa.array(doc[pack[lo]]), pa.array(row[pack[lo]]), pa.array(pos[lo].astype(np.int32)), pa.array(pos[hi].astype(np.int32)), none, none], names=names)
+        rest = np.flatnonzero(~again & (sub[pack] >= 0))
+        if len(rest):
             p = pa.array(pos[rest].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), pa.array(doc[rest]), pa.array(row[rest]), p, p, pa.array(signed(h1[rest])), pa.array(signed(h2[rest]))], names=names)
-
-    def ranges(doc: np.ndarray, row: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((pos, row, doc))
-        doc, row, pos = doc[order], row[order], pos[order]
-        cut = np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (pos[1:] > pos[:-1] + 1)])
-        at = np.flatnonzero(cut)
-        end = np.append(at[1:], len(doc)) - 1
-        n = len(at)
-        none = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, bool)), pa.array(doc[at]), pa.array(row[at]), pa.array(pos[at].astype(np.int32)), pa.array(pos[end].astype(np.int32)), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(rest), bool)), pa.array(doc[pack[rest]]), pa.array(row[pack[rest]]), p, p, pa.array(signed(h1[rest])), pa.array(signed(h2[rest]))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = WordHashes()
-        now, keys, texts, starts, packs = None, [], [], [], []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            for mini, sub, key, text, start, words in zip(*cols, strict=True):
-                if (mini, sub) != now:
-                    if packs and (len(packs) > 1 or now[1] >= 0):
-                        yield from judge(now[1], keys, texts, starts, packs, memory)
-                    now, keys, texts, starts, packs = (mini, sub), [], [], [], []
-                keys.append(key)
-                texts.append(text)
-                starts.append(start)
-                packs.append(words)
-        if packs and (len(packs) > 1 or now[1] >= 0):
-            yield from judge(now[1], keys, texts, starts, packs, memory)
+            if not batch.num_rows:
+                continue
+            mini, sub = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            last = int(np.searchsorted(mini, mini[-1]))
+            last += int(np.searchsorted(sub[last:], sub[-1]))  # the last bucket may go on in the next batch
+            if held and last == 0 and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) == (mini[0], sub[0]):
+                held.append(batch)
+                continue
+            done = pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+            if done.num_rows:
+                yield from judge(done)
+        if held:
+            yield from judge(pa.Table.from_batches(held))
 
     dealt = packed.repartition("mini", "sub").sortWithinPartitions("mini", "sub")
     return dealt.select("mini", "sub", "doc_key", "row", "start", "words").mapInArrow(run, schema)

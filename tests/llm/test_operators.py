@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from signalweave.llm import chunk_bpe, ecoc_lang, entropy_mix, extendible, mcd_rules, ngram_join, pu_quality, spotsigs, superkmer, wavelet
 from signalweave.llm.bpe import tokenizer_path
-from signalweave.llm.text import gram_hashes, sliding_min
+from signalweave.llm.text import Words, gram_hashes, sliding_min
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, label string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -428,6 +428,42 @@ def test_bitmaps_bound_the_difference():
         pool = rng.integers(0, 2**64, 4000, dtype=np.uint64)
         a, b = (np.unique(rng.choice(pool, int(rng.integers(1, 3000)))) for _ in range(2))
         apart = len(np.setxor1d(a, b))
-        wide = [ngram_join.parities(x, 4 << len(x).bit_length()) for x in (a, b)]
-        assert ngram_join.least_difference(*wide) <= apart
-        assert ngram_join.least_difference(wide[0], wide[0]) == 0
+        maps = ngram_join.parities(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])).view(np.uint64)
+        assert np.bitwise_count(maps[0] ^ maps[1]).sum() <= apart
+        assert len(a) != 1 or np.bitwise_count(maps[0]).sum() == 1
+
+
+def test_words_of_a_batch_are_those_of_each_text():
+    rng = random.Random(4)
+    texts = [b"", b" \n", b"a", b"A b\tc \x0b", "é ".encode() * 50, b"x" * 300 + b" y " + b"x" * 300, b"q" * 300_000 + b" z", *[bytes(rng.choices(b"aB \n\xc3", k=rng.randint(0, 60))) for _ in range(200)], b"w " * 100_000, b""]
+    for lower in (False, True):
+        words = Words(texts, lower)
+        hashes, known = words.hashes(), {}
+        for i, t in enumerate(texts):
+            own = (t.lower() if lower else t).split()
+            lo, hi = words.bounds[i], words.bounds[i + 1]
+            assert [words.codes[x:y].tobytes() for x, y in zip(words.first[lo:hi], words.last[lo:hi], strict=True)] == own
+            assert all(known.setdefault(w, h) == h for w, h in zip(own, hashes[lo:hi].tolist(), strict=True))
+        assert len(set(known.values())) == len(known)
+        owner = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
+        for n in (1, 2, 5):
+            assert (words.windows(n) == (owner[n - 1 :] == owner[: len(owner) - n + 1])).all()
+    assert len(Words([]).hashes()) == 0
+
+
+def test_classes_of_rows_without_or_with_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = [a, a + " x", a + " y"]
+    got = ngram_join.jaccard_classes(spark.createDataFrame(rows_of([*near, b, b + " z"], [5, 8, None, None, None]), SCHEMA)).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 57, 0), (0, 58, 0), (0, 58, 5), (5, 57, 5), (8, 58, 5)]
+    got = ngram_join.jaccard_classes(spark.createDataFrame(rows_of([a, a, b, b], [3, 7, 7, 9]), SCHEMA)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (7, 3), (7, 7), (9, 7)]
+
+
+def test_connected_joins_long_chains(spark):
+    chain = [(i, i + 1) for i in range(0, 400)]
+    random.Random(1).shuffle(chain)
+    frame = spark.createDataFrame([*chain, (1000, 1001), (1001, 1002), (1003, 1002)], "a bigint, b bigint").repartition(7)
+    got = {r.node: r.label for r in ngram_join.connected(frame).collect()}
+    assert got == {**dict.fromkeys(range(401), 0), **dict.fromkeys(range(1000, 1004), 1000)}
+    assert ngram_join.connected(frame.where("a < 0")).count() == 0
