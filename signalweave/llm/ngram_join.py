@@ -18,14 +18,15 @@ in its sets, leave too little room for the overlap that a link needs.
 *Answers from similar sets.*  A set verified to be similar to another takes over
 that set's answers: both are in one class, so what the one is linked with need
 not be computed for the other.  So candidate pairs are tried in two rounds.
-First each set of an index list is tried with its neighbour by size only, in
-another order of equal sizes in every list, so that a large group of near copies
-is chained together by pairs in proportion to the entries of its lists.  Then all
-pairs are tried whose sets are in different classes.
+First the nearest ``NEIGHBOURS`` by size in every index list are candidates, equal sizes
+standing in another order in every list.  Of those that may link each set is
+tried with the one that looks nearest and with ``TRIES`` more, chosen by hash: a
+large group of near copies is tied together by pairs in proportion to its sets.  Then all pairs are tried whose sets are
+still in different classes.
 
 *Bitmaps.*  Before two sets are fetched, the parities of their shingles over 512
-positions bound the size of their difference from below; pairs beyond what a
-link allows are no links.
+positions, and for large sets over several positions a shingle, bound the size
+of their difference from below; pairs beyond what a link allows are no links.
 
 Classes are joined by union-find inside tasks, then between tasks, in tables on
 the shared folder.
@@ -50,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalweave.llm.store import discard, materialize
+from signalweave.llm.store import discard, materialize, sent
 from signalweave.llm.text import Words, gram_hashes, mixed, signed, slices
 
 #: Buckets of the frequency sketch, as a power of two: a table of one byte each travels to the tasks.
@@ -58,12 +59,18 @@ SKETCH_BITS = 21
 SKETCH_ROWS = 16
 #: Words of 64 positions in a set's bitmap.
 BITMAP = 8
+#: Sets above this size have a second bitmap of four to eight positions a shingle.
+WIDE_FROM = 256
+#: Sets that follow a set in an index list, by size, and are candidates of the first round.
+NEIGHBOURS = 4
+#: Partners chosen by hash that each set is tried with in the first round.
+TRIES = 2
 #: Entries of an index list that are skipped together; lists of up to so many are taken in vector passes with others.
 BLOCK = 64
 #: Pairs that travel with one copy of a document's set.
 FAN = 64
-#: Up to so many keys of wanted texts, 24 bytes each, are sent to the texts; more meet them in a shuffle.
-SENT_KEYS = 1_000_000
+#: Candidate pairs among which a task finds repeated ones.
+HELD_PAIRS = 1_000_000
 #: Links that a task joins at once.
 LOCAL_LINKS = 1_000_000
 
@@ -107,6 +114,23 @@ def parities(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view(np.int64).reshape(sets, BITMAP)
 
 
+def wide_parities(grams: np.ndarray) -> bytes:
+    """The same for one set over four to eight positions a shingle."""
+    width = 4 << len(grams).bit_length()
+    odd = np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Lower bound of the difference of two sets by their wide bitmaps; the wider one is folded to the other's width."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _digest(s: np.ndarray) -> tuple[int, int]:
     d = xxhash.xxh3_128_digest(s.tobytes())
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
@@ -115,14 +139,14 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 _MAP = [f"m{i}" for i in range(BITMAP)]
 
 
-def _named(docs: DataFrame) -> DataFrame:
+def named(docs: DataFrame) -> DataFrame:
     """doc_id, a hash of the text, and the text: the first two find a document again."""
     return docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: (doc_id, row, size, f1, f2, bitmap) of each document; kind 1: a piece of a task's sketch."""
-    names = ["kind", "doc_id", "row", "size", "f1", "f2", *_MAP, "counts"]
+    """kind 0: (doc_id, row, size, f1, f2, bitmaps) of each document; kind 1: a piece of a task's sketch, as ``wide``."""
+    names = ["kind", "doc_id", "row", "size", "f1", "f2", *_MAP, "wide"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int32)
@@ -144,14 +168,15 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 m = len(raws)
                 maps = parities(grams, bounds)
                 arrays = [pa.array(np.zeros(m, np.int32)), part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array([f for f, _ in found], pa.int64()), pa.array([f for _, f in found], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(maps[:, i]) for i in range(BITMAP)], pa.nulls(m, pa.binary())], names=names)
+                wide = [wide_parities(grams[lo:hi]) if hi - lo > WIDE_FROM else None for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(maps[:, i]) for i in range(BITMAP)], pa.array(wide, pa.binary())], names=names)
         if sketch.any():
             pieces = [p.tobytes() for p in np.split(sketch, SKETCH_ROWS)]
             none = pa.nulls(SKETCH_ROWS, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(SKETCH_ROWS, np.int32)), pa.array(range(SKETCH_ROWS), pa.int64()), *[none] * (4 + BITMAP), pa.array(pieces, pa.binary())], names=names)
 
     maps = ", ".join(f"{m} bigint" for m in _MAP)
-    return _named(docs).mapInArrow(run, f"kind int, doc_id bigint, row bigint, size bigint, f1 bigint, f2 bigint, {maps}, counts binary")
+    return named(docs).mapInArrow(run, f"kind int, doc_id bigint, row bigint, size bigint, f1 bigint, f2 bigint, {maps}, wide binary")
 
 
 def _frequency_classes(pieces: DataFrame) -> np.ndarray:
@@ -169,7 +194,7 @@ def _frequency_classes(pieces: DataFrame) -> np.ndarray:
         counts = np.frombuffer(total(part)["counts"].iloc[0], np.int64)
         return pd.DataFrame({"piece": [part["piece"].iloc[0]], "lane": [0], "counts": [np.floor(2 * np.log2(counts + 1)).astype(np.uint8).tobytes()]})
 
-    lanes = pieces.select(F.col("doc_id").alias("piece"), F.pmod(F.spark_partition_id(), F.lit(64)).alias("lane"), "counts")
+    lanes = pieces.select(F.col("doc_id").alias("piece"), F.pmod(F.spark_partition_id(), F.lit(64)).alias("lane"), F.col("wide").alias("counts"))
     once = lanes.groupBy("piece", "lane").applyInPandas(total, schema)
     got = {row["piece"]: row["counts"] for row in once.groupBy("piece").applyInPandas(levels, schema).collect()}
     width = (1 << SKETCH_BITS) // SKETCH_ROWS
@@ -241,7 +266,7 @@ def may_link(size_a: np.ndarray, pos_a: np.ndarray, size_b: np.ndarray, pos_b: n
 
 
 def _lists(prefixes: DataFrame, percent: int) -> DataFrame:
-    """kind 0: the index lists with two or more sets (token, f1, size, pos); kind 1: pairs (token, f1) of neighbours in a list."""
+    """kind 0: the index lists with two or more sets (token, f1, size, pos); kind 1: pairs (token, f1) of near neighbours in a list."""
     names = ["kind", "token", "f1", "size", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,9 +289,12 @@ def _lists(prefixes: DataFrame, percent: int) -> DataFrame:
                 continue
             arrays = [pa.array(np.zeros(int(more.sum()), np.int32)), *[pa.array(c[more]) for c in (token, f1, size, pos)]]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
-            at = np.flatnonzero(same)
-            at = at[may_link(size[at], pos[at], size[at + 1], pos[at + 1], percent)]
-            pairs = pd.DataFrame({"token": np.minimum(f1[at], f1[at + 1]), "f1": np.maximum(f1[at], f1[at + 1])}).drop_duplicates()
+            close = []
+            for step in range(1, NEIGHBOURS + 1):
+                at = np.flatnonzero(token[step:] == token[:-step])
+                at = at[may_link(size[at], pos[at], size[at + step], pos[at + step], percent)]
+                close.append(pd.DataFrame({"token": np.minimum(f1[at], f1[at + step]), "f1": np.maximum(f1[at], f1[at + step])}))
+            pairs = pd.concat(close).drop_duplicates()
             if len(pairs):
                 none = pa.nulls(len(pairs), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(pairs), np.int32)), pa.array(pairs["token"].to_numpy()), pa.array(pairs["f1"].to_numpy()), none, none], names=names)
@@ -305,6 +333,7 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     half = [f"h{i}" for i in range(BITMAP // 2)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pd.DataFrame] = []
         for cols in _whole_lists(batches):
             token = cols[0]
             starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -323,51 +352,76 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
             longer = lengths > BLOCK
             for lo, hi in zip(cuts[:-1][longer].tolist(), cuts[1:][longer].tolist(), strict=True):
                 i, j = list_pairs(size[lo:hi], pos[lo:hi], label[lo:hi], percent)
-                yield from pairs(i + lo, j + lo, f1, size, bits)
+                yield from add(held, i + lo, j + lo, f1, size, bits)
             small = np.flatnonzero(np.repeat(~longer, lengths))
             for step in range(1, int(lengths[~longer].max(initial=1))):
                 i = small[:-step][small[step:] - small[:-step] == step]
                 i = i[(token[i] == token[i + step]) & (label[i] != label[i + step])]
                 j = i + step
                 ok = may_link(size[i], pos[i], size[j], pos[j], percent)
-                yield from pairs(i[ok], j[ok], f1, size, bits)
+                yield from add(held, i[ok], j[ok], f1, size, bits)
+
+        if held:
+            yield from told(held)
+
+    def told(held: list[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+        rows = pd.concat(held).drop_duplicates()
+        held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(rows["a"].to_numpy()), pa.array(rows["b"].to_numpy())], names=["a", "b"])
 
-    def pairs(i: np.ndarray, j: np.ndarray, f1: np.ndarray, size: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-        kept = []
+    def add(held: list[pd.DataFrame], i: np.ndarray, j: np.ndarray, f1: np.ndarray, size: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(i), 1 << 16):
             x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
             total = size[x].astype(np.int64) + size[y]
             apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
             ok = apart <= total - 2 * pair_overlap(total, 0, percent)
             a, b = f1[x[ok]], f1[y[ok]]
-            kept.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates())
-        if kept and len(rows := pd.concat(kept).drop_duplicates()):
-            yield pa.RecordBatch.from_arrays([pa.array(rows["a"].to_numpy()), pa.array(rows["b"].to_numpy())], names=["a", "b"])
+            held.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates())
+            if sum(map(len, held)) > HELD_PAIRS:
+                yield from told(held)
 
     dealt = lists.repartition("token").sortWithinPartitions("token")
     return dealt.select("token", "f1", "size", "pos", "label", *half).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with size, doc_id and row of both, without pairs whose bitmaps rule a link out."""
-    side = sets.select("f1", "doc_id", "row", "size", *_MAP)
-    ends = [side.select([F.col(c).alias(f"{c}_{x}") for c in side.columns]) for x in "ab"]
-    joined = pairs.join(ends[0], F.col("a") == F.col("f1_a")).join(ends[1], F.col("b") == F.col("f1_b"))
+    """(a, b) with doc_id and row of both and ``apart``, the share by which their bitmaps differ, without pairs that this rules out."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("f1")).distinct()
+    side = materialize(sets.join(ends, "f1", "left_semi").select("f1", "doc_id", "row", "size", *_MAP, "wide"), "ends")
+    of = [side.select([F.col(c).alias(f"{c}_{x}") for c in side.columns]) for x in "ab"]
+    joined = pairs.join(of[0], F.col("a") == F.col("f1_a")).join(of[1], F.col("b") == F.col("f1_b"))
     apart: Column = sum((F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in _MAP), F.lit(0))
     total = F.col("size_a") + F.col("size_b")
     room = total - 2 * F.floor((total * percent + (99 + percent)) / (100 + percent))
-    return joined.where(apart <= room).select("a", "b", "doc_id_a", "row_a", "doc_id_b", "row_b")
+    kept = joined.where(apart <= room).select("a", "b", "doc_id_a", "row_a", "doc_id_b", "row_b", room.alias("room"), total.alias("total"), apart.cast("bigint").alias("apart"), "wide_a", "wide_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            room, total, apart = (batch.column(i).to_numpy() for i in (6, 7, 8))
+            maps = zip(batch.column(9).to_pylist(), batch.column(10).to_pylist(), strict=True)
+            wide = np.array([least_difference(x, y) if x and y else 0 for x, y in maps], np.int64)
+            apart = np.maximum(apart, wide)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(apart / total)], names=[*batch.schema.names[:6], "apart"]).filter(pa.array(apart <= room))
+
+    return kept.mapInArrow(run, "a bigint, b bigint, doc_id_a bigint, row_a bigint, doc_id_b bigint, row_b bigint, apart double")
+
+
+def _few(pairs: DataFrame) -> DataFrame:
+    """Of the pairs of each set the nearest one and ``TRIES`` of least hash; a pair stays if one of its sets takes it."""
+    pair = F.struct(F.xxhash64("a", "b").alias("lot"), *pairs.columns)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("f1"), pair.alias("pair"))
+    # Least hashes under several orders: an aggregate with a partial step, whatever the size of the group.
+    orders = [F.min_by("pair", F.struct("pair.apart", "pair.lot")), *[F.min_by("pair", F.xxhash64("pair.lot", F.lit(i))) for i in range(TRIES)]]
+    taken = ends.groupBy("f1").agg(F.array(*orders).alias("taken")).select(F.inline("taken"))
+    return taken.select(*pairs.columns).distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs that link, by their whole sets."""
     ends = pairs.select("a", "b", F.pmod(F.xxhash64("a", "b"), F.lit(FAN)).alias("fan"), F.inline(F.array(*[F.struct(F.col(f"doc_id_{x}").alias("w_doc"), F.col(f"row_{x}").alias("w_row"), F.col(x).alias("f1")) for x in "ab"])))
     wanted = materialize(ends.groupBy("w_doc", "w_row", "f1", "fan").agg(F.collect_list(F.struct("a", "b")).alias("pairs")), "wanted")
-    keys = wanted.select(F.col("w_doc").alias("k_doc"), F.col("w_row").alias("k_row")).distinct()
-    if keys.count() <= SENT_KEYS:
-        keys = F.broadcast(keys)
-    texts = _named(docs)
-    found = texts.join(keys, F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("row") == F.col("k_row")), "left_semi")
+    keys = sent(wanted.select(F.col("w_doc").alias("k_doc"), F.col("w_row").alias("k_row")).distinct())
+    found = named(docs).join(keys, F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("row") == F.col("k_row")), "left_semi")
     fetched = found.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("row") == F.col("w_row"))).select("f1", "fan", "text", "pairs")
     names = ["a", "b", "shingles"]
 
@@ -471,20 +525,20 @@ def connected(links: DataFrame) -> DataFrame:
     return materialize(out.withColumnRenamed("least", "label"), "labels")
 
 
-def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, keys: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; with ``keys`` also row, the hash of its text, and class_key, which names its class (null for empty sets)."""
     scanned = materialize(_sets(docs, n), "sets")
     rows = scanned.where(F.col("kind") == 0)
     classes = _frequency_classes(scanned.where(F.col("kind") == 1))
     # One representative of equal sets, found again by doc_id and hash of its text; the second half of the digest guards the first.
     first = F.min_by(F.struct("doc_id", "row"), F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("one")
-    equal = rows.where(F.col("size") > 0).groupBy("f1", "f2").agg(first, *[F.first(c).alias(c) for c in ("size", *_MAP)])
-    sets = materialize(equal.select("f1", "f2", "one.doc_id", "one.row", "size", *_MAP), "equal_sets")
+    equal = rows.where(F.col("size") > 0).groupBy("f1", "f2").agg(first, *[F.first(c).alias(c) for c in ("size", *_MAP, "wide")])
+    sets = materialize(equal.select("f1", "f2", "one.doc_id", "one.row", "size", *_MAP, "wide"), "equal_sets")
     listed = materialize(_lists(_prefixes(docs, n, percent, classes), percent), "lists")
 
     # First neighbours in the lists, then every pair whose sets are still apart.
     near = listed.where(F.col("kind") == 1).select(F.col("token").alias("a"), F.col("f1").alias("b")).distinct()
-    links = _verified(_plausible(near, sets, percent), docs, n, percent)
+    links = _verified(_few(_plausible(near, sets, percent)), docs, n, percent)
     labels = connected(links)
     half = [F.col(_MAP[i]).bitwiseXOR(F.col(_MAP[i + BITMAP // 2])).alias(f"h{i}") for i in range(BITMAP // 2)]
     of_sets = sets.join(labels.withColumnRenamed("node", "f1"), "f1", "left").select("f1", F.coalesce("label", "f1").alias("label"), *half)
@@ -495,11 +549,12 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     # Where the second round found links, the classes take in both rounds' links.
     final = labels if more.isEmpty() else connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
-    named = sets.join(final.withColumnRenamed("node", "f1"), "f1", "left").select("f1", "f2", "doc_id", F.coalesce("label", "f1").alias("label"))
-    ids = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
-    of_class = materialize(named.join(ids, "label", "left").select("f1", "f2", F.coalesce("component_id", "doc_id").alias("component_id")), "classes")
+    labelled = sets.join(final.withColumnRenamed("node", "f1"), "f1", "left").select("f1", "f2", "doc_id", F.coalesce("label", "f1").alias("class_key"))
+    ids = labelled.groupBy("class_key").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
+    of_class = materialize(labelled.join(ids, "class_key", "left").select("f1", "f2", "class_key", F.coalesce("component_id", "doc_id").alias("component_id")), "classes")
     discard(sets)
-    return rows.join(of_class, ["f1", "f2"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.join(of_class, ["f1", "f2"], "left")
+    return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *(["row", "class_key"] if keys else []))
 
 
 ORACLE = r"""

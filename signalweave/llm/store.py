@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,3 +54,12 @@ def discard(df: DataFrame) -> None:
     spark = df.sparkSession
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of keys, of a few dozen bytes each, up to which they are sent to all tasks.
+SENT_KEYS = 1_000_000
+
+
+def sent(keys: DataFrame, most: int = SENT_KEYS) -> DataFrame:
+    """``keys``, marked to be broadcast if there are no more than ``most``; more of them meet the other side in a shuffle."""
+    return F.broadcast(keys) if keys.count() <= most else keys

@@ -430,6 +430,7 @@ def test_bitmaps_bound_the_difference():
         apart = len(np.setxor1d(a, b))
         maps = ngram_join.parities(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])).view(np.uint64)
         assert np.bitwise_count(maps[0] ^ maps[1]).sum() <= apart
+        assert ngram_join.least_difference(ngram_join.wide_parities(a), ngram_join.wide_parities(b)) <= apart
         assert len(a) != 1 or np.bitwise_count(maps[0]).sum() == 1
 
 

@@ -55,3 +55,14 @@ def test_run_gives_the_last_stage(spark, small):
     got = pipeline.run(spark, small)
     assert {"doc_id", "n_tokens", "ids"} <= set(got.columns)
     assert got.count() > 0
+
+
+def test_near_duplicates_keep_one_row_of_each_class(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, row bigint, class_key string"
+    rows = [(5, a + " x"), (4, a), (4, a), (None, a), (4, b), (None, b + " y"), (None, "c d e"), (None, "c d e"), (1, None), (1, None), (2, " ")]
+    docs = spark.createDataFrame([(i, t, None, "s", None, 0, "x") for i, t in rows], schema)
+    got = pipeline.near_duplicates(spark, docs, "")
+    assert tuple(got.columns) == pipeline.COLUMNS
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(4, a), (4, b), (None, "c d e"), (1, None), (1, None), (2, " ")])
+    assert pipeline.near_duplicates(spark, docs.where("doc_id > 9"), "").count() == 0
