@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from signalweave.deploy import ship
 from signalweave.llm import chunk_bpe, entropy_mix, ngram_join, pu_quality, superkmer
-from signalweave.llm.store import new_path
+from signalweave.llm.store import materialize, new_path, sent
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,15 +27,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each class of five-word shingle sets with Jaccard 0.8 or more.
+    """Keeps one document of each class of five-word shingle sets with Jaccard 0.8 or more.
 
-    Rows that repeat a doc_id leave one; rows without a doc_id stay.
+    It is the one with the smallest doc_id, none counting as the largest, and
+    among rows of that doc_id the one with the least hash of its text; of rows
+    alike in both the least one stays.  Documents without a word are in no class
+    and stay.
     """
     ship(spark)
-    classes = ngram_join.jaccard_classes(docs, n=5, percent=80)
-    first = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS)).select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    rows = materialize(ngram_join.jaccard_classes(docs, n=5, percent=80, keys=True).where(F.col("class_key").isNotNull()), "rows")
+    name = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")
+    first = rows.groupBy("class_key").agg(F.min(name).alias("first"))
+    counted = rows.groupBy("class_key", "doc_id", "row").agg(F.count(F.lit(1)).alias("n")).join(first, "class_key")
+    again = (name == F.col("first")) & (F.col("n") > 1)
+    # What goes is less than what stays, and usually few enough to be sent to the texts, which then are not shuffled.
+    gone = materialize(counted.where((name != F.col("first")) | again).select(F.col("doc_id").alias("g_doc"), F.col("row").alias("g_row"), again.alias("again")), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col("g_doc")) & (F.col("row") == F.col("g_row"))
+    texts = docs.withColumn("row", F.xxhash64("text"))
+    kept = texts.join(sent(gone.select("g_doc", "g_row")), same, "left_anti")
+    repeated = texts.join(sent(gone.where("again").select("g_doc", "g_row")), same, "left_semi")
+    one = repeated.groupBy("doc_id", "row").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("one")).select("doc_id", "one.*")
+    return kept.select(*COLUMNS).unionByName(one.select(*COLUMNS))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +65,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share a doc_id all take the largest number of copies among them.
     """
     ship(spark)
+    docs = docs.select(*COLUMNS)
     copies = entropy_mix.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where(F.col("copies") > 0).withColumnRenamed("doc_id", "c_doc")
     joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["c_doc"]))
     return joined.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
