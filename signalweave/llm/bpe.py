@@ -38,14 +38,18 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Bytes that a remembered word takes beside its characters and ids, about.
+ENTRY = 150
+
+
 class WordEncoder:
     """word (UTF-8 bytes) -> ids as little-endian uint16 bytes.
 
-    ``memory`` bounds the number of words remembered in a worker; what is
-    forgotten is encoded anew, so the result does not depend on it.
+    ``memory`` bounds the bytes of words, and of pieces of words, remembered in a
+    worker; what is forgotten is encoded anew, so the result does not depend on it.
     """
 
-    def __init__(self, path: str, memory: int = 600_000):
+    def __init__(self, path: str, memory: int = 40 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -57,15 +61,24 @@ class WordEncoder:
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.memory = memory
+        self.held = {"words": 0, "pieces": 0}
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
 
+    def _remember(self, kind: str, memory: dict, key: str | bytes, ids: bytes) -> None:
+        size = ENTRY + len(key) + len(ids)
+        if size > self.memory // 64:
+            return
+        self.held[kind] += size
+        if self.held[kind] > self.memory:
+            memory.clear()
+            self.held[kind] = size
+        memory[key] = ids
+
     def _piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
         got = np.array([t.id for t in self.model.tokenize(shown)], "<u2").tobytes()
-        if len(self.pieces) >= self.memory:
-            self.pieces.clear()
-        self.pieces[piece] = got
+        self._remember("pieces", self.pieces, piece, got)
         return got
 
     def _new(self, word: bytes) -> bytes:
@@ -75,9 +88,7 @@ class WordEncoder:
             got = b"".join(pieces.get(p) or self._piece(p) for p in _PIECES.findall(text.lower()))
         else:
             got = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        if len(self.words) >= self.memory:
-            self.words.clear()
-        self.words[word] = got
+        self._remember("words", self.words, word, got)
         return got
 
     def encode(self, raw: bytes) -> bytes:

@@ -28,7 +28,7 @@ from signalweave.llm.text import slices
 #: A chunk ends where the rolling hash of the last 16 bytes has these bits zero: 512 bytes on average.
 END_BITS = 9
 #: Bytes of chunks that a worker remembers before it starts anew; bounds memory, not results.
-CHUNK_MEMORY = 48 << 20
+CHUNK_MEMORY = 32 << 20
 
 _WS = b" \t\n\v\f\r"
 _TABLE = np.random.default_rng(20240229).integers(1, 2**32, 256, dtype=np.uint32)
@@ -108,20 +108,21 @@ class ChunkEncoder:
 
     def encode(self, raw: bytes, ends: list[int]) -> list[tuple[int, bytes, bytes]]:
         """The encoded runs of a text in order; no run is empty."""
-        out, open_word = [], b""
+        out, open_word = [], []  # the open word in pieces
         begin = 0
         for end in [*ends, len(raw)]:
             head, body, tail = self._chunk(raw[begin:end])
             begin = end
             if body is None:
-                open_word += head
+                open_word.append(head)
                 continue
-            if open_word or head:
-                out.append(self._shown(self.words.encode(open_word + head)))
+            open_word.append(head)
+            if any(open_word):
+                out.append(self._shown(self.words.encode(b"".join(open_word))))
             out.append(body)
-            open_word = tail
-        if open_word:
-            out.append(self._shown(self.words.encode(open_word)))
+            open_word = [tail]
+        if any(open_word):
+            out.append(self._shown(self.words.encode(b"".join(open_word))))
         return [x for x in out if x[0]]
 
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signalweave.llm.store import sent
 from signalweave.llm.text import slices
 
 BUCKET_BITS = 14
@@ -123,12 +124,13 @@ class Model:
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Learns from about ``rows`` documents of each language, chosen by hash of their text; ``labelled``: text, lang."""
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    """Learns from about ``rows`` documents of each language, chosen by hash of doc_id and text; ``labelled``: doc_id, text, lang."""
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     share = F.least(F.lit(1.0), F.lit(float(rows)) / F.col("_n"))
-    place = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1_000_000)) / 1_000_000
-    sample = known.join(sizes, "lang").where(place < share).select("lang", "text").repartition(TRAIN_TASKS, F.xxhash64("text"))
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1_000_000)) / 1_000_000
+    # The counts, a row for each language, go to the texts: only the sample travels.
+    sample = known.join(sent(sizes), "lang").where(place < share).select("lang", "text").repartition(TRAIN_TASKS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 2 << BUCKET_BITS

@@ -33,7 +33,8 @@ from signalweave.llm.store import materialize
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Parts of a (source, size) class that are ranked apart, so that a large group of copies is never one task's work.
 PARTS = 256
-NEWTON_STEPS = 40
+#: Bisection alone ends well before so many steps; a run that has not is an error.
+NEWTON_STEPS = 200
 #: Relative miss of a source's tokens at which its multiplier counts as found.
 TOLERANCE = 1e-9
 CORRECTIONS = 4
@@ -110,8 +111,8 @@ def multipliers(histogram: DataFrame, targets: DataFrame, most: float = 2.0) ->
             "multipliers",
         )
         if state.where(~F.col("found")).isEmpty():
-            break
-    return state.select("source", "mean", "multiplier", "full")
+            return state.select("source", "mean", "multiplier", "full")
+    raise RuntimeError("the multipliers were not found")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2, text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:

@@ -5,14 +5,22 @@ unlabelled web text.  The classifier minimises the non-negative unbiased risk
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
-with the logistic loss, where the share of positives in web text, the prior, is
-estimated from the labelled documents of the learning folds.  Its inputs are
+with the logistic loss.  The prior, the share of positives in web text, is
+estimated from positives and unlabelled text alone: a classifier of the one
+against the other is fitted on half of the sample, and on the other half the
+prior is the least ratio of the shares of unlabelled and of positive documents
+above a score, taken where its confidence bound is least (best bin estimation).
+Labels other than 1 only keep their documents out of the sample.  Its inputs are
 shape statistics of the text only: shares of kinds of characters, of repeated
 words, lines and windows, and lengths, with their squares.
 
 It is fitted on bounded, hash-chosen samples (``TRAIN_ROWS`` of each kind);
 every document is then scored in one pass without a shuffle.  Null text is
-scored as empty text.
+scored as empty text.  Without positives or without unlabelled documents there
+is nothing to learn from and every score is 0.5.  A doc_id that is labelled more
+than once counts as positive if one of its labels is 1; rows without a doc_id
+are unlabelled.  Rows that repeat a doc_id are scored one by one.  An empty
+table gives an empty result.  Texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -29,9 +37,9 @@ from signalweave.llm.text import slices
 
 #: About how many positives, and how many unlabelled documents, the fit uses.
 TRAIN_ROWS = 8000
-#: Prior where the labels give none: no labelled document, or of one kind only.
-DEFAULT_PRIOR = 0.8
 EPOCHS = 400
+#: Chance that the confidence bound of the prior's ratio does not hold.
+DOUBT = 0.1
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -118,49 +126,72 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(g, -50, 50)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS, decay: float = 1e-3) -> Model:
-    """Full-batch Adam on the non-negative risk; where the negative part is below 0, its gradient is undone."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, epochs: int = EPOCHS, decay: float = 1e-3) -> Model:
+    """Full-batch Adam on the non-negative risk; where the negative part is below 0, its gradient is undone.
+
+    Without a prior the risk is that of telling positive from unlabelled rows, both kinds weighing the same.
+    """
     both = np.concatenate([positive, unlabelled])
-    model = Model(both.mean(axis=0), np.maximum(both.std(axis=0), 1e-2), np.zeros(2 * both.shape[1]), 0.0, prior)
+    share = 0.5 if prior is None else prior
+    model = Model(both.mean(axis=0), np.maximum(both.std(axis=0), 1e-2), np.zeros(2 * both.shape[1]), 0.0, share)
     p, u = model.expand(positive), model.expand(unlabelled)
-    w, b = model.weights, math.log(prior / (1 - prior))
+    w, b = model.weights, math.log(share / (1 - share))
     m = v = np.zeros(len(w) + 1)
     for t in range(1, epochs + 1):
         gp, gu = p @ w + b, u @ w + b
         sp, su = 1 / (1 + np.exp(-np.clip(gp, -50, 50))), 1 / (1 + np.exp(-np.clip(gu, -50, 50)))
         # Logistic losses: against label 1 log(1 + exp(-g)), against label 0 log(1 + exp(g)).
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        grad_pos = np.append(-(p * (1 - sp)[:, None]).mean(axis=0), -(1 - sp).mean()) * prior
-        grad_neg = np.append((u * su[:, None]).mean(axis=0), su.mean()) - prior * np.append((p * sp[:, None]).mean(axis=0), sp.mean())
-        grad = grad_pos + grad_neg if negative >= 0 else -grad_neg
+        grad_pos = np.append(-(p * (1 - sp)[:, None]).mean(axis=0), -(1 - sp).mean()) * share
+        grad_neg = np.append((u * su[:, None]).mean(axis=0), su.mean())
+        if prior is None:
+            grad = grad_pos + (1 - share) * grad_neg
+        else:
+            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+            grad_neg = grad_neg - prior * np.append((p * sp[:, None]).mean(axis=0), sp.mean())
+            grad = grad_pos + grad_neg if negative >= 0 else -grad_neg
         grad[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return Model(model.mean, model.std, w, float(b), prior)
-
-
-def train(docs: DataFrame, labels: DataFrame, learn: F.Column | None = None, rows: int = TRAIN_ROWS) -> Model:
-    """Fits on documents with label 1 and documents without a label; ``learn`` says whose labels may be used."""
-    known = labels.select(F.col("doc_id").alias("l_doc"), "quality")
-    if learn is not None:
-        known = labels.where(learn).select(F.col("doc_id").alias("l_doc"), "quality")
-    known = known.where(F.col("quality").isNotNull()).groupBy("l_doc").agg(F.max("quality").alias("quality"))
-    n0, n1 = (known.agg(F.count_if(F.col("quality") == 0), F.count_if(F.col("quality") == 1)).first())[:2]
-    prior = min(0.98, n1 / (n0 + n1)) if n0 and n1 else DEFAULT_PRIOR
-    every = labels.select(F.col("doc_id").alias("l_doc")).distinct()
-    free = docs.select("doc_id", "text").join(every, F.col("doc_id") == F.col("l_doc"), "left_anti")
-    place = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000)) / 1_000_000
-    n_free = max(1, free.select("doc_id").count())
-    good = known.where(F.col("quality") == 1).where(F.pmod(F.xxhash64("l_doc", F.lit(29)), F.lit(1_000_000)) / 1_000_000 < rows / max(1, n1))
-    positive = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("l_doc"))
-    sample = positive.select(F.lit(1).alias("kind"), "doc_id", "text").unionByName(free.where(place < rows / n_free).select(F.lit(0).alias("kind"), "doc_id", "text"))
-    # By kind and id: the fit sees the rows in one order, whatever the tasks did.
-    got = _feature_rows(sample, ("kind", "doc_id")).toPandas().sort_values(["kind", "doc_id"], kind="stable")
+    return Model(model.mean, model.std, w, float(b), share)
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives in the unlabelled rows, from scores of a classifier of positive against unlabelled rows.
+
+    Above any score lies at least that share of the unlabelled rows, times the
+    share of positives above it; the ratio is least where other rows are rare.
+    """
+    p, u = np.sort(positive), np.sort(unlabelled)
+    at = np.concatenate([[-np.inf], p])
+    above_p = 1 - np.searchsorted(p, at) / len(p)
+    above_u = 1 - np.searchsorted(u, at) / len(u)
+    slack = math.sqrt(math.log(4 / DOUBT) / (2 * len(u))) + math.sqrt(math.log(4 / DOUBT) / (2 * len(p)))
+    some = above_p > 0
+    best = int(np.argmin(np.where(some, (above_u + slack) / np.where(some, above_p, 1), np.inf)))
+    return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    """Fits on documents with label 1 and documents without a label."""
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("l_doc")).agg(F.max("quality").alias("quality"))
+    n1 = known.where("quality = 1").count()
+    texts = docs.select("doc_id", "text")
+    free = texts.join(known, F.col("doc_id") == F.col("l_doc"), "left_anti")
+    n_free = free.select("doc_id").count()
+    # A row's lot depends on its text too, so that rows without an id do not share one.
+    lot = F.xxhash64("doc_id", "text", F.lit(29))
+    place = F.pmod(lot, F.lit(1_000_000)) / 1_000_000
+    good = texts.join(known.where("quality = 1"), F.col("doc_id") == F.col("l_doc")).where(place < rows / max(1, n1))
+    sample = good.select(F.lit(1).alias("kind"), lot.alias("lot"), "text").unionByName(free.where(place < rows / max(1, n_free)).select(F.lit(0).alias("kind"), lot.alias("lot"), "text"))
+    # By kind and lot: the fit sees the rows in one order, whatever the tasks did.  Copies share a lot and may be many: the limit bounds them.
+    got = _feature_rows(sample, ("kind", "lot")).orderBy("lot", "kind").limit(3 * rows).toPandas()
     x, kind = np.array(got["x"].tolist(), float).reshape(-1, N_FEATURES), got["kind"].to_numpy()
-    if not (kind == 1).any() or not (kind == 0).any():
-        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(2 * N_FEATURES), math.log(prior / (1 - prior)), prior)
-    return fit(x[kind == 1], x[kind == 0], prior)
+    positive, unlabelled = x[kind == 1], x[kind == 0]
+    if len(positive) < 2 or len(unlabelled) < 2:
+        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(2 * N_FEATURES), 0.0, 0.5)
+    against = fit(positive[::2], unlabelled[::2], None)
+    return fit(positive, unlabelled, estimate_prior(against.score(positive[1::2]), against.score(unlabelled[1::2])))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -41,7 +41,7 @@ def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     fold = F.pmod(ecoc_lang.crc_of_id(F.col("doc_id")), F.lit(3))
-    model = pu_quality.train(docs, labels, learn=fold != 1)
+    model = pu_quality.train(docs.where(fold != 1), labels.where(fold != 1))
     scored = pu_quality.score(docs, model)
     return scored.select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
 
@@ -60,11 +60,12 @@ def op7_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = entropy_mix.mix(_documents(spark, sf_dir))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
 def op9_mcd_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mcd_rules.quality_rules(_documents(spark, sf_dir))
+    found = mcd_rules.quality_rules(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
 
 def op10_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 
 #: Text that is looked at in one vectorised step, in bytes.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 U64 = np.uint64
 
 

@@ -191,10 +191,10 @@ def test_chunks_of_shared_passages_are_reused():
 def test_positive_unlabelled_quality(spark, small):
     docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
     fold = F.pmod(ecoc_lang.crc_of_id(F.col("doc_id")), F.lit(3))
-    model = pu_quality.train(docs, labels, learn=fold != 1)
+    model = pu_quality.train(docs.where(fold != 1), labels.where(fold != 1))
     got = pu_quality.score(docs, model).join(labels, "doc_id").where(fold == 1).toPandas()
     assert (got.predicted == got.quality).mean() > 0.9
-    again = pu_quality.train(docs, labels, learn=fold != 1)
+    again = pu_quality.train(docs.where(fold != 1), labels.where(fold != 1))
     assert np.allclose(model.weights, again.weights)
 
 
@@ -468,3 +468,18 @@ def test_connected_joins_long_chains(spark):
     got = {r.node: r.label for r in ngram_join.connected(frame).collect()}
     assert got == {**dict.fromkeys(range(401), 0), **dict.fromkeys(range(1000, 1004), 1000)}
     assert ngram_join.connected(frame.where("a < 0")).count() == 0
+
+
+def test_prior_is_estimated_from_positives_and_unlabelled_rows_alone():
+    rng = np.random.default_rng(8)
+    for share in (0.3, 0.6, 0.9):
+        positive = rng.normal(2, 1, 4000)
+        mixed_rows = np.concatenate([rng.normal(2, 1, int(4000 * share)), rng.normal(-2, 1, int(4000 * (1 - share)))])
+        assert abs(pu_quality.estimate_prior(positive, mixed_rows) - share) < 0.06
+
+
+def test_quality_without_anything_to_learn_from(spark, docs, empty):
+    none = spark.createDataFrame([], "doc_id bigint, quality int")
+    model = pu_quality.train(docs, none)
+    assert {(r.score, r.predicted) for r in pu_quality.score(docs, model).collect()} == {(0.5, 1)}
+    assert pu_quality.score(empty, pu_quality.train(empty, none)).count() == 0
