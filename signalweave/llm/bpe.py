@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 #: Latin letters whose normal form is themselves and whose lower case is one letter.
 _LATIN = "À-ÖØ-öø-į"
@@ -42,14 +42,38 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 ENTRY = 150
 
 
+class Memory:
+    """Bytes by word or piece, the lately used ones: what is not asked for while ``limit`` bytes come in is forgotten."""
+
+    def __init__(self, limit: int):
+        self.new: dict = {}
+        self.old: dict = {}
+        self.held, self.limit = 0, limit // 2
+
+    def find(self, key: str | bytes) -> bytes | None:
+        got = self.old.get(key)
+        if got is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key: str | bytes, ids: bytes) -> None:
+        size = ENTRY + len(key) + len(ids)
+        if size > self.limit // 64:
+            return
+        self.held += size
+        if self.held > self.limit:
+            self.old, self.new, self.held = self.new, {}, size
+        self.new[key] = ids
+
+
 class WordEncoder:
-    """word (UTF-8 bytes) -> ids as little-endian uint16 bytes.
+    """word (UTF-8 bytes) -> ids as uint16 bytes, little-endian.
 
     ``memory`` bounds the bytes of words, and of pieces of words, remembered in a
     worker; what is forgotten is encoded anew, so the result does not depend on it.
     """
 
-    def __init__(self, path: str, memory: int = 40 << 20):
+    def __init__(self, path: str, memory: int = 140 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -58,48 +82,46 @@ class WordEncoder:
         self.library.no_padding()
         self.model = self.library.model
         self.letters = _byte_letters()
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.memory = memory
-        self.held = {"words": 0, "pieces": 0}
+        self.words, self.pieces = Memory(memory), Memory(memory // 4)
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
 
-    def _remember(self, kind: str, memory: dict, key: str | bytes, ids: bytes) -> None:
-        size = ENTRY + len(key) + len(ids)
-        if size > self.memory // 64:
-            return
-        self.held[kind] += size
-        if self.held[kind] > self.memory:
-            memory.clear()
-            self.held[kind] = size
-        memory[key] = ids
-
     def _piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-        got = np.array([t.id for t in self.model.tokenize(shown)], "<u2").tobytes()
-        self._remember("pieces", self.pieces, piece, got)
+        got = self.pieces.find(piece)
+        if got is None:
+            shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            got = _bytes([t.id for t in self.model.tokenize(shown)])
+            self.pieces.put(piece, got)
         return got
 
-    def _new(self, word: bytes) -> bytes:
+    def _word(self, word: bytes) -> bytes:
+        got = self.words.find(word)
+        if got is not None:
+            return got
         text = word.decode("utf-8", "replace")
         if _PLAIN.fullmatch(text) and "<|" not in text:
-            pieces = self.pieces
-            got = b"".join(pieces.get(p) or self._piece(p) for p in _PIECES.findall(text.lower()))
+            known = self.pieces.new
+            got = b"".join([known.get(p) or self._piece(p) for p in _PIECES.findall(text.lower())])
         else:
-            got = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        self._remember("words", self.words, word, got)
+            got = _bytes(self.library.encode(text, add_special_tokens=False).ids)
+        self.words.put(word, got)
         return got
 
     def encode(self, raw: bytes) -> bytes:
         """ids of a whole text, as uint16 bytes."""
-        words = self.words
-        out = list(map(words.get, found := raw.split()))
+        out = list(map(self.words.new.get, found := raw.split()))
         if None in out:
-            out = [x if x is not None else words.get(w) or self._new(w) for x, w in zip(out, found, strict=True)]
+            out = [x if x is not None else self.words.new.get(w) or self._word(w) for x, w in zip(out, found, strict=True)]
         return b"".join(out)
 
 
+def _bytes(ids: list[int]) -> bytes:
+    got = array("H", ids)
+    if sys.byteorder == "big":
+        got.byteswap()
+    return got.tobytes()
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 

@@ -28,7 +28,7 @@ from signalweave.llm.text import slices
 #: A chunk ends where the rolling hash of the last 16 bytes has these bits zero: 512 bytes on average.
 END_BITS = 9
 #: Bytes of chunks that a worker remembers before it starts anew; bounds memory, not results.
-CHUNK_MEMORY = 32 << 20
+CHUNK_MEMORY = 40 << 20
 
 _WS = b" \t\n\v\f\r"
 _TABLE = np.random.default_rng(20240229).integers(1, 2**32, 256, dtype=np.uint32)

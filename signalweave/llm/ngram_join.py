@@ -62,7 +62,7 @@ BITMAP = 8
 #: Sets above this size have a second bitmap of four to eight positions a shingle.
 WIDE_FROM = 256
 #: Sets that follow a set in an index list, by size, and are candidates of the first round.
-NEIGHBOURS = 4
+NEIGHBOURS = 2
 #: Partners chosen by hash that each set is tried with in the first round.
 TRIES = 2
 #: Entries of an index list that are skipped together; lists of up to so many are taken in vector passes with others.
