@@ -62,7 +62,7 @@ BITMAP = 8
 #: Sets above this size have a second bitmap of four to eight positions a shingle.
 WIDE_FROM = 256
 #: Sets that follow a set in an index list, by size, and are candidates of the first round.
-NEIGHBOURS = 2
+NEIGHBOURS = 4
 #: Partners chosen by hash that each set is tried with in the first round.
 TRIES = 2
 #: Entries of an index list that are skipped together; lists of up to so many are taken in vector passes with others.
@@ -386,7 +386,8 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) with doc_id and row of both and ``apart``, the share by which their bitmaps differ, without pairs that this rules out."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("f1")).distinct()
+    # A set is in many pairs: each side is reduced to its sets before the two meet.
+    ends = pairs.select(F.col("a").alias("f1")).distinct().unionByName(pairs.select(F.col("b").alias("f1")).distinct()).distinct()
     side = materialize(sets.join(ends, "f1", "left_semi").select("f1", "doc_id", "row", "size", *_MAP, "wide"), "ends")
     of = [side.select([F.col(c).alias(f"{c}_{x}") for c in side.columns]) for x in "ab"]
     joined = pairs.join(of[0], F.col("a") == F.col("f1_a")).join(of[1], F.col("b") == F.col("f1_b"))
@@ -537,15 +538,15 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, keys: bool =
     listed = materialize(_lists(_prefixes(docs, n, percent, classes), percent), "lists")
 
     # First neighbours in the lists, then every pair whose sets are still apart.
-    near = listed.where(F.col("kind") == 1).select(F.col("token").alias("a"), F.col("f1").alias("b")).distinct()
+    near = materialize(listed.where(F.col("kind") == 1).select(F.col("token").alias("a"), F.col("f1").alias("b")).distinct(), "near")
     links = _verified(_few(_plausible(near, sets, percent)), docs, n, percent)
     labels = connected(links)
     half = [F.col(_MAP[i]).bitwiseXOR(F.col(_MAP[i + BITMAP // 2])).alias(f"h{i}") for i in range(BITMAP // 2)]
     of_sets = sets.join(labels.withColumnRenamed("node", "f1"), "f1", "left").select("f1", F.coalesce("label", "f1").alias("label"), *half)
     pairs = materialize(_cross_pairs(listed.where(F.col("kind") == 0).drop("kind").join(of_sets, "f1"), percent), "pairs")
     more = _verified(_plausible(pairs, sets, percent), docs, n, percent)
-    discard(listed)
-    discard(pairs)
+    for table in (listed, near, pairs):
+        discard(table)
     # Where the second round found links, the classes take in both rounds' links.
     final = labels if more.isEmpty() else connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
