@@ -1,18 +1,18 @@
 """Operators on link graphs: (repo, src, dst) edges and (repo, node) nodes.
 
-Loops keep only narrow state, and write it to the session's checkpoint folder
-every round, as each round reads its predecessor more than once and a lost executor costs little.
+Ranks are worked out in rounds over one table of nodes that holds their links:
+a round is one grouping by receiver.  It ends with a checkpoint in the folder
+that all executors share, so a lost executor costs one round at most.
 """
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CHECKPOINT_EVERY = 1
-
 
 def _cut(df: DataFrame) -> DataFrame:
     """Cuts the plan with a reliable checkpoint."""
@@ -21,11 +21,16 @@ def _cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         found = context.getConf().get("spark.checkpoint.dir")
         if not found:
-            if not context.master.startswith("local"):
+            if not (context.master == "local" or context.master.startswith("local[")):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             found = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(found)
-    return df.checkpoint()
+    # Kept while it is written, or the plan would run once for the data and once for the file.
+    held = df.persist()
+    try:
+        return held.checkpoint()
+    finally:
+        held.unpersist()
 
 
 def build_edges(links: DataFrame) -> DataFrame:
@@ -40,19 +45,8 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iters: int = 40) -> DataFrame:
     """(repo, node, rank): uniform start, dangling mass spread evenly, ranks of a repo sum to 1."""
     n = nodes.groupBy("repo").agg(F.count(F.lit(1)).alias("_n"))
-    out = edges.groupBy("repo", "src").agg(F.count(F.lit(1)).alias("_out"))
-    links = _cut(edges.join(out, ["repo", "src"]))
-    ends = out.select("repo", F.col("src").alias("node"), F.lit(True).alias("_links"))
-    base = _cut(nodes.join(n, "repo").join(ends, ["repo", "node"], "left").select("repo", "node", "_n", F.coalesce("_links", F.lit(False)).alias("_links")))
-    ranks = base.withColumn("rank", F.lit(1.0) / F.col("_n"))
-    for i in range(iters):
-        given = links.join(ranks.select("repo", F.col("node").alias("src"), "rank"), ["repo", "src"]).groupBy("repo", F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("_out")).alias("_in"))
-        loose = ranks.groupBy("repo").agg(F.sum(F.when(~F.col("_links"), F.col("rank")).otherwise(0.0)).alias("_loose"))
-        rank = (1 - damping) / F.col("_n") + damping * (F.coalesce("_in", F.lit(0.0)) + F.col("_loose") / F.col("_n"))
-        ranks = base.join(given, ["repo", "node"], "left").join(loose, "repo").select("repo", "node", "_n", "_links", rank.alias("rank"))
-        if i % CHECKPOINT_EVERY == CHECKPOINT_EVERY - 1:
-            ranks = _cut(ranks)
-    return ranks.select("repo", "node", "rank")
+    teleport = nodes.join(n, "repo").select("repo", "node", (1.0 / F.col("_n")).alias("_t"))
+    return _ranked(teleport, edges, damping, iters, 0.0)
 
 
 def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iters: int = 50, self_loop: float = 0.1) -> DataFrame:
@@ -62,21 +56,35 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     passes on, and a node without links passes its mass to the teleport.
     """
     weighted = nodes.join(seeds.select("repo", "node", "weight"), ["repo", "node"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    total = Window.partitionBy("repo")
-    start = weighted.select("repo", "node", (F.col("weight") / F.sum("weight").over(total)).alias("_t"))
-    out = edges.groupBy("repo", "src").agg(F.count(F.lit(1)).alias("_out"))
-    links = _cut(edges.join(out, ["repo", "src"]))
-    ends = out.select("repo", F.col("src").alias("node"), F.lit(True).alias("_links"))
-    base = _cut(start.join(ends, ["repo", "node"], "left").select("repo", "node", "_t", F.coalesce("_links", F.lit(False)).alias("_links")))
-    ranks = base.withColumn("rank", F.col("_t"))
-    for i in range(iters):
-        given = links.join(ranks.select("repo", F.col("node").alias("src"), "rank"), ["repo", "src"]).groupBy("repo", F.col("dst").alias("node")).agg(F.sum((1 - self_loop) * F.col("rank") / F.col("_out")).alias("_in"))
-        loose = ranks.groupBy("repo").agg(F.sum(F.when(~F.col("_links"), (1 - self_loop) * F.col("rank")).otherwise(0.0)).alias("_loose"))
-        joined = base.join(given, ["repo", "node"], "left").join(ranks.select("repo", "node", F.col("rank").alias("_was")), ["repo", "node"]).join(loose, "repo")
-        rank = (1 - damping) * F.col("_t") + damping * (F.coalesce("_in", F.lit(0.0)) + self_loop * F.col("_was") + F.col("_loose") * F.col("_t"))
-        ranks = joined.select("repo", "node", "_t", "_links", rank.alias("rank"))
-        if i % CHECKPOINT_EVERY == CHECKPOINT_EVERY - 1:
-            ranks = _cut(ranks)
+    total = weighted.groupBy("repo").agg(F.sum("weight").alias("_sum"))
+    teleport = weighted.join(total, "repo").select("repo", "node", (F.col("weight") / F.col("_sum")).alias("_t"))
+    return _ranked(teleport, edges, damping, iters, self_loop)
+
+
+def _ranked(teleport: DataFrame, edges: DataFrame, damping: float, iters: int, self_loop: float) -> DataFrame:
+    """(repo, node, rank) after ``iters`` rounds from the teleport shares ``_t``.
+
+    Nodes carry their links, so that a round needs no join with them: each node
+    sends shares of its rank to others and its own state to itself, and one
+    grouping by receiver sums the one and finds the other.  The mass of nodes
+    without links, a row for each repo, goes to the teleport.
+    """
+    out = edges.groupBy("repo", F.col("src").alias("node")).agg(F.collect_list("dst").alias("_to"))
+    base = teleport.join(out, ["repo", "node"], "left")
+    ranks = _cut(base.select("repo", "node", F.col("_t").alias("rank"), F.struct("_t", "_to").alias("_state")))
+    to = F.col("_state._to")
+    nothing = F.lit(None).cast(ranks.schema["_state"].dataType)
+    own = F.struct(F.col("node").alias("node"), (self_loop * F.col("rank")).alias("_in"), F.col("_state").alias("_state"))
+    given = F.transform(to, lambda x: F.struct(x.alias("node"), ((1 - self_loop) * F.col("rank") / F.size(to)).alias("_in"), nothing.alias("_state")))
+    none = F.filter(F.array(own), lambda _: F.lit(False))
+    for _ in range(iters):
+        pool = ranks.groupBy("repo").agg(F.sum(F.when(to.isNull(), (1 - self_loop) * F.col("rank")).otherwise(0.0)).alias("_pool"))
+        sent = ranks.select("repo", F.inline(F.concat(F.array(own), F.coalesce(given, none))))
+        summed = sent.groupBy("repo", "node").agg(F.sum("_in").alias("_in"), F.first("_state", ignorenulls=True).alias("_state"))
+        t = F.col("_state._t")
+        # A receiver that is no node of the repo has no state and drops out.
+        rank = (1 - damping) * t + damping * (F.col("_in") + F.col("_pool") * t)
+        ranks = _cut(summed.where(F.col("_state").isNotNull()).join(pool, "repo").select("repo", "node", rank.alias("rank"), "_state"))
     return ranks.select("repo", "node", "rank")
 
 
@@ -95,20 +103,24 @@ def personalized_top(personal: DataFrame, seeds: DataFrame, exclude: DataFrame,
     return rest.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k).drop("_r")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, hops: int, undirected: bool = False, reverse: bool = False) -> DataFrame:
-    """(repo, node, level): the fewest hops from a seed, seeds at level 0; breadth-first, one join a level."""
+def reach(edges: DataFrame, seeds: DataFrame, hops: int | None, undirected: bool = False, reverse: bool = False) -> DataFrame:
+    """(repo, node, level): the fewest hops from a seed, seeds at level 0; breadth-first, one join a level, without ``hops`` until nothing is new."""
     step = edges.select("repo", F.col("src").alias("_from"), F.col("dst").alias("node"))
     back = edges.select("repo", F.col("dst").alias("_from"), F.col("src").alias("node"))
     step = step.unionByName(back) if undirected else back if reverse else step
     step = _cut(step.distinct())
     seen = _cut(seeds.select("repo", "node").distinct().withColumn("level", F.lit(0)))
     front = seen
-    for level in range(1, hops + 1):
+    for level in itertools.count(1):
+        if hops is not None and level > hops:
+            break
         new = front.select("repo", F.col("node").alias("_from")).join(step, ["repo", "_from"]).select("repo", "node").distinct()
         front = _cut(new.join(seen, ["repo", "node"], "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if level % 10 == 0:
+            seen = _cut(seen)
     return seen
 
 
@@ -130,7 +142,7 @@ def node_stats(nodes: DataFrame, edges: DataFrame, ranks: DataFrame) -> DataFram
     return joined.select("repo", "node", F.coalesce("rank", F.lit(0.0)).alias("rank"), F.coalesce("in_deg", F.lit(0)).cast("bigint").alias("in_deg"), F.coalesce("out_deg", F.lit(0)).cast("bigint").alias("out_deg"))
 
 
-def content_reach(nodes: DataFrame, edges: DataFrame, hub_min: int = 5, max_depth: int = 20) -> DataFrame:
+def content_reach(nodes: DataFrame, edges: DataFrame, hub_min: int = 5) -> DataFrame:
     """(repo, node, in_deg, out_deg, is_hub, depth, orphan, unreachable).
 
     A hub links to ``hub_min`` others; an orphan is no hub and nothing links to
@@ -140,7 +152,7 @@ def content_reach(nodes: DataFrame, edges: DataFrame, hub_min: int = 5, max_dept
     out = edges.groupBy("repo", F.col("src").alias("node")).agg(F.count_distinct("dst").alias("out_deg"))
     known = nodes.join(into, ["repo", "node"], "left").join(out, ["repo", "node"], "left").fillna(0, ["in_deg", "out_deg"])
     known = _cut(known.withColumn("is_hub", F.col("out_deg") >= hub_min))
-    depth = reach(edges, known.where("is_hub"), max_depth).withColumnRenamed("level", "depth")
+    depth = reach(edges, known.where("is_hub"), None).withColumnRenamed("level", "depth")
     orphan = (F.col("in_deg") == 0) & ~F.col("is_hub")
     hubs = F.max("is_hub").over(Window.partitionBy("repo"))
     return known.join(depth, ["repo", "node"], "left").select("repo", "node", "in_deg", "out_deg", "is_hub", "depth", orphan.alias("orphan"), (hubs & F.col("depth").isNull() & ~orphan).alias("unreachable"))

@@ -66,19 +66,41 @@ def node_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.node_stats(v, e, G.pagerank(v, e)).select("node", F.round("rank", 9).alias("rank"), "in_deg", "out_deg")
 
 
-@register("personalized_pagerank")
+def _personal(weight: int) -> str:
+    return f"""
+t{weight} AS (SELECT node, (CASE WHEN node = 3 THEN {weight} ELSE 1 END)::DOUBLE / (SELECT sum(CASE WHEN node = 3 THEN {weight} ELSE 1 END) FROM v) AS t FROM v),
+p{weight}(i, node, rank) AS (
+  SELECT 0, node, t FROM t{weight}
+  UNION ALL
+  SELECT i + 1, node, 0.15 * t + 0.85 * (given + 0.1 * own + 0.9 * loose * t)
+  FROM (SELECT p.i, x.node, x.t, sum(p.rank * coalesce(l.w, 0) * 0.9) AS given, sum(CASE WHEN p.node = x.node THEN p.rank ELSE 0 END) AS own,
+               sum(CASE WHEN p.node IN (SELECT src FROM e) THEN 0 ELSE p.rank END) AS loose
+        FROM p{weight} p CROSS JOIN t{weight} x LEFT JOIN link l ON l.src = p.node AND l.dst = x.node GROUP BY p.i, x.node, x.t) WHERE i < 50)"""
+
+
+_LINKS = f"WITH RECURSIVE {_EDGES}, o AS (SELECT src, count(*) AS n FROM e GROUP BY src), link AS (SELECT e.src, e.dst, 1.0::DOUBLE / o.n AS w FROM e JOIN o USING (src))"
+
+
+@register("personalized_pagerank", _LINKS + "," + _personal(50) + " SELECT node, round(rank, 9) AS rank FROM p50 WHERE i = 50")
 def personalized_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = nodes(spark, sf_dir).where("node = 3").withColumn("weight", F.lit(50.0))
     return G.personalized_pagerank(nodes(spark, sf_dir), edges(spark, sf_dir), seeds).select("node", F.round("rank", 9).alias("rank"))
 
 
-@register("task_neighbors")
+@register("task_neighbors", _LINKS + "," + _personal(50) + "," + _personal(1) + """,
+n AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+h AS (SELECT b AS node FROM n WHERE a = 3 UNION SELECT y.b FROM n x JOIN n y ON y.a = x.b WHERE x.a = 3),
+f AS (SELECT node, p50.rank / p1.rank AS lift FROM p50 JOIN p1 USING (node) JOIN h USING (node) WHERE p50.i = 50 AND p1.i = 50 AND node <> 3)
+SELECT node, round(lift, 6) AS lift FROM f WHERE lift >= 1.0 ORDER BY lift DESC, node LIMIT 3""")
 def task_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, e = nodes(spark, sf_dir), edges(spark, sf_dir)
-    seed = v.where("node = 3")
-    personal = G.personalized_pagerank(v, e, seed.withColumn("weight", F.lit(50.0)))
-    overall = G.personalized_pagerank(v, e, seed.withColumn("weight", F.lit(1.0)))
-    return G.task_neighbors(personal, overall, G.khop(e, seed, 2)).select("node", F.round("lift", 6).alias("lift"))
+    # Both rankings in one run of rounds, as two repos over the same links.
+    kinds = F.explode(F.array(F.lit("personal"), F.lit("overall")))
+    twice = [x.withColumn("repo", kinds) for x in (v, e)]
+    seed = twice[0].where("node = 3").withColumn("weight", F.when(F.col("repo") == "personal", 50.0).otherwise(1.0))
+    ranks = G.personalized_pagerank(*twice, seed)
+    personal, overall = (ranks.where(F.col("repo") == k).withColumn("repo", F.lit("trade")) for k in ("personal", "overall"))
+    return G.task_neighbors(personal, overall, G.khop(e, v.where("node = 3"), 2), min_lift=1.0).select("node", F.round("lift", 6).alias("lift"))
 
 
 def _reach_sql(step: str, hops: int, start: int = 3) -> str:
