@@ -125,12 +125,20 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def csp_allows(values: Column, wanted: Column) -> Column:
-    """Whether a list of allowed sources covers a host; no list allows everything."""
+    """Whether a list of allowed sources covers a host; no list allows everything.
+
+    A source that is a scheme covers every host of that scheme, and a host named
+    without one; a source's own scheme, port and path do not count.
+    """
+    wanted = F.lower(wanted)
+    host = F.regexp_replace(wanted, "^([a-z][a-z0-9+.-]*:)?//", "")
 
     def one(v: Column) -> Column:
-        exact = F.lower(v) == F.lower(wanted)
-        scheme = v.endswith(":") & F.lower(wanted).startswith(F.lower(v))
-        under = v.startswith("*.") & F.lower(wanted).endswith(F.lower(F.substring(v, 2, 10_000)))
+        low = F.lower(v)
+        named = F.regexp_replace(F.regexp_replace(low, "^([a-z][a-z0-9+.-]*:)?//", ""), "[:/].*$", "")
+        exact = (low == wanted) | (named == host)
+        scheme = low.endswith(":") & (wanted.startswith(low) | (low.isin("http:", "https:") & (wanted == host)))
+        under = named.startswith("*.") & host.endswith(named.substr(F.lit(2), F.length(named)))
         return (v == "*") | exact | scheme | under
 
     none = F.array_contains(values, "'none'") & (F.size(values) == 1)

@@ -60,7 +60,7 @@ def assert_facts(journal: DataFrame, incoming: DataFrame, source: str, now: Colu
     kept = both.where(F.col("outcome") == "kept").select(*[F.col(f"a.{c}").alias(c) for c in COLUMNS], "outcome")
     again = {
         "prevalence": F.col("b.prevalence"), "positive": F.col("b.positive"), "total": F.col("b.total"), "seen_at": F.col("b.seen_at"),
-        "rating": X.confirm_rating(F.col("a.rating"), F.col("a.deviation"), F.col("b.rating")), "deviation": X.confirm_deviation(F.col("a.deviation")), "confirmations": F.col("a.confirmations") + 1,
+        "rating": X.confirm_rating(F.col("a.rating"), F.col("a.deviation"), F.col("b.prevalence")), "deviation": X.confirm_deviation(F.col("a.deviation")), "confirmations": F.col("a.confirmations") + 1,
         "stability": X.confirm_stability(F.col("a.stability"), X.retrievability(F.col("a.stability"), X.days_between(now, F.col("a.seen_at")))),
     }
     confirmed = both.where(F.col("outcome") == "confirmed").select(*[again.get(c, F.col(f"a.{c}")).alias(c) for c in COLUMNS], "outcome")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,10 +92,13 @@ def detect_refusals(turns: DataFrame, pattern: str = REFUSAL, longest: int = 600
 
 
 def line_blocks(docs: DataFrame, size: int) -> DataFrame:
-    """(id, block, body): runs of ``size`` lines that are not blank, with numbers and strings masked."""
+    """(id, block, body): runs of ``size`` lines that are not blank, with numbers and strings masked.
+
+    A run starts at every line, so a passage gives the same runs wherever it stands in a text.
+    """
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     masked = F.transform(lines, lambda x: F.rtrim(F.regexp_replace(F.regexp_replace(x, r'"[^"\n]*"', "S"), r"\d+", "N")))
-    starts = F.sequence(F.lit(1), F.size("masked") - size + 1, F.lit(size))
+    starts = F.sequence(F.lit(1), F.size("masked") - size + 1)
     kept = docs.select("id", masked.alias("masked")).where(F.size("masked") >= size)
     return kept.select("id", F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("masked", i, size), "\n"))).alias("block", "body"))
 
@@ -113,11 +118,12 @@ def simhash64(docs: DataFrame) -> DataFrame:
     """(id, hash): each token of three characters or more, cut to five, votes on 64 bits.
 
     Tokens are counted first, so that a repeated token is hashed once; the 64
-    votes are sums of one aggregation, combined before the shuffle.
+    votes are sums of one aggregation, combined before the shuffle.  A text
+    without such a token, or null, has hash 0.
     """
     clean = F.regexp_replace(F.lower("text"), "[^a-zа-яё0-9]+", " ")
     tokens = F.transform(F.filter(F.split(clean, " "), lambda t: F.char_length(t) >= 3), lambda t: F.substring(t, 1, 5))
-    counted = docs.select("id", F.explode(tokens).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("n"))
+    counted = docs.select("id", F.explode_outer(tokens).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("n"))
     hashed = counted.select("id", "n", token_hash(F.col("token")).alias("h"))
     votes = [F.sum(F.when(F.getbit("h", F.lit(i)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"v{i}") for i in range(64)]
     bits = [F.when(F.col(f"v{i}") > 0, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")) for i in range(64)]
@@ -127,15 +133,24 @@ def simhash64(docs: DataFrame) -> DataFrame:
     return hashed.groupBy("id").agg(*votes).select("id", total.alias("hash"))
 
 
-def near_hashes(hashes: DataFrame, bands: int = 4, most: int = 4) -> DataFrame:
-    """(a, b, distance): hashes that share one of ``bands`` equal bands and differ in at most ``most`` bits.
+def near_hashes(hashes: DataFrame, most: int = 4, blocks: int = 6) -> DataFrame:
+    """(a, b, distance): all pairs of different hashes that differ in at most ``most`` bits.
 
+    The bits are cut into ``blocks`` blocks.  Two such hashes agree in
+    ``blocks - most`` of them at least, so they share a key made of so many
+    blocks and none is lost.  More blocks make longer keys, hence smaller
+    groups, and more keys a hash: 6 blocks give 15 keys of about 21 bits.
     Equal hashes are one row first, so a group of copies costs one comparison;
     pairs are between the smallest ids of different hashes.
     """
-    width = 64 // bands
+    if not 0 <= most < blocks <= 64:
+        raise ValueError("more blocks than differing bits are needed, and 64 at most")
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [((1 << cuts[i + 1]) - 1) ^ ((1 << cuts[i]) - 1) for i in range(blocks)]
+    chosen = [sum(masks[i] for i in c) for c in combinations(range(blocks), blocks - most)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
     unique = hashes.groupBy("hash").agg(F.min("id").alias("id"))
-    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash", 64 - width * (i + 1)).bitwiseAND(F.lit((1 << width) - 1)).alias("key")) for i in range(bands)])
+    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.col("hash").bitwiseAND(F.lit(m).cast("bigint")).alias("key")) for i, m in enumerate(signed)])
     banded = unique.select("id", "hash", F.inline(keys))
     a, b = banded.select("band", "key", F.col("id").alias("a"), F.col("hash").alias("ha")), banded.select("band", "key", F.col("id").alias("b"), F.col("hash").alias("hb"))
     pairs = a.join(b, ["band", "key"]).where(F.col("a") < F.col("b")).withColumn("distance", hamming(F.col("ha"), F.col("hb")))
@@ -182,7 +197,7 @@ def apply_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
 def diff_sides(diffs: DataFrame) -> DataFrame:
     """(path, removed, added): the texts of the two sides of a unified diff, without its headers."""
     lines = F.split("diff", "\n")
-    side = lambda sign: F.array_join(F.transform(F.filter(lines, lambda x: x.startswith(sign) & ~x.startswith(sign * 3)), lambda x: F.substring(x, 2, 1_000_000)), "\n")
+    side = lambda sign: F.array_join(F.transform(F.filter(lines, lambda x: x.startswith(sign) & ~x.startswith(sign * 3)), lambda x: x.substr(F.lit(2), F.length(x))), "\n")
     return diffs.select("path", side("-").alias("removed"), side("+").alias("added"))
 
 

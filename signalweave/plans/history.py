@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from signalweave.operators import history
 from signalweave.registry import register, table
 
-MAX_PER_COMMIT = 5
+MAX_PER_COMMIT = 30
 
 
 def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,7 +94,7 @@ def refusal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BLOCKS = r"""
 WITH m AS (
   SELECT doc_id AS id, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: rtrim(regexp_replace(regexp_replace(x, '"[^"\n]*"', 'S', 'g'), '\d+', 'N', 'g'))) AS lines FROM documents),
-b AS (SELECT id, array_to_string(lines[s:s + 2], chr(10)) AS body FROM (SELECT id, lines, unnest(range(1, len(lines) - 1, 3)) AS s FROM m WHERE len(lines) >= 3))
+b AS (SELECT id, array_to_string(lines[s:s + 2], chr(10)) AS body FROM (SELECT id, lines, unnest(range(1, len(lines) - 1)) AS s FROM m WHERE len(lines) >= 3))
 """
 
 
@@ -111,7 +111,8 @@ k AS (SELECT id, n, ('0x' || substr(sha1(token), 1, 8))::BIGINT AS hi, ('0x' ||
 v AS (SELECT id, bit, sum(CASE WHEN ((CASE WHEN bit >= 32 THEN hi ELSE lo END) >> (bit % 32)::INT) & 1 = 1 THEN n ELSE -n END) AS votes FROM k, range(0, 64) r(bit) GROUP BY ALL),
 h AS (
   SELECT id, sum(CASE WHEN votes > 0 AND bit < 32 THEN 1::BIGINT << bit::INT ELSE 0 END)::BIGINT AS low,
-         sum(CASE WHEN votes > 0 AND bit >= 32 THEN 1::BIGINT << (bit - 32)::INT ELSE 0 END)::BIGINT AS high FROM v GROUP BY id)
+         sum(CASE WHEN votes > 0 AND bit >= 32 THEN 1::BIGINT << (bit - 32)::INT ELSE 0 END)::BIGINT AS high FROM v GROUP BY id
+  UNION ALL SELECT doc_id, 0, 0 FROM documents WHERE doc_id NOT IN (SELECT id FROM t))
 """
 
 
@@ -123,8 +124,7 @@ def simhash64(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("near_clones", _SIM + """,
 u AS (SELECT low, high, min(id) AS id FROM h GROUP BY ALL),
-p AS (SELECT x.id AS a, y.id AS b, bit_count(xor(x.low, y.low)) + bit_count(xor(x.high, y.high)) AS distance FROM u x JOIN u y ON x.id < y.id
-  AND (x.low % 65536 = y.low % 65536 OR x.low >> 16 = y.low >> 16 OR x.high % 65536 = y.high % 65536 OR x.high >> 16 = y.high >> 16))
+p AS (SELECT x.id AS a, y.id AS b, bit_count(xor(x.low, y.low)) + bit_count(xor(x.high, y.high)) AS distance FROM u x JOIN u y ON x.id < y.id)
 SELECT a, b, distance::INT AS distance FROM p WHERE distance <= 4""")
 def near_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.near_hashes(T.simhash64(docs(spark, sf_dir)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+import random
 
 import duckdb
 import pytest
@@ -68,9 +69,14 @@ def test_ratings(spark):
 
 
 def test_allowed_sources(spark):
-    values = F.array(F.lit("*.example.org"), F.lit("https:"))
-    assert one(spark, X.csp_allows(values, F.lit("cdn.example.org"))) is True
-    assert one(spark, X.csp_allows(values, F.lit("example.com"))) is False
+    under, scheme, full = (F.array(F.lit(x)) for x in ("https://*.example.org:443/a", "https:", "https://Example.com/x"))
+    assert one(spark, X.csp_allows(under, F.lit("cdn.example.org"))) is True
+    assert one(spark, X.csp_allows(under, F.lit("example.com"))) is False
+    assert one(spark, X.csp_allows(scheme, F.lit("example.com"))) is True
+    assert one(spark, X.csp_allows(scheme, F.lit("https://example.com"))) is True
+    assert one(spark, X.csp_allows(scheme, F.lit("http://example.com"))) is False
+    assert one(spark, X.csp_allows(full, F.lit("example.com"))) is True
+    assert one(spark, X.csp_allows(full, F.lit("ample.com"))) is False
     assert one(spark, X.csp_allows(F.array(F.lit("'none'")), F.lit("x"))) is False
     assert one(spark, X.csp_allows(F.lit(None).cast("array<string>"), F.lit("x"))) is True
 
@@ -101,6 +107,40 @@ def test_journal_keeps_one_row_of_a_key_in_force(spark):
     assert sorted(r.key for r in gone) == ["q|single", "z|new"]
 
 
+def test_confirming_a_modelled_fact_blends_with_what_was_seen(spark):
+    now = F.lit("2030-01-02 00:00:00").cast("timestamp")
+    fact = spark.createDataFrame([("r", "n", "camel", 1.0, 20, 20)], "repo string, area string, statement string, prevalence double, positive bigint, total bigint")
+    first = journal.assert_facts(spark.createDataFrame([], journal.JOURNAL), fact, "m", now, modelled=True).drop("outcome")
+    row = journal.assert_facts(first, fact, "m", now, modelled=True).first()
+    assert row.rating == pytest.approx(0.94 * (1 - 0.44) + 1.0 * 0.44)
+    assert (row.confirmations, row.deviation, row.stability) == (2, pytest.approx(0.22 * 0.85), pytest.approx(14 * 1.6))
+
+
+def test_near_hashes_finds_every_pair(spark):
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    hashes = base + [b ^ sum(1 << i for i in rng.sample(range(64), d)) for b in base for d in (1, 3, 4, 4, 5)]
+    # One flipped bit in each quarter, and the sign bit.
+    hashes += [base[0] ^ 0x8000000100010001, base[1] ^ (1 << 63), base[2]]
+    rows = spark.createDataFrame([(i, h - (1 << 64) if h >> 63 else h) for i, h in enumerate(hashes)], "id bigint, hash bigint")
+    first = {h: i for i, h in reversed(list(enumerate(hashes)))}
+    want = {(i, j, (hashes[i] ^ hashes[j]).bit_count()) for i in first.values() for j in first.values() if i < j and (hashes[i] ^ hashes[j]).bit_count() <= 4}
+    assert {tuple(r) for r in text.near_hashes(rows).collect()} == want
+    assert {tuple(r) for r in text.near_hashes(rows, blocks=8).collect()} == want
+
+
+def test_clones_do_not_depend_on_where_a_passage_begins(spark):
+    passage = "\n".join(f"a line of the passage that is long enough, part {c}" for c in "abc")
+    docs = spark.createDataFrame([(1, passage), (2, "one more line\n\n" + passage), (3, "other")], "id bigint, text string")
+    assert [(r.n, r.docs) for r in text.exact_clones(text.line_blocks(docs, 3)).collect()] == [(2, 2)]
+
+
+def test_texts_without_a_token_have_hash_zero(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b !"), (4, "token")], "id bigint, text string")
+    got = {r.id: r.hash for r in text.simhash64(docs).collect()}
+    assert [got[i] for i in (1, 2, 3)] == [0, 0, 0] and got[4] != 0
+
+
 def test_heat_halves(spark):
     rows = spark.createDataFrame([("a", "2030-01-01 00:00:00"), ("a", "2030-01-04 00:00:00")], "key string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     got = telemetry.decayed_heat(rows, F.lit("2030-01-04 00:00:00").cast("timestamp")).first()
