@@ -15,7 +15,9 @@ the length ranges that can reach the threshold, and Jaccard is only worked out
 where length and position leave it possible.
 
 Null text counts as empty, null doc_id comes first; rows with equal doc_id are
-ordered by their text.
+ordered by their text.  A single document follows itself, and an empty table gives
+an empty result.  Columns other than doc_id and text are not read.  Texts of any
+length are taken whole; a task holds one of them and its successor.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -127,14 +130,21 @@ def with_next(docs: DataFrame) -> DataFrame:
     else:
         bounds = sorted({got["first"], *(got["cuts"] or [])})
     last = len(bounds) - 1
-    marks = F.array(*[F.lit(b).cast("bigint") for b in bounds])
-    place = F.size(F.filter(marks, lambda b: b <= F.col("key"))) - 1
-    placed = rows.withColumn("range", place)
+    marks = np.array(bounds, np.int64)
+
+    @F.pandas_udf("int")
+    def place(key: pd.Series) -> pd.Series:
+        """Twice the range of a key, and one more where the key opens the range; a search among the bounds."""
+        at = np.searchsorted(marks, key.to_numpy(), "right") - 1
+        return pd.Series((2 * at + (marks[at] == key.to_numpy())).astype(np.int32))
+
+    # Keys alone go to the search; ranges are then dealt by their number, each to a task of its own.
+    placed = rows.withColumn("place", place("key")).withColumn("range", F.shiftright("place", 1))
     own = F.struct(F.col("range").alias("range"), F.lit(0).alias("guest"))
     guest = F.struct(F.when(F.col("range") == 0, F.lit(last)).otherwise(F.col("range") - 1).alias("range"), F.lit(1).alias("guest"))
-    opens = F.array_contains(marks, F.col("key"))
+    opens = F.col("place") % 2 == 1
     dealt = placed.select("doc_id", "key", "text", F.inline(F.when(opens, F.array(own, guest)).otherwise(F.array(own))).alias("to", "guest"))
-    sorted_rows = dealt.repartition(ranges, "to").sortWithinPartitions("to", "guest", "key", "text").select("to", "guest", "doc_id", "text")
+    sorted_rows = dealt.repartitionById(len(bounds), "to").sortWithinPartitions("to", "guest", "key", "text").select("to", "guest", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (range, doc_id, text, signatures) of the document whose successor comes next
