@@ -4,12 +4,14 @@ Each document gets counts of words, symbols, repeated lines and repeated word
 windows.  Two plain rules fail a document at once.  The others are judged by a
 vector of transformed statistics: for each language and source a minimum
 covariance determinant estimate (location and scatter of the three quarters of
-the documents that lie closest together, found by concentration steps from
-medians and median deviations) gives a Mahalanobis distance, and a document too
-far from its group is rejected.
+the documents that lie closest together) gives a Mahalanobis distance, and a
+document too far from its group is rejected.  Concentration steps go from three
+robust starts; the one of least determinant goes on until it no longer falls.
 
-Groups below ``min_group`` documents are pooled by language, then together;
-what is still below that has no estimate and is kept.  To the group's scatter is
+Groups below ``min_group`` documents are pooled by language, then together; what
+is still below that is judged by the estimate of all documents.  Only a table
+with fewer than ``min_group`` documents to judge has no estimate: all that pass
+the base rules are kept, as in an empty table.  To the group's scatter is
 added only the counting noise of each statistic, which keeps groups with a
 constant statistic regular: the variance that a share or mean over so many words
 has by chance, as a mean of the group.  Lines are so few that a document's own
@@ -18,7 +20,10 @@ number of them counts.
 DataFrame operations only.  The concentration steps are grouped sums and a
 histogram of distances, so a group that holds a third of all rows is summed
 before it is shuffled.  Sums are decimal: reruns agree.  Null text has no words
-and fails the base rules; a null language or source is a value of its own.
+and fails the base rules; a null language or source is a value of its own.  Rows
+are judged one by one: those that repeat a doc_id or have none stay rows of their
+own.  Columns other than doc_id, text, lang and source are not read.  Texts of any
+length are taken whole; a task holds one of them at a time, with its windows.
 """
 
 from __future__ import annotations
@@ -34,8 +39,12 @@ WINDOW = 3
 
 #: Share of a group that the estimate rests on.
 CORE = 0.75
-STEPS = 4
+#: Concentration steps of every start, and the fall of the determinant that a further step of the best one must bring.
+TRIED = 2
+FALL = 0.001
 MIN_GROUP = 50
+#: Group of the documents whose own group and whose language are both too small; labels of groups are JSON, so none is called so.
+REST = "rest"
 #: Repeated lines come last: their noise is a document's own, so only the last entry of the factor differs by row.
 FEATURES = ("x0", "x1", "x2", "x4", "x3")
 NOISE = ("v0", "v1", "v2", "v4", "v3")
@@ -138,17 +147,12 @@ def _bin_of(d2: Column) -> Column:
     return F.floor(F.log(F.greatest(d2, F.lit(1e-12))) / F.log(F.lit(1.02))).cast("bigint")
 
 
-def _estimate(core: DataFrame, noise: DataFrame) -> DataFrame:
-    """(g, c*, l**): mean and Cholesky factor of the covariance plus noise, by grouped sums."""
+def _factor(got: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, c*, l**, det): Cholesky factor and determinant of the scatter e** plus noise w*, about the centres c*."""
     p = len(FEATURES)
-    sums = [F.count(F.lit(1)).alias("n"), *[_exact(F.col(f)).alias(f"s{i}") for i, f in enumerate(FEATURES)]]
-    sums += [_exact(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)]
-    got = core.groupBy("g").agg(*sums)
-    got = got.select("g", *[(F.col(f"s{i}") / F.col("n")).alias(f"c{i}") for i in range(p)], *[(F.col(f"q{i}{j}") / F.col("n")).alias(f"e{i}{j}") for i in range(p) for j in range(i + 1)])
-    got = got.join(noise, "g")
     for i in range(p):
         for j in range(i + 1):
-            v = F.col(f"e{i}{j}") - F.col(f"c{i}") * F.col(f"c{j}")
+            v = F.col(f"e{i}{j}")
             if i == j < p - 1:
                 v = v + F.col(f"w{i}")
             for k in range(j):
@@ -156,44 +160,116 @@ def _estimate(core: DataFrame, noise: DataFrame) -> DataFrame:
             if i == j:
                 v = F.sqrt(F.greatest(v, F.lit(1e-9))) if i < p - 1 else F.greatest(v, F.lit(0.0))
             got = got.withColumn(f"l{i}{j}", v if i == j else v / F.col(f"l{j}{j}"))
-    return got.drop(*[f"e{i}{j}" for i in range(p) for j in range(i + 1)], *[f"w{i}" for i in range(p - 1)])
+    det = F.greatest(F.col(f"l{p - 1}{p - 1}") + F.col(f"w{p - 1}"), F.lit(1e-9))
+    for i in range(p - 1):
+        det = det * F.col(f"l{i}{i}") * F.col(f"l{i}{i}")
+    return got.select(*keys, *[f"c{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)], det.alias("det"))
+
+
+def _estimate(core: DataFrame, noise: DataFrame) -> DataFrame:
+    """(g, s, c*, l**, det): mean and factor of the covariance of each group and start, by grouped sums."""
+    p = len(FEATURES)
+    sums = [F.count(F.lit(1)).alias("n"), *[_exact(F.col(f)).alias(f"s{i}") for i, f in enumerate(FEATURES)]]
+    sums += [_exact(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)]
+    got = core.groupBy("g", "s").agg(*sums)
+    means = got.select("g", "s", "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"c{i}") for i in range(p)], *[f"q{i}{j}" for i in range(p) for j in range(i + 1)])
+    scatter = [(F.col(f"q{i}{j}") / F.col("n") - F.col(f"c{i}") * F.col(f"c{j}")).alias(f"e{i}{j}") for i in range(p) for j in range(i + 1)]
+    return _factor(means.select("g", "s", *[f"c{i}" for i in range(p)], *scatter).join(noise, "g"), ("g", "s"))
+
+
+def _starts(judged: DataFrame, noise: DataFrame) -> DataFrame:
+    """(g, s, c*, l**, det): three robust first estimates of each group about its medians.
+
+    Statistics are divided by their median deviations, widened by the noise.  The
+    first scatter has these alone, the second is the mean product of hyperbolic
+    tangents, the third that of directions (vectors of length one).
+    """
+    p = len(FEATURES)
+    medians = materialize(_group_medians(judged, [F.col(f) for f in FEATURES]), "medians")
+    centred = judged.join(medians, "g")
+    spread = _group_medians(centred.select("g", *[F.abs(F.col(f) - F.col(f"m{i}")).alias(f"x{i}") for i, f in enumerate(FEATURES)]), [F.col(f) for f in FEATURES])
+    spread = spread.withColumnsRenamed({f"m{i}": f"d{i}" for i in range(p)})
+    wide = [F.sqrt((1.4826 * F.col(f"d{i}")) ** 2 + F.col(f"w{i}")).alias(f"d{i}") for i in range(p)]
+    about = materialize(medians.join(spread, "g").join(noise, "g").select("g", *[f"m{i}" for i in range(p)], *wide, *[f"w{i}" for i in range(p)]), "about")
+    z = judged.join(about, "g").select("g", *[((F.col(f) - F.col(f"m{i}")) / F.col(f"d{i}")).alias(f"z{i}") for i, f in enumerate(FEATURES)])
+    length = F.greatest(F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(p)), F.lit(0.0))), F.lit(1e-9))
+    bent = z.select("g", *[F.tanh(f"z{i}").alias(f"t{i}") for i in range(p)], *[(F.col(f"z{i}") / length).alias(f"u{i}") for i in range(p)])
+    products = bent.groupBy("g").agg(*[_exact(F.col(f"{x}{i}") * F.col(f"{x}{j}")).alias(f"{x}{i}{j}") for x in "tu" for i in range(p) for j in range(i + 1)])
+    side = about.join(products, "g")
+    found = None
+    for s, x in enumerate(" tu"):
+        # Only the shape counts: its trace is brought to the number of statistics.
+        trace = F.greatest(sum((F.col(f"{x}{i}{i}") for i in range(p)), F.lit(0.0)), F.lit(1e-9)) if s else F.lit(1.0)
+        shape = {(i, j): F.col(f"{x}{i}{j}") * p / trace if s else F.lit(float(i == j)) for i in range(p) for j in range(i + 1)}
+        scatter = [(shape[i, j] * F.col(f"d{i}") * F.col(f"d{j}")).alias(f"e{i}{j}") for i in range(p) for j in range(i + 1)]
+        one = _factor(side.select("g", F.lit(s).alias("s"), *[F.col(f"m{i}").alias(f"c{i}") for i in range(p)], *scatter, *[f"w{i}" for i in range(p)]), ("g", "s"))
+        found = one if found is None else found.unionByName(one)
+    return materialize(found, "starts")
+
+
+def _concentrated(judged: DataFrame, model: DataFrame, noise: DataFrame, core: float) -> DataFrame:
+    """The estimate of each group's ``core`` of rows nearest by ``model``, one for each start."""
+    near = judged.join(model.drop("det"), "g").select("g", "s", *FEATURES, _bin_of(_distance(len(FEATURES))).alias("bin"))
+    cut = _quantile_bin(near.groupBy("g", "s", "bin").agg(F.count(F.lit(1)).alias("n")), ["g", "s"], core).withColumnRenamed("bin", "cut")
+    return materialize(_estimate(near.join(cut, ["g", "s"]).where(F.col("bin") <= F.col("cut")), noise), "model")
+
+
+def least_determinant(judged: DataFrame, noise: DataFrame, core: float = CORE) -> DataFrame:
+    """(g, c*, l**): for each group, of all estimates met on the way the one of least determinant.
+
+    All starts take ``TRIED`` concentration steps; the best of each group goes on
+    until its determinant falls by less than ``FALL``, so every further step
+    shrinks it by that share and the steps end by themselves.
+    """
+    model = _starts(judged, noise)
+    met = []
+    for _ in range(TRIED):
+        model = _concentrated(judged, model, noise, core)
+        met.append(model)
+    # Equal determinants are decided by the number of the start, so that reruns agree.
+    best = model.groupBy("g").agg(F.min_by(F.struct(*[c for c in model.columns if c != "g"]), F.struct("det", "s")).alias("best")).select("g", "best.*")
+    model = materialize(best, "model")
+    while not model.isEmpty():
+        after = _concentrated(judged, model, noise, core)
+        met.append(after)
+        before = model.select("g", F.col("det").alias("was"))
+        model = materialize(after.join(before, "g").where(F.col("det") < F.col("was") * (1 - FALL)).drop("was"), "model")
+    every = met[0].withColumn("step", F.lit(0))
+    for k, m in enumerate(met[1:], 1):
+        every = every.unionByName(m.withColumn("step", F.lit(k)))
+    fields = [c for c in met[0].columns if c not in ("g", "s", "det")]
+    out = every.groupBy("g").agg(F.min_by(F.struct(*fields), F.struct("det", "s", "step")).alias("best")).select("g", "best.*")
+    return materialize(out, "least")
 
 
 def robust_groups(rows: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """Adds g: language and source, or the pool of a group that is too small; null where no pool is large enough."""
+    """Adds g: language and source, the pool of a language where that is too small, and ``rest`` where the pool is too."""
     label = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
     pool = F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})
     judged = rows.where(~F.col("base_failed"))
     sizes = judged.groupBy(label.alias("label"), pool.alias("pool")).agg(F.count(F.lit(1)).alias("n"))
     small = F.when(F.col("n") < min_group, F.col("n")).otherwise(0)
-    sizes = sizes.withColumn("pooled", F.sum(small).over(Window.partitionBy("pool")))
-    rest = F.when((F.col("n") < min_group) & (F.col("pooled") < min_group), F.col("n")).otherwise(0)
-    sizes = sizes.withColumn("rest", F.sum(rest).over(Window.partitionBy()))
-    g = F.when(F.col("n") >= min_group, F.col("label")).when(F.col("pooled") >= min_group, F.col("pool")).when(F.col("rest") >= min_group, F.lit("rest"))
-    groups = materialize(sizes.select("label", g.alias("g")), "groups")
+    pools = sizes.groupBy("pool").agg(F.sum(small).alias("pooled"))
+    g = F.when(F.col("n") >= min_group, F.col("label")).when(F.col("pooled") >= min_group, F.col("pool")).otherwise(F.lit(REST))
+    groups = materialize(sizes.join(pools, "pool").select("label", g.alias("g")), "groups")
     return rows.withColumn("label", label).join(groups, "label", "left").drop("label")
 
 
-def mcd_distances(rows: DataFrame, core: float = CORE, steps: int = STEPS) -> DataFrame:
-    """Adds distance2, scaled so that the core of each group has the median of a Gaussian; null without a group."""
+def mcd_distances(rows: DataFrame, core: float = CORE, min_group: int = MIN_GROUP) -> DataFrame:
+    """Adds distance2, scaled so that the core of each group has the median of a Gaussian.
+
+    It is null for rows that the base rules fail, and for all rows of a table with
+    fewer than ``min_group`` others.
+    """
+    judged = rows.where(~F.col("base_failed")).select("g", *FEATURES, *NOISE)
+    sizes = judged.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("g") == REST, 1)).alias("rest")).first()
+    if sizes["n"] < min_group:
+        return rows.withColumn("distance2", F.lit(None).cast("double"))
+    if 0 < sizes["rest"] < min_group:  # too few for an estimate of their own: that of all documents stands in
+        judged = judged.where(F.col("g") != REST).unionByName(judged.withColumn("g", F.lit(REST)))
     p = len(FEATURES)
-    judged = rows.where(~F.col("base_failed") & F.col("g").isNotNull()).select("g", *FEATURES, *NOISE)
-    noise = materialize(judged.groupBy("g").agg(*[(_exact(F.col(v)) / F.count(F.lit(1))).alias(f"w{i}") for i, v in enumerate(NOISE[:-1])]), "noise")
-    medians = materialize(_group_medians(judged, [F.col(f) for f in FEATURES]), "medians")
-    centred = judged.join(medians, "g")
-    spread = _group_medians(centred.select("g", *[F.abs(F.col(f) - F.col(f"m{i}")).alias(f"x{i}") for i, f in enumerate(FEATURES)]), [F.col(f) for f in FEATURES])
-    spread = spread.withColumnsRenamed({f"m{i}": f"d{i}" for i in range(p)})
-    start = medians.join(spread, "g").join(noise, "g")
-    # The first factor is diagonal: medians and median deviations, widened by the noise.
-    zero = [F.lit(0.0).alias(f"l{i}{j}") for i in range(p) for j in range(i)]
-    square = [(1.4826 * F.col(f"d{i}")) ** 2 for i in range(p)]
-    diagonal = [(F.sqrt(square[i] + F.col(f"w{i}")) if i < p - 1 else square[i]).alias(f"l{i}{i}") for i in range(p)]
-    model = materialize(start.select("g", *[F.col(f"m{i}").alias(f"c{i}") for i in range(p)], *zero, *diagonal), "model")
-    for _ in range(steps):
-        near = judged.join(model, "g").select("g", *FEATURES, _bin_of(_distance(p)).alias("bin"))
-        cut = _quantile_bin(near.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n")), ["g"], core)
-        cut = materialize(cut.withColumnRenamed("bin", "cut"), "cut")
-        model = materialize(_estimate(near.join(cut, "g").where(F.col("bin") <= F.col("cut")), noise), "model")
+    noise = materialize(judged.groupBy("g").agg(*[(_exact(F.col(v)) / F.count(F.lit(1))).alias(f"w{i}") for i, v in enumerate(NOISE)]), "noise")
+    model = least_determinant(judged, noise, core)
     near = judged.join(model, "g").select("g", _bin_of(_distance(p)).alias("bin"))
     middle = _quantile_bin(near.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n")), ["g"], 0.5)
     scale = F.pow(F.lit(1.02), F.col("bin") + 0.5) / F.lit(CHI2_MEDIAN)
@@ -206,6 +282,6 @@ def mcd_distances(rows: DataFrame, core: float = CORE, steps: int = STEPS) -> Da
 def quality_rules(docs: DataFrame, cut: float = CHI2_CUT, min_group: int = MIN_GROUP) -> DataFrame:
     """doc_id, the counts, base_failed, distance2 (null where not judged), kept."""
     rows = materialize(statistics(text_counts(docs, ("lang", "source"))), "statistics")
-    judged = mcd_distances(robust_groups(rows, min_group))
+    judged = mcd_distances(robust_groups(rows, min_group), min_group=min_group)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cut, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", kept.alias("kept"))

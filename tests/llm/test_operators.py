@@ -224,6 +224,39 @@ def test_fingerprints_with_next(spark):
         assert r.near_next == spotsigs.jaccard(own, other)
 
 
+def plain_prints(text):
+    """Spot signatures and plain chains as tuples of words, by their definition."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    if not words:
+        return {(text,)} if text else set()
+    found = {("chain", *words[i : i + 3]) for i in range(len(words))}
+    for i, w in enumerate(words):
+        content = [x for x in words[i + 1 :] if x not in spotsigs.ANCHORS][:2]
+        if w in spotsigs.ANCHORS and len(content) == 2:
+            found.add(("spot", w, *content))
+    return found
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_fingerprint_likeness_by_definition(spark, small, ranges):
+    rows = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").limit(60).collect()
+    texts = [r.text or "" for r in rows]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        got = {r.doc_id: r for r in spotsigs.with_next(spark.createDataFrame(rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(rows)
+    for k, row in enumerate(rows):
+        own, after = texts[k], texts[(k + 1) % len(texts)]
+        cut = len(own) // 4
+        a, b, c = plain_prints(own), plain_prints(own[: len(own) - cut] + after[:cut]), plain_prints(after)
+        r = got[row.doc_id]
+        assert r.near_edited == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+        assert r.near_next == pytest.approx(len(a & c) / len(a | c) if a | c else 1.0)
+
+
 def test_fingerprint_pairs_are_those_of_brute_force(docs):
     sigs = {i: frozenset(spotsigs.signatures(t or "").tolist()) for i, t in enumerate(odd_texts())}
     names = {}
@@ -369,6 +402,63 @@ def test_one_odd_statistic_is_enough(spark):
     assert sorted(i for i in got if not got[i].kept) == [200, 201, 202]
 
 
+def test_estimate_has_the_least_determinant_of_many_starts(spark):
+    rng = np.random.default_rng(3)
+    p, n, noise = len(mcd_rules.FEATURES), 400, 0.01
+    clean = rng.normal(size=(310, p)) @ np.tril(rng.normal(size=(p, p)) * 0.3 + np.eye(p)).T
+    x = np.concatenate([clean, rng.normal(size=(n - 310, p)) * 0.1 + 3.0])
+    fields = ", ".join(["g string", *[f"{f} double" for f in (*mcd_rules.FEATURES, *mcd_rules.NOISE)]])
+    judged = spark.createDataFrame([("a", *map(float, row), *[noise] * p) for row in x], fields)
+    widths = spark.createDataFrame([("a", *[noise] * p)], ", ".join(["g string", *[f"w{i} double" for i in range(p)]]))
+    got = mcd_rules.least_determinant(judged, widths).first()
+
+    def scatter(rows):
+        return np.cov(rows.T, bias=True) + noise * np.eye(p)
+
+    # Plain concentration steps from random starts, with exact quantiles.
+    best = np.inf
+    for _ in range(200):
+        core = x[rng.choice(n, p + 1, replace=False)]
+        for _ in range(100):
+            away = x - core.mean(axis=0)
+            d2 = np.einsum("ij,jk,ik->i", away, np.linalg.inv(scatter(core)), away)
+            core = x[np.argsort(d2)[: int(mcd_rules.CORE * n)]]
+        if (det := np.linalg.det(scatter(core))) < best:
+            best, centre = det, core.mean(axis=0)
+    lower = np.zeros((p, p))
+    for i in range(p):
+        for j in range(i + 1):
+            lower[i, j] = got[f"l{i}{j}"]
+    lower[-1, -1] = np.sqrt(lower[-1, -1] + noise)
+    # Bins of distances let a few more rows than three quarters into the core.
+    assert np.linalg.det(lower @ lower.T) <= 1.1 * best
+    assert np.abs(np.array([got[f"c{i}"] for i in range(p)]) - centre).max() < 0.1
+
+
+def test_documents_of_small_groups_are_judged_by_all(spark):
+    rng = random.Random(10)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(3000)]
+    text = lambda end="": " ".join(w + end for w in rng.choices(vocab, k=rng.randint(80, 300)))
+    rows = [(i, text(), "en", "a", 0, 0.0, "x") for i in range(200)]
+    rows += [(200, text(), "xx", "b", 0, 0.0, "x"), (201, text("###"), "xx", "b", 0, 0.0, "x"), (202, text("###"), None, None, 0, 0.0, "x")]
+    got = {r.doc_id: r for r in mcd_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [i for i in sorted(got) if not got[i].kept] == [201, 202]
+    assert all(got[i].distance2 is not None for i in got)
+    # A table too small for any estimate is kept but for the base rules.
+    few = mcd_rules.quality_rules(spark.createDataFrame(rows[190:], SCHEMA)).collect()
+    assert len(few) == 13 and all(r.kept and r.distance2 is None for r in few)
+
+
+def test_quality_rules_judge_repeated_rows_alike(spark):
+    rng = random.Random(11)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(3000)]
+    rows = [(k % 40 if k % 3 else None, " ".join(rng.choices(vocab, k=100)), "en", "a", 0, 0.0, "x") for k in range(120)]
+    rows += [rows[1]] * 5 + [(7, None, "en", "a", 0, 0.0, "x"), (None, "", None, None, 0, 0.0, "x")]
+    got = mcd_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == len(rows)
+    assert sum(r.base_failed for r in got) == 2
+
+
 def brute_removed(texts, k):
     words = [WORD.findall(t or "") for t in texts]
     first = {}
