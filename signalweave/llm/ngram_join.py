@@ -21,8 +21,9 @@ not be computed for the other.  So candidate pairs are tried in two rounds.
 First the nearest ``NEIGHBOURS`` by size in every index list are candidates, equal sizes
 standing in another order in every list.  Of those that may link each set is
 tried with the one that looks nearest and with ``TRIES`` more, chosen by hash: a
-large group of near copies is tied together by pairs in proportion to its sets.  Then all pairs are tried whose sets are
-still in different classes.
+large group of near copies is tied together by pairs in proportion to its sets.
+Neighbours that are then in different classes are tried as well.  In the second
+round all pairs are tried whose sets are still in different classes.
 
 *Bitmaps.*  Before two sets are fetched, the parities of their shingles over 512
 positions, and for large sets over several positions a shingle, bound the size
@@ -539,13 +540,22 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, keys: bool =
 
     # First neighbours in the lists, then every pair whose sets are still apart.
     near = materialize(listed.where(F.col("kind") == 1).select(F.col("token").alias("a"), F.col("f1").alias("b")).distinct(), "near")
-    links = _verified(_few(_plausible(near, sets, percent)), docs, n, percent)
-    labels = connected(links)
+    plausible = materialize(_plausible(near, sets, percent), "plausible")
+    few = materialize(_few(plausible), "few")
+    labels = connected(_verified(few, docs, n, percent))
+    # Neighbours that have not been tried and are still in different classes come next, so that fewer sets are left for the second round.
+    ends = plausible.join(few.select("a", "b"), ["a", "b"], "left_anti")
+    for x in "ab":
+        ends = ends.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x, "left")
+    apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
+    late = _verified(materialize(ends.where(apart).select(*plausible.columns), "apart"), docs, n, percent)
+    if not late.isEmpty():
+        labels = connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(late))
     half = [F.col(_MAP[i]).bitwiseXOR(F.col(_MAP[i + BITMAP // 2])).alias(f"h{i}") for i in range(BITMAP // 2)]
     of_sets = sets.join(labels.withColumnRenamed("node", "f1"), "f1", "left").select("f1", F.coalesce("label", "f1").alias("label"), *half)
     pairs = materialize(_cross_pairs(listed.where(F.col("kind") == 0).drop("kind").join(of_sets, "f1"), percent), "pairs")
     more = _verified(_plausible(pairs, sets, percent), docs, n, percent)
-    for table in (listed, near, pairs):
+    for table in (listed, near, plausible, few, pairs):
         discard(table)
     # Where the second round found links, the classes take in both rounds' links.
     final = labels if more.isEmpty() else connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
