@@ -9,11 +9,16 @@ every other word goes through the library's whole encoder.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
 from array import array
 
+import numpy as np
+
+from signalweave.llm.text import Words, mixed
+
 #: Latin letters whose normal form is themselves and whose lower case is one letter.
 _LATIN = "À-ÖØ-öø-į"
 _LOWER = "ß-öø-ÿā-į"
@@ -130,3 +135,151 @@ def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
+
+
+#: Control characters but the line feed, and first bytes of characters that may be white space.
+_CONTROL, _LEAD = np.zeros(256, bool), np.zeros(256, bool)
+_CONTROL[[*range(0x0A), *range(0x0B, 0x20), 0x7F]] = True
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1[\x9a\xa0]|\xe2[\x80\x81]|\xe3\x80")
+#: Texts with a word longer than this go to the library whole.
+_LONG = 255
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of several runs, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class ByteEncoder:
+    """Texts (UTF-8 bytes) -> ids, for byte-level vocabularies with the usual pattern.
+
+    That pattern begins a piece at a space between visible characters, and a line
+    feed between visible characters is a piece of its own.  So where a text has no
+    other white space its ids are those of its words, each with or without the
+    space before it.  Words are told apart by hash, for all texts of a call at once;
+    new ones are encoded together and parted by the bytes that each token stands
+    for.  The bytes of every word are compared with those that its hash is known
+    for, so ids never depend on a hash.  Other texts are encoded whole.
+
+    ``memory`` bounds the bytes of remembered words; results do not depend on it.
+    """
+
+    def __init__(self, path: str, memory: int = 100 << 20):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        with open(path, encoding="utf-8") as f:
+            read = json.load(f)
+        special = {t["content"] for t in read["added_tokens"]}
+        byte_of = {c: b for b, c in enumerate(_byte_letters())}
+        vocabulary = read["model"]["vocab"]
+        ranks = {bytes(map(byte_of.__getitem__, k)): i for k, i in vocabulary.items() if k not in special}
+        merged = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in read["model"]["merges"]]
+        before = read["pre_tokenizer"] or {}
+        if merged != sorted(merged) or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or read["normalizer"]:
+            raise ValueError(f"{path} is not a byte-level vocabulary in the order of its merges")
+        self.special = [k.encode() for k in special]
+        self.ranked = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.widths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.widths[list(ranks.values())] = [len(k) for k in ranks]
+        self.line = ranks[b"\n"]
+        self.memory = memory
+        self._forget()
+
+    def _forget(self) -> None:
+        """No word is known: ``keys`` in order, where each one's ids and bytes begin and how many they are, and all ids and bytes."""
+        self.keys = np.empty(0, np.uint64)
+        self.places = np.empty((4, 0), np.int64)
+        self.ids, self.bytes = np.empty(0, np.uint32), np.empty(0, np.uint8)
+
+    def _learn(self, keys: np.ndarray, units: list[bytes], lengths: np.ndarray) -> None:
+        """Units begin with a space, or with a line feed that is not part of them."""
+        ids = np.array(self.ranked.encode_ordinary(b"".join(units).decode()), np.uint32)
+        ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum(lengths)) + 1
+        raw = np.frombuffer(b"".join(units), np.uint8)
+        starts = np.concatenate([[0], ends[:-1]]) + (raw[np.cumsum(lengths) - lengths] == 0x0A)
+        places = np.stack([starts + len(self.ids), ends - starts, np.cumsum(lengths) - lengths + 1 + len(self.bytes), lengths - 1])
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, at, keys[order])
+        self.places = np.insert(self.places, at, places[:, order], axis=1)
+        self.ids, self.bytes = np.concatenate([self.ids, ids]), np.concatenate([self.bytes, raw])
+
+    def _plain(self, raws: list[bytes]) -> list[int]:
+        """Texts that are words parted by single spaces or line feeds, of which none is very long."""
+        words = Words(raws)
+        codes = words.codes
+        space = (codes == 0x20) | (codes == 0x0A)
+        pairs = np.flatnonzero(space[1:] & space[:-1])
+        wide = [m.start() for m in _WIDE_SPACE.finditer(words.data)] if _LEAD[codes].any() else []
+        odd = np.concatenate([np.flatnonzero(_CONTROL[codes]), pairs, pairs + 1, wide, words.first[words.last - words.first > _LONG]]).astype(np.int64)
+        starts = np.cumsum([0, *[len(t) + 1 for t in raws]])
+        whole = set(np.searchsorted(starts, odd, "right").tolist())
+        return [i for i, raw in enumerate(raws) if raw and i + 1 not in whole and not any(s in raw for s in self.special) and _valid(raw)]
+
+    def _words(self, raws: list[bytes]) -> list[np.ndarray] | None:
+        """The ids of plain texts; None if two words have one hash."""
+        words = Words(raws)
+        begin = np.zeros(len(words.first) + 1, bool)
+        begin[words.bounds[:-1]] = True
+        apart = words.codes[words.first - 1]
+        spaced, line = (apart == 0x20) & ~begin[:-1], (apart == 0x0A) & ~begin[:-1]
+        keys = mixed(words.hashes() + spaced.astype(np.uint64))
+        each, one, which = np.unique(keys, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, each), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[at] != each) if len(self.keys) else np.arange(len(each))
+        if len(new):
+            units = [(b" " if s else b"\n") + words.data[a:b] for s, a, b in zip(spaced[one[new]].tolist(), words.first[one[new]].tolist(), words.last[one[new]].tolist(), strict=True)]
+            self._learn(each[new], units, (words.last - words.first)[one[new]] + 1)
+            at = np.searchsorted(self.keys, each)
+        id_start, n_ids, byte_start, n_bytes = self.places[:, at][:, which]
+        long = words.last - words.first
+        if not np.array_equal(n_bytes, long) or not np.array_equal(self.bytes[ragged(byte_start, long)], words.codes[ragged(words.first, long)]):
+            return None
+        ends = np.cumsum(n_ids + line)
+        out = np.empty(ends[-1] if len(ends) else 0, np.uint32)
+        starts = ends - n_ids
+        out[starts[line] - 1] = self.line
+        out[ragged(starts, n_ids)] = self.ids[ragged(id_start, n_ids)]
+        bounds = np.concatenate([[0], ends])[words.bounds]
+        if self.keys.nbytes + self.places.nbytes + self.ids.nbytes + self.bytes.nbytes > self.memory:
+            self._forget()
+        return [out[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def _whole(self, raw: bytes) -> np.ndarray:
+        text = raw.decode("utf-8", "replace")
+        if max(map(len, raw.split()), default=0) > _LONG or any(s in raw for s in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.ranked.encode_ordinary(text), np.uint32)
+
+    def encode(self, raws: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text, in order."""
+        plain = self._plain(raws)
+        found = self._words([raws[i] for i in plain]) if plain else []
+        done = dict(zip(plain, found, strict=True)) if found is not None else {}
+        return [done[i] if i in done else self._whole(raw) for i, raw in enumerate(raws)]
+
+
+def _valid(raw: bytes) -> bool:
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+_byte_encoders: dict[str, ByteEncoder] = {}
+
+
+def byte_encoder(path: str) -> ByteEncoder:
+    """One per Python worker, which Spark keeps for many tasks."""
+    if path not in _byte_encoders:
+        _byte_encoders[path] = ByteEncoder(path)
+    return _byte_encoders[path]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalweave.deploy import ship
-from signalweave.llm import chunk_bpe, ecoc_lang, entropy_mix, extendible, mcd_rules, ngram_join, pu_quality, spotsigs, superkmer, wavelet
+from signalweave.llm import chunk_bpe, ecoc_lang, entropy_mix, extendible, mcd_rules, ngram_join, packing, pu_quality, spotsigs, superkmer, wavelet
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +72,13 @@ def op10_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.remove_repeats(_documents(spark, sf_dir), texts=False)
 
 
+def op11_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_documents(spark, sf_dir))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard_join, op2_wavelet_token_shards, op3_extendible_sharding, op4_chunk_bpe, op5_pu_quality, op6_spotsigs_fingerprints, op7_ecoc_language, op8_entropy_mixing, op9_mcd_quality_rules, op10_superkmer_dedup]
+    found = [op1_ngram_jaccard_join, op2_wavelet_token_shards, op3_extendible_sharding, op4_chunk_bpe, op5_pu_quality, op6_spotsigs_fingerprints, op7_ecoc_language, op8_entropy_mixing, op9_mcd_quality_rules, op10_superkmer_dedup, op11_bounded_packing]
     return {f.__name__: f for f in found}
 
 
