@@ -8,29 +8,11 @@ that all executors share, so a lost executor costs one round at most.
 from __future__ import annotations
 
 import itertools
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the plan with a reliable checkpoint."""
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        found = context.getConf().get("spark.checkpoint.dir")
-        if not found:
-            if not (context.master == "local" or context.master.startswith("local[")):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            found = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(found)
-    # Kept while it is written, or the plan would run once for the data and once for the file.
-    held = df.persist()
-    try:
-        return held.checkpoint()
-    finally:
-        held.unpersist()
+from signalweave.storage import cut as _cut
 
 
 def build_edges(links: DataFrame) -> DataFrame:
