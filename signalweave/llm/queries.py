@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalweave.deploy import ship
-from signalweave.llm import chunk_bpe, ecoc_lang, entropy_mix, extendible, mcd_rules, ngram_join, packing, prefix_trie, pu_quality, spotsigs, superkmer, wavelet
+from signalweave.llm import chunk_bpe, collocations, ecoc_lang, entropy_mix, extendible, mcd_rules, ngram_join, packing, prefix_trie, pu_quality, spotsigs, superkmer, wavelet
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +85,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard_join, op2_wavelet_token_shards, op3_extendible_sharding, op4_chunk_bpe, op5_pu_quality, op6_spotsigs_fingerprints, op7_ecoc_language, op8_entropy_mixing, op9_mcd_quality_rules, op10_superkmer_dedup, op11_bounded_packing, op12_prefix_trie]
+    found = [op1_ngram_jaccard_join, op2_wavelet_token_shards, op3_extendible_sharding, op4_chunk_bpe, op5_pu_quality, op6_spotsigs_fingerprints, op7_ecoc_language, op8_entropy_mixing, op9_mcd_quality_rules, op10_superkmer_dedup, op11_bounded_packing, op12_prefix_trie, op13_phrase_collocations]
     return {f.__name__: f for f in found}
 
 
@@ -95,5 +99,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_ngram_jaccard_join": ngram_join.ORACLE.format(n=4, percent=85),
         "op3_extendible_sharding": extendible.ORACLE.format(limit=SHARD_BYTES),
         "op12_prefix_trie": prefix_trie.ORACLE,
+        "op13_phrase_collocations": collocations.ORACLE.format(least=collocations.LEAST, covered=collocations.COVERED, top=collocations.TOP),
         "op10_superkmer_dedup": superkmer.ORACLE.format(k=superkmer.K),
     }

@@ -56,15 +56,16 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of several texts, in order.
 
+    ``parting`` has True for each byte that parts words, the line feed among them.
     ``data``: the bytes; ``first``, ``last``: where each word begins and ends in
     them; ``bounds``: the number of words before each text, and in all.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, parting: np.ndarray = _SPACE):
         self.data = b"\n".join([*texts, b""])
         codes = np.frombuffer(self.data, np.uint8)
         self.codes = _LOWER[codes] if lower else codes
-        space = _SPACE[self.codes]
+        space = parting[self.codes]
         edges = np.flatnonzero(space[1:] != space[:-1]) + 1
         if len(space) and not space[0]:
             edges = np.concatenate([[0], edges])
