@@ -16,11 +16,20 @@ running sum of the fractional parts decides which documents are rounded up, so
 a source misses its target by about one document; a few single-document
 corrections then take most of that.
 
-DataFrame operations only.  Sums that decide anything are decimal, so that the
-order of partitions changes nothing and reruns agree.  Null text has size 0; a
-null source is a source of its own, ordered last.  Documents of size 0 are
-taken once at no cost.  Repeated rows are separate documents.  An empty table
-gives an empty result.
+DataFrame operations only.  Sums that decide anything are decimal or whole, so
+that the order of partitions changes nothing and reruns agree.  Rows alike in
+doc_id, source and text travel as one group with a count, and how many of them
+are rounded up is one number; places among the documents of a size are running
+totals in two levels.  So no group is one task's work.
+
+Repeated rows are separate documents, each with copies of its own; which of
+several rows alike in everything that is kept has the additional copy is not
+defined, and makes no difference.  Rows that share a doc_id, or have none, but
+differ in text are told apart by the text.  Null text has size 0; a null source
+is a source of its own, ordered last.  Documents of size 0 are taken once at no
+cost.  Texts of any length are counted whole and do not travel.  An empty table
+gives an empty result.  Of the columns only doc_id, source, the text and those
+named by ``extra`` are read, whatever the others are called.
 """
 
 from __future__ import annotations
@@ -29,15 +38,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalweave.llm.store import materialize
+from signalweave.operators.running import running
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Parts of a (source, size) class that are ranked apart, so that a large group of copies is never one task's work.
-PARTS = 256
+#: Rows of a group that are written out from one row.
+SPREAD = 10_000
 #: Bisection alone ends well before so many steps; a run that has not is an error.
 NEWTON_STEPS = 200
 #: Relative miss of a source's tokens at which its multiplier counts as found.
 TOLERANCE = 1e-9
 CORRECTIONS = 4
+#: Rates as whole billionths: their sums are exact.
+UNIT = 1_000_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -115,63 +127,81 @@ def multipliers(histogram: DataFrame, targets: DataFrame, most: float = 2.0) ->
     raise RuntimeError("the multipliers were not found")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2, text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, rate, copies, taken, and the ``extra`` columns of the documents."""
-    rows = docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), *extra)
-    # A document's place among those of its source and size: by hash, in parts of bounded size.
-    rows = rows.withColumn("h", F.xxhash64(F.col("doc_id"))).withColumn("part", F.pmod(F.col("h"), F.lit(PARTS)))
-    rows = materialize(rows, "mixing")
-    classes = rows.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n"))
-    classes = materialize(classes, "classes")
-    histogram = classes.groupBy("source", "size").agg(F.sum("n").alias("n"))
+def _whole(value: Column) -> Column:
+    """The whole part of a number of billionths."""
+    return F.call_function("div", value, F.lit(UNIT).cast("decimal(10,0)"))
+
+
+def mix_groups(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2, text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each group of rows alike in doc_id, source, text hash and the ``extra`` columns.
+
+    doc_id, source, row (the hash), size, x0, x1, ... (the extra columns), n (its
+    rows), rate (in billionths), base (copies of each row) and ups (rows of it that
+    have one copy more), source_size, target.
+    """
+    plain = docs.select("doc_id", "source", F.xxhash64(F.col(text)).alias("row"), word_count(F.col(text)).alias("size"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(extra)])
+    # A document's place among those of its source and size is by hash.
+    lot = F.xxhash64("doc_id", "row", "source", F.lit(8))
+    groups = materialize(plain.groupBy(*plain.columns).agg(F.count(F.lit(1)).alias("n")).withColumn("lot", lot), "mixing")
+    histogram = materialize(groups.groupBy("source", "size").agg(F.sum("n").alias("n")), "histogram")
     sizes = histogram.select("source", (F.col("size") * F.col("n")).alias("size"))
     targets = materialize(source_targets(sizes, weights, share, float(most)), "targets")
     tilt = multipliers(histogram, targets, float(most))
 
     found = histogram.join(tilt.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").withColumn("x", F.col("size") / F.col("mean"))
     rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(_rate(float(most)))
-    # Rates as whole billionths: their sums are exact.
-    found = found.select("source", "size", "n", F.round(rate * 1_000_000_000).cast("bigint").alias("rate"))
-    found = found.withColumn("part_rate", F.when(F.col("rate") % 1_000_000_000 == 0, 0).otherwise(F.col("rate") % 1_000_000_000))
-    ascending = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("part_rate").cast("decimal(38,0)") * F.col("n")).over(ascending), F.lit(0).cast("decimal(38,0)"))
-    found = materialize(found.select("source", "size", "rate", "part_rate", before.alias("before")), "rates")
-
-    inside = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    places = classes.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).withColumnsRenamed({"source": "c_source", "size": "c_size", "part": "c_part"})
-    placed = places.join(found, F.col("c_source").eqNullSafe(F.col("source")) & (F.col("c_size") == F.col("size"))).drop("source", "size", "n")
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("h", "doc_id")) - 1)
-    joined = ranked.join(placed, ranked["source"].eqNullSafe(placed["c_source"]) & (ranked["size"] == placed["c_size"]) & (ranked["part"] == placed["c_part"])).drop("c_source", "c_size", "c_part")
-    place = (F.col("first") + F.col("k")).cast("decimal(38,0)")
+    found = found.select("source", "size", "n", F.round(rate * UNIT).cast("bigint").alias("rate"))
+    part_rate = F.pmod("rate", F.lit(UNIT)).cast("decimal(10,0)")
+    # Sizes of a source in ascending order: what the smaller ones take.
+    ascending = running(found, ["source"], ["size"], {"upto": part_rate * F.col("n").cast("decimal(19,0)")}, lambda df: materialize(df, "rates"))
+    rates = ascending.select(F.col("source").alias("r_source"), F.col("size").alias("r_size"), "rate", part_rate.alias("part_rate"), (F.col("upto") - part_rate * F.col("n").cast("decimal(19,0)")).alias("before"))
+
+    placed = running(groups, ["source", "size"], ["lot", "doc_id", "row", *[f"x{i}" for i in range(len(extra))]], {"place": F.col("n")}, lambda df: materialize(df, "places"))
+    joined = placed.join(rates, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("size") == F.col("r_size"))).drop("r_source", "r_size")
     # Half a unit of offset rounds to the nearest count.
-    upto = F.col("before") + F.col("part_rate") * place + 500_000_000
-    up = F.floor((upto + F.col("part_rate")) / 1_000_000_000) - F.floor(upto / 1_000_000_000)
-    copies = F.floor(F.col("rate") / 1_000_000_000) + F.when(F.col("part_rate") > 0, up).otherwise(0)
-    out = joined.select("doc_id", "source", "size", *extra, "h", "rate", copies.cast("bigint").alias("copies"), (F.col("part_rate") > 0).alias("loose"))
+    upto = F.col("before") + F.col("part_rate") * F.col("place").cast("decimal(19,0)") + F.lit(UNIT // 2)
+    ups = _whole(upto) - _whole(upto - F.col("part_rate") * F.col("n").cast("decimal(19,0)"))
+    out = joined.select(*groups.columns, "rate", F.floor(F.col("rate") / UNIT).alias("base"), ups.alias("ups"), (F.col("part_rate") > 0).alias("loose"))
     out = materialize(out, "copies")
 
     t = targets.select(F.col("source").alias("t_source"), "source_size", "target")
     flips = None
     for _ in range(CORRECTIONS):
         now = out if flips is None else _flipped(out, flips)
-        taken = now.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"))
+        taken = now.groupBy("source").agg(F.sum(F.col("size") * (F.col("base") * F.col("n") + F.col("ups"))).alias("taken"))
         gap = taken.join(t, F.col("source").eqNullSafe(F.col("t_source"))).select(F.col("t_source").alias("g_source"), (F.col("target") - F.col("taken")).alias("gap"))
         loose = now.where(F.col("loose")).join(gap, F.col("source").eqNullSafe(F.col("g_source")))
-        base = F.floor(F.col("rate") / 1_000_000_000)
-        turn = F.when((F.col("gap") > 0) & (F.col("copies") == base), 1).when((F.col("gap") < 0) & (F.col("copies") > base), -1)
+        turn = F.when((F.col("gap") > 0) & (F.col("ups") < F.col("n")), 1).when((F.col("gap") < 0) & (F.col("ups") > 0), -1)
         miss = F.abs(F.col("gap") - turn * F.col("size"))
         helpful = loose.withColumn("turn", turn).withColumn("miss", miss).where((F.col("miss") < F.abs(F.col("gap"))))
-        best = helpful.groupBy("g_source").agg(F.min(F.struct("miss", "h", "doc_id", "turn")).alias("b"))
-        step = best.select(F.col("g_source").alias("f_source"), F.col("b.doc_id").alias("f_doc"), F.col("b.h").alias("f_h"), F.col("b.turn").cast("bigint").alias("turn"))
+        name = ["doc_id", "row", *[f"x{i}" for i in range(len(extra))]]
+        best = helpful.groupBy("g_source").agg(F.min(F.struct("miss", "lot", *name, "size", "turn")).alias("b"))
+        step = best.select(F.col("g_source").alias("f_source"), *[F.col(f"b.{c}").alias(f"f_{c}") for c in [*name, "size"]], F.col("b.turn").cast("bigint").alias("turn"))
         flips = materialize(step if flips is None else flips.unionByName(step), "flips")
     out = _flipped(out, flips)
-    joined = out.join(t, F.col("source").eqNullSafe(F.col("t_source")), "left")
-    return joined.select("doc_id", "source", "size", *extra, "source_size", "target", (F.col("rate") / 1e9).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.join(t, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source", "lot", "loose")
 
 
-def _flipped(rows: DataFrame, flips: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2, text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies, taken, and the ``extra`` columns: a row for each of the documents."""
+    names = ["doc_id", "source", "size", *extra, "source_size", "target", "rate", "copies", "taken"]
+    if len(set(names)) < len(names):
+        raise ValueError("an extra column has the name of one of the result")
+    groups = mix_groups(docs, weights, share, most, text, extra)
+    # The rows of a group in two steps, so that no array grows with the group.
+    spans = groups.withColumn("span", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / SPREAD))))
+    first, last = F.col("span") * SPREAD + 1, F.least((F.col("span") + 1) * SPREAD, F.col("n"))
+    rows = spans.withColumn("i", F.explode(F.sequence(first, last)))
+    copies = F.col("base") + (F.col("i") <= F.col("ups")).cast("bigint")
+    return rows.withColumn("copies", copies).select("doc_id", "source", "size", *[F.col(f"x{i}").alias(c) for i, c in enumerate(extra)], "source_size", "target", (F.col("rate") / UNIT).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _flipped(groups: DataFrame, flips: DataFrame) -> DataFrame:
     """Applies single-document corrections; there are at most CORRECTIONS of them for a source."""
-    net = flips.groupBy("f_source", "f_doc", "f_h").agg(F.sum("turn").alias("turn"))
-    same = F.col("source").eqNullSafe(F.col("f_source")) & F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("h") == F.col("f_h"))
-    joined = rows.join(net, same, "left")
-    return joined.withColumn("copies", F.col("copies") + F.coalesce(F.col("turn"), F.lit(0))).drop("f_source", "f_doc", "f_h", "turn")
+    keys = [c for c in flips.columns if c != "turn"]
+    net = flips.groupBy(*keys).agg(F.sum("turn").alias("turn"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k[2:]).eqNullSafe(F.col(k))
+    joined = groups.join(net, same, "left")
+    return joined.withColumn("ups", F.col("ups") + F.coalesce("turn", F.lit(0))).drop(*keys, "turn")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -346,6 +347,63 @@ def test_mixing_meets_targets(spark):
     assert again == {r.doc_id: r.taken for r in got}
 
 
+def solved_rates(sizes, target, most=2.0):
+    """Rates of the documents of one source by bisection on the dual's only multiplier."""
+    mean = sum(sizes) / len(sizes)
+    rate = lambda m, s: min(most, math.exp(min(m * s / mean, 50)))
+    if target >= most * sum(sizes) * (1 - 1e-12):
+        return dict.fromkeys(sizes, most)
+    lo, hi = -80 * mean / min(sizes), math.log(most) * mean / min(sizes)
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(s * rate(mid, s) for s in sizes) < target else (lo, mid)
+    return {s: rate(lo, s) for s in sizes}
+
+
+def repeated_rows(seed):
+    """Rows without an id, with one of a few ids, and rows alike in everything, in four sources."""
+    rng = random.Random(seed)
+    text = lambda: " ".join(rng.choices(["a", "b", "c"], k=rng.randint(1, 200)))
+    rows = [(rng.choice([None, 1, 2, 3, 4, 5, 6, 7]), text(), "en", rng.choice(["a", "a", "b", "c", None]), k, 0.0, "x") for k in range(120)]
+    rows += [(None, "one text", "en", "b", 0, 0.0, "x")] * 40 + [(3, "x " * 50, "en", "a", 0, 0.0, "x")] * 7 + [(9, None, None, "c", 0, 0.0, "x")] * 3
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mixing_rows_that_repeat_an_id(spark, seed):
+    rows = repeated_rows(seed)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = entropy_mix.mix(frame, extra=("n_chars", "label")).collect()
+    key = lambda doc, source, size, chars: (str(doc), str(source), size, chars)
+    assert Counter(key(r.doc_id, r.source, r.size, r.n_chars) for r in got) == Counter(key(r[0], r[3], len((r[1] or "").split()), r[4]) for r in rows)
+    of_source = defaultdict(list)
+    for r in rows:
+        of_source[r[3]].append(len((r[1] or "").split()))
+    want = brute_targets({s: sum(v) for s, v in of_source.items()})
+    taken = Counter()
+    for r in got:
+        assert 0 <= r.copies <= 2 and r.taken == r.copies * r.size
+        taken[r.source] += r.taken
+    for s, sizes in of_source.items():
+        assert abs(taken[s] - want[s]) <= max(sizes)
+        rates = solved_rates([x for x in sizes if x], want[s])
+        for r in got:
+            if r.source == s and r.size:
+                assert r.rate == pytest.approx(rates[r.size], abs=2e-6)
+                assert abs(r.copies - r.rate) < 1 or r.copies in (math.floor(r.rate), math.ceil(r.rate))
+    if seed == 1:
+        return
+    again = entropy_mix.mix(frame.repartition(5), extra=("n_chars", "label")).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, got))
+
+
+def test_mixing_writes_out_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(entropy_mix, "SPREAD", 7)
+    frame = spark.createDataFrame([(None, "a b", "en", "a", 0, 0.0, "x")] * 100 + [(1, "c", "en", "b", 0, 0.0, "x")], SCHEMA)
+    got = entropy_mix.mix(frame).collect()
+    assert len(got) == 101 and all(0 <= r.copies <= 2 for r in got)
+
+
 def test_mixing_odd_and_empty_tables(docs, empty):
     assert entropy_mix.mix(docs).count() == docs.count()
     assert entropy_mix.mix(empty).count() == 0

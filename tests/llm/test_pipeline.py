@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline as pipeline
-from test_operators import WORD, brute_classes, brute_removed, brute_targets, library
+from test_operators import SCHEMA, WORD, brute_classes, brute_removed, brute_targets, library, repeated_rows
 
 
 def test_stages(spark, small, tmp_path):
@@ -66,3 +66,29 @@ def test_near_duplicates_keep_one_row_of_each_class(spark):
     assert tuple(got.columns) == pipeline.COLUMNS
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(4, a), (4, b), (None, "c d e"), (1, None), (1, None), (2, " ")])
     assert pipeline.near_duplicates(spark, docs.where("doc_id > 9"), "").count() == 0
+
+
+def test_mixture_gives_every_row_copies_of_its_own(spark):
+    rows = repeated_rows(4)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = [tuple(r) for r in pipeline.mixture(spark, docs, "").collect()]
+    there, mixed = Counter(r[:5] for r in rows), Counter(got)
+    sizes, taken, longest = Counter(), Counter(), Counter()
+    for r in rows:
+        n = len((r[1] or "").split())
+        sizes[r[3]] += n
+        longest[r[3]] = max(longest[r[3]], n)
+    for r in got:
+        taken[r[3]] += len((r[1] or "").split())
+    for source, target in brute_targets(sizes).items():
+        assert abs(taken[source] - target) <= longest[source]
+    for r, n in mixed.items():
+        assert n <= 2 * there[r]
+    assert mixed[9, None, None, "c", 0] == 3
+
+
+def test_stages_take_empty_tables(spark, small):
+    """No stage needs a document; the first needs labels to learn from, and has none to judge."""
+    none = spark.createDataFrame([], SCHEMA).select(*pipeline.COLUMNS)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, none, small).count() == 0
