@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from signalweave.deploy import ship
 from signalweave.llm import chunk_bpe, entropy_mix, ngram_join, pu_quality, superkmer
 from signalweave.llm.store import materialize, new_path, sent
+from signalweave.operators.running import running
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -62,13 +63,22 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and drops documents so that the sources meet their target weights.
 
-    Rows that share a doc_id all take the largest number of copies among them.
+    Every row has copies of its own, rows that repeat a doc_id, or have none, too.
+    Rows alike in doc_id, source and text share their copies as evenly as can be.
     """
     ship(spark)
     docs = docs.select(*COLUMNS)
-    copies = entropy_mix.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where(F.col("copies") > 0).withColumnRenamed("doc_id", "c_doc")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["c_doc"]))
-    return joined.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    total = F.col("base") * F.col("n") + F.col("ups")
+    groups = materialize(entropy_mix.mix_groups(docs).select(F.col("doc_id").alias("c_doc"), F.col("source").alias("c_source"), F.col("row").alias("c_row"), "n", total.alias("total")), "copies").where(F.col("total") > 0)
+    keyed = docs.withColumn("row", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("c_doc")) & F.col("source").eqNullSafe(F.col("c_source")) & (F.col("row") == F.col("c_row"))
+    each, left = F.floor(F.col("total") / F.col("n")), F.col("total") % F.col("n")
+    alike = keyed.join(sent(groups.where(left == 0)), same).withColumn("copies", each)
+    # Where the rows of a group differ in copies they are numbered; which of them has which number makes no difference.
+    uneven = keyed.join(sent(groups.where(left > 0)), same).withColumn("any_order", F.monotonically_increasing_id())
+    numbered = running(uneven, ["c_doc", "c_source", "c_row"], ["lang", "n_chars", "any_order"], {"place": F.lit(1)}, lambda df: materialize(df, "numbered"))
+    both = alike.select(*COLUMNS, "copies").unionByName(numbered.withColumn("copies", each + (F.col("place") <= left).cast("bigint")).select(*COLUMNS, "copies"))
+    return both.where(F.col("copies") > 0).select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
