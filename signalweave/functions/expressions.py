@@ -58,11 +58,29 @@ def looks_generated(content: Column, limit: int = 200) -> Column:
 
 
 # ---- evidence and ratings --------------------------------------------------
+#
+# A measured habit is a proportion with its uncertainty.  The models are the usual
+# ones: Wilson's interval for a proportion, the Beta distribution as what is known
+# of it after some evidence, inverse-variance weights to combine two estimates, a
+# variance that grows linearly while nothing is seen, as in the Glicko ratings, and
+# the power forgetting curve with the stability gain of FSRS.
 
 
-def tier(prevalence: Column, total: Column) -> Column:
-    """How firm a measured habit is; null below half and a little."""
-    return F.when((prevalence >= 0.95) & (total >= 30), "law").when((prevalence >= 0.7) & (total >= 10), "habit").when(prevalence >= 0.55, "hypothesis")
+def wilson_lower(share: Column, total: Column, z: float = 1.64) -> Column:
+    """Lower end of Wilson's score interval for a share of ``total``; null without evidence."""
+    n = F.when(total > 0, total.cast("double"))
+    middle = share + z * z / (2 * n)
+    spread = z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    return (middle - spread) / (1 + z * z / n)
+
+
+def _named(lower: Column, middle: Column, law: float, habit: float, guess: float) -> Column:
+    return F.when(lower >= law, "law").when(lower >= habit, "habit").when(middle >= guess, "hypothesis")
+
+
+def tier(prevalence: Column, total: Column, law: float = 0.85, habit: float = 0.6, guess: float = 0.5, z: float = 1.64) -> Column:
+    """How firm a measured habit is: by the lower end of its interval, or by itself for a guess; null below."""
+    return _named(wilson_lower(prevalence, total, z), prevalence, law, habit, guess)
 
 
 def fact_key(area: Column, statement: Column) -> Column:
@@ -70,51 +88,66 @@ def fact_key(area: Column, statement: Column) -> Column:
     return F.concat_ws("|", area, F.trim(F.substring_index(statement, "—", 1)))
 
 
-def init_rating(prevalence: Column, modelled: Column) -> Column:
-    """A claim of a model starts below certainty."""
-    return F.when(modelled, F.least(prevalence, F.lit(0.94))).otherwise(prevalence)
+#: Observations that a claim of a model counts for.
+MODEL_EVIDENCE = 4.0
+
+
+def _evidence(total: Column, modelled: Column, model_evidence: float) -> Column:
+    return F.when(modelled, F.lit(float(model_evidence))).otherwise(F.coalesce(total, F.lit(0)).cast("double"))
+
 
+def init_rating(prevalence: Column, total: Column, modelled: Column, model_evidence: float = MODEL_EVIDENCE) -> Column:
+    """Mean of the Beta distribution after the evidence, from a uniform prior: (n p + 1) / (n + 2)."""
+    n = _evidence(total, modelled, model_evidence)
+    return (n * prevalence + 1) / (n + 2)
 
-def init_deviation(total: Column, modelled: Column) -> Column:
-    """Falls with the root of the evidence, within bounds; fixed for claims of a model."""
-    measured = F.least(F.lit(0.35), F.greatest(F.lit(0.03), F.coalesce(F.try_divide(F.lit(1.0), F.sqrt(total.cast("double"))), F.lit(0.35))))
-    return F.when(modelled, F.lit(0.22)).otherwise(measured)
 
+def init_deviation(prevalence: Column, total: Column, modelled: Column, model_evidence: float = MODEL_EVIDENCE) -> Column:
+    """Standard deviation of the same distribution."""
+    n, mean = _evidence(total, modelled, model_evidence), init_rating(prevalence, total, modelled, model_evidence)
+    return F.sqrt(mean * (1 - mean) / (n + 3))
 
-def confirm_rating(rating: Column, deviation: Column, observed: Column) -> Column:
-    """Moves towards the new observation, the more so the less sure the rating is."""
-    weight = F.least(2 * deviation, F.lit(0.5))
-    return rating * (1 - weight) + observed * weight
 
+def confirm_rating(rating: Column, deviation: Column, seen: Column, seen_deviation: Column) -> Column:
+    """Two estimates weighted by the inverse of their variances."""
+    weight = F.try_divide(deviation * deviation, deviation * deviation + seen_deviation * seen_deviation)
+    return rating + F.coalesce(weight, F.lit(0.5)) * (seen - rating)
 
-def confirm_deviation(deviation: Column) -> Column:
-    return F.greatest(deviation * 0.85, F.lit(0.02))
+
+def confirm_deviation(deviation: Column, seen_deviation: Column) -> Column:
+    """The deviation of that weighted mean."""
+    return F.coalesce(F.try_divide(deviation * seen_deviation, F.sqrt(deviation * deviation + seen_deviation * seen_deviation)), F.lit(0.0))
 
 
 def days_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 86_400_000_000
 
 
-def effective_deviation(deviation: Column, idle_days: Column) -> Column:
-    """Grows by 0.05 a month without confirmation, up to 0.5."""
-    return F.least(deviation + 0.05 / 30 * F.greatest(idle_days, F.lit(0.0)), F.lit(0.5))
+def effective_deviation(deviation: Column, idle_days: Column, yearly: float = 0.2) -> Column:
+    """The variance grows by ``yearly`` squared in a year without confirmation, up to that of knowing nothing."""
+    grown = F.sqrt(deviation * deviation + yearly * yearly / 365 * F.greatest(idle_days, F.lit(0.0)))
+    return F.least(grown, F.lit(12**-0.5))
 
 
-def live_tier(rating: Column, deviation: Column, total: Column) -> Column:
-    """The tier that a fact has now, given how unsure it has become."""
-    law = (rating >= 0.95) & (deviation <= 0.19) & (total >= 30)
-    habit = (rating >= 0.7) & (deviation <= 0.32) & (total >= 3)
-    return F.when(law, "law").when(habit, "habit").when(rating >= 0.55, "hypothesis").otherwise("no_consensus")
+def live_tier(rating: Column, deviation: Column, law: float = 0.85, habit: float = 0.6, guess: float = 0.5, z: float = 1.64) -> Column:
+    """The tier that a fact has now: as ``tier``, by ``z`` deviations below its rating."""
+    return F.coalesce(_named(rating - z * deviation, rating, law, habit, guess), F.lit("no_consensus"))
 
 
 def retrievability(stability: Column, idle_days: Column) -> Column:
-    """Power forgetting curve: 0.9 after as many days as the stability."""
+    """Power forgetting curve: 0.9 after as many days as the stability, which counts as a tenth of a day at least."""
     return F.pow(1 + 19 / 81 * F.greatest(idle_days, F.lit(0.0)) / F.greatest(stability, F.lit(0.1)), F.lit(-0.5))
 
 
-def confirm_stability(stability: Column, r: Column) -> Column:
-    """A confirmation that comes late strengthens more; a year at most."""
-    return F.least(stability * (1.6 + 1.4 * (1 - r)), F.lit(365.0))
+def confirm_stability(stability: Column, r: Column, difficulty: float = 5.0, gain: float = 1.49, saturation: float = 0.14, lateness: float = 0.94, most: float = 365.0) -> Column:
+    """FSRS's gain: a confirmation strengthens more the later it comes, and less what is stable already.
+
+    s (1 + e^gain (11 - difficulty) s^-saturation (e^(lateness (1 - r)) - 1)), with the
+    published weights as defaults, ``most`` days at most.
+    """
+    s = F.greatest(stability, F.lit(0.1))
+    more = F.exp(F.lit(gain)) * (11 - difficulty) * F.pow(s, F.lit(-saturation)) * (F.exp(lateness * (1 - r)) - 1)
+    return F.least(s * (1 + more), F.lit(most))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -124,22 +157,34 @@ def hamming(a: Column, b: Column) -> Column:
 # ---- policies --------------------------------------------------------------
 
 
-def csp_allows(values: Column, wanted: Column) -> Column:
-    """Whether a list of allowed sources covers a host; no list allows everything.
+def csp_values(policy: Column, directive: Column) -> Column:
+    """The sources that a policy (a map) lists for a directive, those of default-src where it has none of its own."""
+    return F.coalesce(F.element_at(policy, directive), F.element_at(policy, F.lit("default-src")))
+
 
-    A source that is a scheme covers every host of that scheme, and a host named
-    without one; a source's own scheme, port and path do not count.
+def csp_allows(values: Column, wanted: Column) -> Column:
+    """Whether a list of allowed sources covers what is wanted: a host, an address, a scheme or a keyword.
+
+    No list allows everything, and a list with 'none' nothing, whatever else it
+    names.  A keyword in quotes, and a scheme that is no address, are covered by
+    themselves and by * alone.  The schemes http: and https: cover their own
+    addresses, and hosts without a scheme; another scheme what begins with it.  A
+    host covers itself whatever scheme, port or path it is listed with, and *.host
+    what lies below it.  Nothing is wanted where ``wanted`` is null: null.
     """
     wanted = F.lower(wanted)
-    host = F.regexp_replace(wanted, "^([a-z][a-z0-9+.-]*:)?//", "")
+    address = F.regexp_replace(wanted, "^([a-z][a-z0-9+.-]*:)?//", "")
+    # A name with a dot or a port; keywords are quoted, and schemes have a colon and no port.
+    is_host = address.rlike(r"^[a-z0-9_-]+(\.[a-z0-9_-]+)+\.?(:[0-9*]+)?(/.*)?$|^[a-z0-9_-]+:[0-9*]+(/.*)?$")
+    host = F.regexp_replace(address, "[:/].*$", "")
 
     def one(v: Column) -> Column:
         low = F.lower(v)
         named = F.regexp_replace(F.regexp_replace(low, "^([a-z][a-z0-9+.-]*:)?//", ""), "[:/].*$", "")
-        exact = (low == wanted) | (named == host)
-        scheme = low.endswith(":") & (wanted.startswith(low) | (low.isin("http:", "https:") & (wanted == host)))
-        under = named.startswith("*.") & host.endswith(named.substr(F.lit(2), F.length(named)))
-        return (v == "*") | exact | scheme | under
+        web = low.isin("http:", "https:")
+        by_scheme = F.when(web, is_host & ((wanted == address) | wanted.startswith(F.concat(low, F.lit("//"))))).otherwise(low.endswith(":") & wanted.startswith(low))
+        by_name = is_host & ~low.endswith(":") & ((named == host) | (named.startswith("*.") & host.endswith(named.substr(F.lit(2), F.length(named)))))
+        return (v == "*") | (low == wanted) | by_scheme | by_name
 
-    none = F.array_contains(values, "'none'") & (F.size(values) == 1)
+    none = F.exists(values, lambda v: F.lower(v) == "'none'")
     return F.when(values.isNull(), F.lit(True)).when(none, F.lit(False)).otherwise(F.exists(values, one))

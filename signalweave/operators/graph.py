@@ -1,14 +1,18 @@
 """Operators on link graphs: (repo, src, dst) edges and (repo, node) nodes.
 
-Ranks are worked out in rounds over one table of nodes that holds their links:
-a round is one grouping by receiver.  It ends with a checkpoint in the folder
-that all executors share, so a lost executor costs one round at most.
+Ranks are worked out in rounds over a table of links that is dealt out once and
+stays where it is: a round sends each node's rank to its links' tasks and the
+shares on to the receivers.  The links of a hub are dealt in parts.  A round ends
+with a checkpoint of the ranks, not of the links, in the folder that all executors
+share, so a lost executor costs one round at most.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,30 +47,37 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     return _ranked(teleport, edges, damping, iters, self_loop)
 
 
+#: Links of a node that one task handles together.
+HUB = 10_000
+#: Repos up to which what is summed for each of them is sent to all tasks.
+SENT_REPOS = 1_000_000
+
+
 def _ranked(teleport: DataFrame, edges: DataFrame, damping: float, iters: int, self_loop: float) -> DataFrame:
     """(repo, node, rank) after ``iters`` rounds from the teleport shares ``_t``.
 
-    Nodes carry their links, so that a round needs no join with them: each node
-    sends shares of its rank to others and its own state to itself, and one
-    grouping by receiver sums the one and finds the other.  The mass of nodes
-    without links, a row for each repo, goes to the teleport.
+    The mass of nodes without links, a row for each repo, goes to the teleport.
     """
-    out = edges.groupBy("repo", F.col("src").alias("node")).agg(F.collect_list("dst").alias("_to"))
-    base = teleport.join(out, ["repo", "node"], "left")
-    ranks = _cut(base.select("repo", "node", F.col("_t").alias("rank"), F.struct("_t", "_to").alias("_state")))
-    to = F.col("_state._to")
-    nothing = F.lit(None).cast(ranks.schema["_state"].dataType)
-    own = F.struct(F.col("node").alias("node"), (self_loop * F.col("rank")).alias("_in"), F.col("_state").alias("_state"))
-    given = F.transform(to, lambda x: F.struct(x.alias("node"), ((1 - self_loop) * F.col("rank") / F.size(to)).alias("_in"), nothing.alias("_state")))
-    none = F.filter(F.array(own), lambda _: F.lit(False))
-    for _ in range(iters):
-        pool = ranks.groupBy("repo").agg(F.sum(F.when(to.isNull(), (1 - self_loop) * F.col("rank")).otherwise(0.0)).alias("_pool"))
-        sent = ranks.select("repo", F.inline(F.concat(F.array(own), F.coalesce(given, none))))
-        summed = sent.groupBy("repo", "node").agg(F.sum("_in").alias("_in"), F.first("_state", ignorenulls=True).alias("_state"))
-        t = F.col("_state._t")
-        # A receiver that is no node of the repo has no state and drops out.
-        rank = (1 - damping) * t + damping * (F.col("_in") + F.col("_pool") * t)
-        ranks = _cut(summed.where(F.col("_state").isNotNull()).join(pool, "repo").select("repo", "node", rank.alias("rank"), "_state"))
+    degrees = edges.groupBy("repo", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_deg"))
+    known = F.floor((F.coalesce("_deg", F.lit(0)) + HUB - 1) / HUB).cast("int")
+    base = _cut(teleport.join(degrees, ["repo", "node"], "left").select("repo", "node", "_t", "_deg", known.alias("_parts"))).repartition("repo", "node").persist()
+    parts = F.pmod(F.xxhash64("dst"), F.col("_parts")).cast("int")
+    links = edges.select("repo", F.col("src").alias("node"), "dst").join(base.where("_parts > 0").select("repo", "node", "_parts"), ["repo", "node"])
+    links = _cut(links.select("repo", "node", parts.alias("_part"), "dst")).repartition("repo", "node", "_part").persist()
+    few = base.select("repo").distinct().count() <= SENT_REPOS
+    ranks = base.select("repo", "node", "_t", "_deg", "_parts", F.col("_t").alias("rank"))
+    try:
+        for _ in range(iters):
+            pool = ranks.groupBy("repo").agg(F.sum(F.when(F.col("_deg").isNull(), (1 - self_loop) * F.col("rank")).otherwise(0.0)).alias("_pool"))
+            share = ((1 - self_loop) * F.col("rank") / F.col("_deg")).alias("_share")
+            sent = ranks.where("_parts > 0").select("repo", "node", share, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+            summed = links.join(sent, ["repo", "node", "_part"]).groupBy("repo", F.col("dst").alias("node")).agg(F.sum("_share").alias("_in"))
+            joined = ranks.join(summed, ["repo", "node"], "left").join(F.broadcast(pool) if few else pool, "repo")
+            passed = F.coalesce("_in", F.lit(0.0)) + self_loop * F.col("rank") + F.col("_pool") * F.col("_t")
+            ranks = _cut(joined.select("repo", "node", "_t", "_deg", "_parts", ((1 - damping) * F.col("_t") + damping * passed).alias("rank")))
+    finally:
+        links.unpersist()
+        base.unpersist()
     return ranks.select("repo", "node", "rank")
 
 
@@ -151,3 +162,64 @@ def export_graph(stats: DataFrame, edges: DataFrame, limit: int = 220) -> tuple[
     top = Window.partitionBy("repo").orderBy(F.desc("rank"), "node")
     nodes = stats.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= limit).drop("_r")
     return nodes, drop_dangling(edges, nodes)
+
+
+# ---- components ------------------------------------------------------------
+
+#: Links that a task joins at once.
+LOCAL_LINKS = 1_000_000
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """(node, root) by the links that a task sees: union-find, ``LOCAL_LINKS`` at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = up[x]
+            return x
+
+        def told() -> pa.RecordBatch:
+            nodes = list(up)
+            out = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "root"])
+            up.clear()
+            return out
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+            if len(up) > LOCAL_LINKS:
+                yield told()
+        if up:
+            yield told()
+
+    return links.mapInArrow(run, "node bigint, root bigint")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) for the whole numbers in ``links`` (a, b): component is the smallest node reachable.
+
+    Each round finds the roots of nodes task by task.  A node with several roots
+    takes the least, and its other roots are linked with that one: these links go
+    to the next round, which has far fewer of them.  The rounds end when no node
+    has two roots.
+    """
+    levels, left = [], links.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
+    while True:
+        found = _cut(_roots(left).groupBy("node").agg(F.min("root").alias("least"), F.collect_set("root").alias("roots")))
+        levels.append(found.select("node", "least"))
+        many = found.where(F.size("roots") > 1)
+        left = many.select(F.explode("roots").alias("a"), F.col("least").alias("b")).where("a != b").distinct()
+        if many.isEmpty():
+            break
+        left = left.repartition("b")
+    out = levels.pop()
+    while levels:
+        below = levels.pop()
+        out = below.join(out.select(F.col("node").alias("least"), F.col("least").alias("_last")), "least", "left").select("node", F.coalesce("_last", "least").alias("least"))
+    return _cut(out.withColumnRenamed("least", "component"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalweave.functions import expressions as X
+from signalweave.operators.running import running
 
 JOURNAL = (
     "repo string, id bigint, key string, area string, statement string, tier string, prevalence double, positive bigint, total bigint, source string, "
@@ -18,7 +19,7 @@ JOURNAL = (
 COLUMNS = [c.strip().split()[0] for c in JOURNAL.split(",")]
 
 
-def prepared(incoming: DataFrame, source: str, now: Column, modelled: bool = False) -> DataFrame:
+def prepared(incoming: DataFrame, source: str, now: Column, modelled: bool = False, stability_days: float = 14.0) -> DataFrame:
     """Incoming facts (repo, area, statement, prevalence, positive, total) as journal rows without ids; the last row of a key counts."""
     m = F.lit(modelled)
     rows = incoming.withColumn("key", X.fact_key(F.col("area"), F.col("statement")))
@@ -27,8 +28,8 @@ def prepared(incoming: DataFrame, source: str, now: Column, modelled: bool = Fal
     return rows.select(
         "repo", "key", "area", "statement", X.tier(F.col("prevalence"), F.col("total")).alias("tier"), "prevalence", "positive", "total", F.lit(source).alias("source"),
         now.alias("asserted_at"), now.alias("seen_at"), F.lit(None).cast("bigint").alias("superseded_by"),
-        X.init_rating(F.col("prevalence"), m).alias("rating"), X.init_deviation(F.col("total"), m).alias("deviation"), F.lit(1).cast("bigint").alias("confirmations"),
-        F.when(m, F.lit(14.0)).alias("stability"),
+        X.init_rating(F.col("prevalence"), F.col("total"), m).alias("rating"), X.init_deviation(F.col("prevalence"), F.col("total"), m).alias("deviation"), F.lit(1).cast("bigint").alias("confirmations"),
+        F.when(m, F.lit(float(stability_days))).alias("stability"),
     )
 
 
@@ -48,19 +49,17 @@ def assert_facts(journal: DataFrame, incoming: DataFrame, source: str, now: Colu
         F.when(F.col("b.key").isNull(), F.lit("kept")).when(F.col("a.key").isNull(), F.lit("born")).when(F.col("a.statement") == F.col("b.statement"), F.lit("confirmed")).otherwise(F.lit("changed"))
     )
     both = both.withColumn("outcome", outcome)
-    # New ids continue the journal's: ranges of a repo's keys in order.
+    # New ids continue the journal's, in the order of repo and key.
     fresh = both.where(F.col("outcome").isin("born", "changed"))
-    per_repo = fresh.groupBy(F.col("b.repo").alias("_repo")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_repo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = per_repo.select("_repo", before.alias("_before"))
-    place = F.row_number().over(Window.partitionBy("b.repo").orderBy("b.key"))
-    fresh = fresh.withColumn("_place", place).join(offsets, F.col("b.repo") == F.col("_repo")).crossJoin(F.broadcast(top)).withColumn("_id", F.col("_top") + F.col("_before") + F.col("_place"))
+    keys = running(fresh.select(F.col("b.repo").alias("_repo"), F.col("b.key").alias("_key")), [], ["_repo", "_key"], {"_place": F.lit(1)})
+    named = fresh.join(keys, F.col("b.repo").eqNullSafe(F.col("_repo")) & F.col("b.key").eqNullSafe(F.col("_key")))
+    fresh = named.crossJoin(F.broadcast(top)).withColumn("_id", F.col("_top") + F.col("_place"))
     born = fresh.select(*[(F.col("_id") if c == "id" else F.col(f"b.{c}")).alias(c) for c in COLUMNS], F.when(F.col("outcome") == "born", "born").otherwise("changed").alias("outcome"))
     replaced = fresh.where(F.col("outcome") == "changed").select(*[(F.col("_id") if c == "superseded_by" else F.col(f"a.{c}")).alias(c) for c in COLUMNS], F.lit("superseded").alias("outcome"))
     kept = both.where(F.col("outcome") == "kept").select(*[F.col(f"a.{c}").alias(c) for c in COLUMNS], "outcome")
     again = {
         "prevalence": F.col("b.prevalence"), "positive": F.col("b.positive"), "total": F.col("b.total"), "seen_at": F.col("b.seen_at"),
-        "rating": X.confirm_rating(F.col("a.rating"), F.col("a.deviation"), F.col("b.prevalence")), "deviation": X.confirm_deviation(F.col("a.deviation")), "confirmations": F.col("a.confirmations") + 1,
+        "rating": X.confirm_rating(F.col("a.rating"), F.col("a.deviation"), F.col("b.rating"), F.col("b.deviation")), "deviation": X.confirm_deviation(F.col("a.deviation"), F.col("b.deviation")), "confirmations": F.col("a.confirmations") + 1,
         "stability": X.confirm_stability(F.col("a.stability"), X.retrievability(F.col("a.stability"), X.days_between(now, F.col("a.seen_at")))),
     }
     confirmed = both.where(F.col("outcome") == "confirmed").select(*[again.get(c, F.col(f"a.{c}")).alias(c) for c in COLUMNS], "outcome")
@@ -89,7 +88,7 @@ def active_facts(journal: DataFrame, now: Column) -> DataFrame:
     """Rows in force with the tier they have now."""
     idle = X.days_between(now, F.col("seen_at"))
     aged = journal.where(F.col("superseded_by").isNull()).withColumn("effective_deviation", X.effective_deviation(F.col("deviation"), idle))
-    return aged.withColumn("live_tier", X.live_tier(F.col("rating"), F.col("effective_deviation"), F.col("total")))
+    return aged.withColumn("live_tier", X.live_tier(F.col("rating"), F.col("effective_deviation")))
 
 
 def due_for_review(journal: DataFrame, now: Column, below: float = 0.9) -> DataFrame:
@@ -118,6 +117,12 @@ def summary_sections(facts: DataFrame) -> DataFrame:
 
 
 def upsert_latest(base: DataFrame, delta: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Union in which the latest row of each key stays."""
-    latest = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return base.unionByName(delta, allowMissingColumns=True).withColumn("_r", F.row_number().over(latest)).where(F.col("_r") == 1).drop("_r")
+    """Union in which the latest row of each key stays.
+
+    Of rows of a key with one ``order`` those of ``delta`` come first, and among
+    these the one with the greatest values, column by column, so that reruns agree.
+    """
+    both = base.withColumn("_late", F.lit(0)).unionByName(delta.withColumn("_late", F.lit(1)), allowMissingColumns=True)
+    rest = [F.desc_nulls_last(c) for c in sorted(both.columns) if c not in (*keys, order, "_late") and both.schema[c].dataType.typeName() not in ("map", "variant")]
+    latest = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(order), F.desc("_late"), *rest)
+    return both.withColumn("_r", F.row_number().over(latest)).where(F.col("_r") == 1).drop("_r", "_late")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalweave.functions.expressions import days_between
+from signalweave.operators.running import running
 
 
 def decayed_heat(touches: DataFrame, now: Column, half_life_days: float = 3.0) -> DataFrame:
@@ -45,9 +46,9 @@ def feed_utility(used: DataFrame, min_surfaced: int = 12, mute_below: float = 0.
 
 
 def explore_gate(attempts: DataFrame, every: int = 10) -> DataFrame:
-    """Marks which attempts of a muted kind pass: every so many."""
-    n = F.row_number().over(Window.partitionBy("kind").orderBy("ts", "event_id"))
-    return attempts.withColumn("attempt", n).withColumn("passes", F.col("attempt") % every == 0)
+    """Marks which attempts of a muted kind pass: every so many; a kind's attempts are numbered in two levels."""
+    numbered = running(attempts, ["kind"], ["ts", "event_id"], {"attempt": F.lit(1)})
+    return numbered.withColumn("passes", F.col("attempt") % every == 0)
 
 
 def sessions_by_gap(events: DataFrame, idle_minutes: float = 30.0) -> DataFrame:
@@ -113,11 +114,15 @@ def recent_outcomes(runs: DataFrame, now: Column, hours: float = 72.0) -> DataFr
 
 
 def drift(snapshots: DataFrame, metrics: list[str], window: int = 8) -> DataFrame:
-    """(repo, metric, latest, base, delta, span): the newest snapshot against one up to ``window`` before it."""
+    """(repo, metric, latest, base, delta, span): the newest snapshot against one up to ``window`` before it.
+
+    Of a repo only its newest ``window`` + 1 snapshots leave a task, so a repo of
+    any length costs a few rows.
+    """
     order = Window.partitionBy("repo").orderBy(F.desc("ts"))
-    ranked = snapshots.withColumns({"_r": F.row_number().over(order), "_n": F.count(F.lit(1)).over(Window.partitionBy("repo"))})
-    back = F.least(F.lit(window), F.col("_n") - 1)
-    two = ranked.where((F.col("_n") >= 2) & ((F.col("_r") == 1) | (F.col("_r") == back + 1))).withColumn("_back", back)
+    newest = snapshots.select("repo", "ts", *metrics).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= window + 1)
+    ranked = newest.withColumn("_n", F.max("_r").over(Window.partitionBy("repo")))
+    two = ranked.where((F.col("_n") >= 2) & ((F.col("_r") == 1) | (F.col("_r") == F.col("_n")))).withColumn("_back", F.col("_n") - 1)
     long = two.select("repo", "_r", "_back", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])))
     pick = lambda c: F.max(F.when(c, F.col("value")))
     out = long.groupBy("repo", "metric").agg(pick(F.col("_r") == 1).alias("latest"), pick(F.col("_r") > 1).alias("base"), F.max("_back").cast("bigint").alias("span"))
@@ -134,27 +139,26 @@ def drift_alarms(changes: DataFrame, thresholds: dict[str, float]) -> DataFrame:
 
 
 def rank_tiers(nodes: DataFrame) -> DataFrame:
-    """Adds place and tier by position from the top: 5, 20 and 50 percent, and the rest."""
-    place = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("rank"), "node")) - 1
-    share = F.col("place") / F.count(F.lit(1)).over(Window.partitionBy("repo"))
+    """Adds place and level by position from the top: 5, 20 and 50 percent, and the rest; a repo's nodes are numbered in two levels."""
+    numbered = running(nodes, ["repo"], [F.desc("rank"), "node"], {"place": F.lit(1)}).withColumn("place", F.col("place") - 1)
+    sizes = nodes.groupBy(F.col("repo").alias("_repo")).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.col("place") / F.col("_n")
     level = F.when(share <= 0.05, "core").when(share <= 0.2, "major").when(share <= 0.5, "common").otherwise("edge")
-    return nodes.withColumn("place", place).withColumn("level", level)
+    return numbered.join(sizes, F.col("repo").eqNullSafe(F.col("_repo"))).withColumn("level", level).drop("_repo", "_n")
 
 
 def segment_map(nodes: DataFrame, k: int = 10, members: int = 3) -> DataFrame:
     """(repo, segment, total_rank, nodes, top): the k segments of largest total rank with their first members."""
     best = Window.partitionBy("repo", "segment").orderBy(F.desc("rank"), "node")
-    ranked = nodes.withColumn("_r", F.row_number().over(best))
-    sums = ranked.groupBy("repo", "segment").agg(
-        F.sum("rank").alias("total_rank"), F.count(F.lit(1)).alias("nodes"),
-        F.transform(F.sort_array(F.collect_list(F.when(F.col("_r") <= members, F.struct("_r", "node")))), lambda x: x["node"]).alias("top"),
-    )
+    first = nodes.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= members)
+    named = first.groupBy("repo", "segment").agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "node"))), lambda x: x["node"]).alias("top"))
+    sums = nodes.groupBy("repo", "segment").agg(F.sum("rank").alias("total_rank"), F.count(F.lit(1)).alias("nodes"))
     top = Window.partitionBy("repo").orderBy(F.desc("total_rank"), "segment")
-    return sums.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k).drop("_r")
+    return sums.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k).drop("_r").join(named, ["repo", "segment"])
 
 
 def sample_systematic(docs: DataFrame, key: str, n: int = 60) -> DataFrame:
-    """About n rows at even distances in key order."""
-    numbered = docs.withColumn("_r", F.row_number().over(Window.orderBy(key)) - 1)
-    total = docs.count()
-    return numbered.where(F.col("_r") % max(1, total // n) == 0).drop("_r")
+    """About n rows at even distances in key order, the first one included; rows are numbered in two levels."""
+    numbered = running(docs, [], [key], {"_r": F.lit(1)})
+    total = numbered.count()
+    return numbered.where((F.col("_r") - 1) % max(1, total // n) == 0).drop("_r")

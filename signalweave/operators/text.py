@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalweave.functions.expressions import hamming
+from signalweave.operators.graph import components
+from signalweave.storage import cut
 
 # ---- shapes ----------------------------------------------------------------
 
@@ -48,13 +52,18 @@ def mixed_script_words(docs: DataFrame) -> DataFrame:
 # ---- links -----------------------------------------------------------------
 
 
+#: A link of an HTML page: its target in double quotes, in single quotes or bare, and what it encloses.
+LINK = r"""(?is)<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a>"""
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, anchor, target): links of HTML pages, anchors lower-cased with single spaces, fragments left out."""
-    pattern = r"""<a\s[^>]*href="([^"#][^"]*)"[^>]*>(.*?)</a>"""
-    found = F.arrays_zip(F.regexp_extract_all("html", F.lit("(?is)" + pattern), 1).alias("target"), F.regexp_extract_all("html", F.lit("(?is)" + pattern), 2).alias("anchor"))
-    links = pages.select("page_id", F.inline(found))
+    """(page_id, anchor, target): links of HTML pages, anchors lower-cased with single spaces; links within the page and empty ones are left out."""
+    groups = [F.regexp_extract_all("html", F.lit(LINK), i) for i in range(1, 5)]
+    found = F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)])
+    links = pages.select("page_id", F.inline(found)).toDF("page_id", "double", "single", "bare", "anchor")
     anchor = F.trim(F.regexp_replace(F.lower(F.regexp_replace("anchor", "<[^>]*>", "")), r"\s+", " "))
-    return links.select("page_id", anchor.alias("anchor"), "target")
+    target = F.trim(F.concat(*[F.coalesce(c, F.lit("")) for c in ("double", "single", "bare")]))
+    return links.select("page_id", anchor.alias("anchor"), target.alias("target")).where((F.col("target") != "") & ~F.col("target").startswith("#"))
 
 
 def ambiguous_anchors(links: DataFrame) -> DataFrame:
@@ -114,42 +123,48 @@ def token_hash(token: Column) -> Column:
     return F.conv(F.substring(F.sha1(token), 1, 16), 16, -10).cast("bigint")
 
 
-def simhash64(docs: DataFrame) -> DataFrame:
-    """(id, hash): each token of three characters or more, cut to five, votes on 64 bits.
+def simhash64(docs: DataFrame, shortest: int = 3, longest: int = 5) -> DataFrame:
+    """(id, hash): each token of ``shortest`` characters or more, cut to ``longest``, votes on 64 bits.
 
-    Tokens are counted first, so that a repeated token is hashed once; the 64
-    votes are sums of one aggregation, combined before the shuffle.  A text
-    without such a token, or null, has hash 0.
+    Tokens are hashed where their text is, and one aggregation counts the bits, two
+    counts in a number; a text's tokens lie in one task, which sends on one row.
+    Texts of up to 2^31 tokens.  A text without such a token, or null, has hash 0.
     """
     clean = F.regexp_replace(F.lower("text"), "[^a-zа-яё0-9]+", " ")
-    tokens = F.transform(F.filter(F.split(clean, " "), lambda t: F.char_length(t) >= 3), lambda t: F.substring(t, 1, 5))
-    counted = docs.select("id", F.explode_outer(tokens).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("n"))
-    hashed = counted.select("id", "n", token_hash(F.col("token")).alias("h"))
-    votes = [F.sum(F.when(F.getbit("h", F.lit(i)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"v{i}") for i in range(64)]
-    bits = [F.when(F.col(f"v{i}") > 0, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")) for i in range(64)]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total.bitwiseOR(b)
-    return hashed.groupBy("id").agg(*votes).select("id", total.alias("hash"))
-
-
-def near_hashes(hashes: DataFrame, most: int = 4, blocks: int = 6) -> DataFrame:
+    tokens = F.transform(F.filter(F.split(clean, " "), lambda t: F.char_length(t) >= shortest), lambda t: F.substring(t, 1, longest))
+    hashed = docs.select("id", F.explode_outer(tokens).alias("token")).select("id", token_hash(F.col("token")).alias("h"))
+    one = F.lit(1).cast("bigint")
+    pair = [F.shiftrightunsigned("h", i).bitwiseAND(one).bitwiseOR(F.shiftleft(F.shiftrightunsigned("h", i + 32).bitwiseAND(one), 32)) for i in range(32)]
+    counted = hashed.groupBy("id").agg(F.count("h").alias("n"), *[F.sum(p).alias(f"c{i}") for i, p in enumerate(pair)])
+    total = F.lit(0).cast("bigint")
+    for i in range(32):
+        for count, bit in ((F.col(f"c{i}").bitwiseAND(F.lit(0xFFFFFFFF)), i), (F.shiftrightunsigned(f"c{i}", 32), i + 32)):
+            total = total.bitwiseOR(F.when(2 * count > F.col("n"), F.shiftleft(one, bit)).otherwise(F.lit(0).cast("bigint")))
+    return counted.select("id", total.alias("hash"))
+
+
+def near_hashes(hashes: DataFrame, most: int = 4, blocks: int | None = None) -> DataFrame:
     """(a, b, distance): all pairs of different hashes that differ in at most ``most`` bits.
 
     The bits are cut into ``blocks`` blocks.  Two such hashes agree in
     ``blocks - most`` of them at least, so they share a key made of so many
     blocks and none is lost.  More blocks make longer keys, hence smaller
-    groups, and more keys a hash: 6 blocks give 15 keys of about 21 bits.
+    groups, and more keys a hash: 6 blocks give 15 keys of about 21 bits, 8 give
+    70 of 32.  Unless ``blocks`` is given there are as many as make a key longer
+    than the table's size needs, so that a key's group stays small at any size.
     Equal hashes are one row first, so a group of copies costs one comparison;
     pairs are between the smallest ids of different hashes.
     """
+    unique = cut(hashes.groupBy("hash").agg(F.min("id").alias("id")))
+    if blocks is None:
+        need = unique.count().bit_length()
+        blocks = next((b for b in range(most + 2, 65) if 64 * (b - most) // b > need), 64)
     if not 0 <= most < blocks <= 64:
         raise ValueError("more blocks than differing bits are needed, and 64 at most")
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     masks = [((1 << cuts[i + 1]) - 1) ^ ((1 << cuts[i]) - 1) for i in range(blocks)]
     chosen = [sum(masks[i] for i in c) for c in combinations(range(blocks), blocks - most)]
     signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
-    unique = hashes.groupBy("hash").agg(F.min("id").alias("id"))
     keys = F.array(*[F.struct(F.lit(i).alias("band"), F.col("hash").bitwiseAND(F.lit(m).cast("bigint")).alias("key")) for i, m in enumerate(signed)])
     banded = unique.select("id", "hash", F.inline(keys))
     a, b = banded.select("band", "key", F.col("id").alias("a"), F.col("hash").alias("ha")), banded.select("band", "key", F.col("id").alias("b"), F.col("hash").alias("hb"))
@@ -157,23 +172,73 @@ def near_hashes(hashes: DataFrame, most: int = 4, blocks: int = 6) -> DataFrame:
     return pairs.where(F.col("distance") <= most).select("a", "b", "distance").distinct()
 
 
-def greedy_dedupe(rows: DataFrame, pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
+#: Pairs of a component up to which one task scans it.
+SCANNED = 200_000
+
+
+def greedy_dedupe(rows: DataFrame, pairs: DataFrame, scanned: int = SCANNED) -> DataFrame:
     """(id, kept): in id order, a row goes when an earlier kept row is its pair.
 
-    Rounds instead of a scan: a row is settled as kept once no earlier
-    unsettled pair remains and as removed once an earlier one is kept.
+    Rows that no pair leads to do not matter to each other, so each connected
+    component is scanned by itself, many in a task.  A component of more than
+    ``scanned`` pairs is settled in rounds over all tasks instead: a row is kept
+    once no earlier unsettled pair remains, and goes once an earlier one is kept.
+    Each round settles a row at least, and they go on until all are.  Ids are
+    whole numbers; pairs of a row with itself or with a row that is not among
+    ``rows`` do not count.
     """
-    later = pairs.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")).distinct().checkpoint()
-    state = rows.select("id").distinct().withColumn("kept", F.lit(None).cast("boolean")).checkpoint()
-    for _ in range(most_rounds):
-        early = later.join(state.select(F.col("id").alias("early"), F.col("kept").alias("_k")), "early")
+    ids = rows.select(F.col("id").cast("bigint").alias("id")).distinct()
+    both = pairs.select(F.least("a", "b").cast("bigint").alias("early"), F.greatest("a", "b").cast("bigint").alias("late")).where("early < late").distinct()
+    both = both.join(ids.select(F.col("id").alias("early")), "early", "left_semi").join(ids.select(F.col("id").alias("late")), "late", "left_semi")
+    both = cut(both)
+    parts = components(both.select(F.col("early").alias("a"), F.col("late").alias("b")))
+    placed = cut(both.join(parts.select(F.col("node").alias("late"), "component"), "late"))
+    large = placed.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > scanned).select("component")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kept, beaten, now = None, {}, False, None
+
+        def settle() -> None:
+            if now is not None:
+                kept[now] = not beaten
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array(list(kept.values()), pa.bool_())], names=["id", "kept"])
+
+        for batch in batches:
+            for component, late, early in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                if component != at:
+                    settle()
+                    if kept:
+                        yield told()
+                    at, kept, beaten, now = component, {}, False, None
+                if late != now:
+                    settle()
+                    now, beaten = late, False
+                beaten = beaten or kept.setdefault(early, True)  # earlier than all its pairs: kept
+        settle()
+        if kept:
+            yield told()
+
+    small = placed.join(large, "component", "left_anti").select("component", "late", "early").repartition("component").sortWithinPartitions("component", "late", "early")
+    settled = small.mapInArrow(scan, "id bigint, kept boolean")
+    rest = cut(placed.join(large, "component", "left_semi").select("early", "late"))
+    if not rest.isEmpty():
+        settled = settled.unionByName(_settled_in_rounds(rest))
+    return ids.join(settled, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
+
+
+def _settled_in_rounds(pairs: DataFrame) -> DataFrame:
+    """(id, kept) for the rows of ``pairs`` (early, late)."""
+    state = cut(pairs.select(F.explode(F.array("early", "late")).alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
+    while True:
+        early = pairs.join(state.select(F.col("id").alias("early"), F.col("kept").alias("_k")), "early")
         seen = early.groupBy(F.col("late").alias("id")).agg(F.bool_or(F.coalesce("_k", F.lit(False))).alias("_beaten"), F.bool_or(F.col("_k").isNull()).alias("_open"))
         joined = state.join(seen, "id", "left")
         new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("_beaten", F.lit(False)), F.lit(False)).when(~F.coalesce("_open", F.lit(False)), F.lit(True))
-        state = joined.select("id", new.alias("kept")).checkpoint()
+        state = cut(joined.select("id", new.alias("kept")))
         if state.where(F.col("kept").isNull()).isEmpty():
             return state
-    raise RuntimeError("rows did not settle")
 
 
 # ---- rules and diffs -------------------------------------------------------

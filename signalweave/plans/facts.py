@@ -46,6 +46,60 @@ def journal_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.assert_facts(first, return_facts(spark, sf_dir), "lines", now).select("repo", "area", "statement", "total", "outcome")
 
 
+#: Instants of the two batches, and of looking back.
+FIRST, SECOND, LATER = "2030-01-01 00:00:00", "2030-01-21 00:00:00", "2031-06-01 00:00:00"
+
+
+def _twice(spark: SparkSession, sf_dir: str, modelled: bool) -> DataFrame:
+    """The journal after both measurements, the second one twenty days later."""
+    at = lambda t: F.lit(t).cast("timestamp")
+    first = journal.assert_facts(spark.createDataFrame([], journal.JOURNAL), return_facts(spark, sf_dir, SPLIT), "lines", at(FIRST), modelled).drop("outcome")
+    return journal.assert_facts(first, return_facts(spark, sf_dir), "lines", at(SECOND), modelled).drop("outcome")
+
+
+def _rated(evidence: str) -> str:
+    """Ratings of both measurements, from so much evidence, and what is in force after both."""
+    return _BOTH + f""",
+r AS (
+  SELECT repo, area, statement, era, n, m, sqrt(m * (1 - m) / (n + 3)) AS d
+  FROM (SELECT *, (n * p + 1) / (n + 2) AS m FROM (
+    SELECT repo, area, statement, 0 AS era, {evidence} AS n, positive / total AS p FROM old UNION ALL SELECT repo, area, statement, 1, {evidence}, positive / total FROM new))),
+live AS (
+  SELECT b.repo, b.area, CASE WHEN a.statement = b.statement THEN 2 ELSE 1 END AS confirmations,
+         CASE WHEN a.statement = b.statement THEN a.m + a.d * a.d / (a.d * a.d + b.d * b.d) * (b.m - a.m) ELSE b.m END AS rating,
+         CASE WHEN a.statement = b.statement THEN a.d * b.d / sqrt(a.d * a.d + b.d * b.d) ELSE b.d END AS deviation
+  FROM (SELECT * FROM r WHERE era = 1) b LEFT JOIN (SELECT * FROM r WHERE era = 0) a USING (repo, area))"""
+
+
+@register("journal_ratings", _rated("total") + """
+SELECT repo, area, confirmations, round(rating, 9) AS rating, round(deviation, 9) AS deviation, round(e, 9) AS effective_deviation,
+       CASE WHEN rating - 1.64 * e >= 0.85 THEN 'law' WHEN rating - 1.64 * e >= 0.6 THEN 'habit' WHEN rating >= 0.5 THEN 'hypothesis' ELSE 'no_consensus' END AS live_tier
+FROM (SELECT *, least(sqrt(deviation * deviation + 0.2 * 0.2 / 365 * 496), sqrt(1 / 12)) AS e FROM live)""")
+def journal_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    active = journal.active_facts(_twice(spark, sf_dir, False), F.lit(LATER).cast("timestamp"))
+    return active.select("repo", "area", F.col("confirmations").cast("int").alias("confirmations"), *[F.round(c, 9).alias(c) for c in ("rating", "deviation", "effective_deviation")], "live_tier")
+
+
+@register("journal_reviews", _rated("4.0") + """,
+s AS (
+  SELECT repo, area, CASE WHEN confirmations = 1 THEN 14 ELSE least(365, 14 * (1 + exp(1.49) * 6 * pow(14, -0.14) * (exp(0.94 * (1 - pow(1 + 19 / 81 * 20 / 14, -0.5))) - 1))) END AS stability FROM live),
+f AS (SELECT *, pow(1 + 19 / 81 * 496 / stability, -0.5) AS retrievability FROM s)
+SELECT repo, area, round(stability, 6) AS stability, round(retrievability, 6) AS retrievability FROM f WHERE retrievability < 0.9""")
+def journal_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    due = journal.due_for_review(_twice(spark, sf_dir, True), F.lit(LATER).cast("timestamp"))
+    return due.select("repo", "area", F.round("stability", 6).alias("stability"), F.round("retrievability", 6).alias("retrievability"))
+
+
+@register("journal_history", _BOTH + """,
+v AS (
+  SELECT repo, area, statement, 0 AS era, EXISTS (SELECT 1 FROM new WHERE new.repo = old.repo AND new.area = old.area AND new.statement = old.statement) AS in_force FROM old
+  UNION ALL
+  SELECT repo, area, statement, 1, true FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE new.repo = old.repo AND new.area = old.area AND new.statement = old.statement))
+SELECT repo, area, statement, row_number() OVER (PARTITION BY repo, area ORDER BY era DESC)::INT AS version, in_force FROM v""")
+def journal_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return journal.fact_history(_twice(spark, sf_dir, False)).select("repo", "area", "statement", "version", "in_force")
+
+
 @register("upsert_latest", """
 SELECT o_custkey, o_orderkey, o_orderstatus FROM (
   SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1""")

@@ -45,11 +45,13 @@ def script_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.script_shares(docs(spark, sf_dir))
 
 
-_LINKS = r"""
+_LINK = T.LINK.replace("'", "''")
+_LINKS = rf"""
 WITH raw AS (
-  SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"#][^"]*)"[^>]*>(.*?)</a>', 1)) AS target,
-         unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"#][^"]*)"[^>]*>(.*?)</a>', 2)) AS body FROM pages),
-links AS (SELECT page_id, target, trim(regexp_replace(lower(regexp_replace(body, '<[^>]*>', '', 'g')), '\s+', ' ', 'g')) AS anchor FROM raw)
+  SELECT page_id, {", ".join(f"unnest(regexp_extract_all(html, '{_LINK}', {i})) AS g{i}" for i in range(1, 5))} FROM pages),
+all_links AS (
+  SELECT page_id, trim(concat(g1, g2, g3)) AS target, trim(regexp_replace(lower(regexp_replace(g4, '<[^>]*>', '', 'g')), '\s+', ' ', 'g')) AS anchor FROM raw),
+links AS (SELECT * FROM all_links WHERE target <> '' AND target NOT LIKE '#%')
 """
 
 
@@ -128,3 +130,57 @@ p AS (SELECT x.id AS a, y.id AS b, bit_count(xor(x.low, y.low)) + bit_count(xor(
 SELECT a, b, distance::INT AS distance FROM p WHERE distance <= 4""")
 def near_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.near_hashes(T.simhash64(docs(spark, sf_dir)))
+
+
+_NEAR = _SIM + """,
+u AS (SELECT low, high, min(id) AS id FROM h GROUP BY ALL),
+p AS (SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.id < y.id WHERE bit_count(xor(x.low, y.low)) + bit_count(xor(x.high, y.high)) <= 4),
+q AS (SELECT node, list(a) FILTER (a < node) AS early, row_number() OVER (ORDER BY node) AS k FROM (SELECT a, a AS node FROM p UNION SELECT a, b FROM p) GROUP BY node),
+g(k, kept) AS (
+  SELECT 0::BIGINT, []::BIGINT[]
+  UNION ALL
+  SELECT q.k, CASE WHEN list_has_any(kept, coalesce(early, [])) THEN kept ELSE list_append(kept, node) END FROM g JOIN q ON q.k = g.k + 1)
+"""
+
+
+@register("greedy_clones", _NEAR.replace("WITH t AS", "WITH RECURSIVE t AS", 1) + """
+SELECT u.id, u.id NOT IN (SELECT node FROM q) OR list_contains((SELECT kept FROM g ORDER BY k DESC LIMIT 1), u.id) AS kept FROM u""")
+def greedy_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of texts with different hashes, those that no earlier kept one is near to."""
+    hashes = T.simhash64(docs(spark, sf_dir))
+    one = hashes.groupBy("hash").agg(F.min("id").alias("id"))
+    return T.greedy_dedupe(one.select("id"), T.near_hashes(hashes))
+
+
+_POLICY = """
+WITH p AS (
+  SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS host FROM pages),
+k AS (SELECT unnest(['host', 'blob:', 'data:', '''self''', '''unsafe-inline''']) AS kind),
+q AS (SELECT page_id, host, CASE WHEN kind = 'host' THEN host ELSE kind END AS wanted FROM p CROSS JOIN k)
+"""
+
+
+@register("policy_checks", _POLICY + """
+SELECT page_id, wanted, CASE page_id % 6
+  WHEN 0 THEN wanted = host WHEN 1 THEN wanted = 'data:' OR (wanted = host AND host LIKE '%.example.com') WHEN 2 THEN false
+  WHEN 3 THEN wanted = '''self''' WHEN 4 THEN wanted IN ('blob:', host) ELSE true END AS allowed FROM q""")
+def policy_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a page's host and four other sources may be used under a policy that goes by the page's number; most have no directive but default-src."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("host"))
+    of = lambda *names: F.array(*[F.lit(n) if isinstance(n, str) else n for n in names])
+    lists = [of("https:"), of("https://*.example.com:443/a", "data:"), of("'none'", F.col("host")), of("'self'", "http://other.example.org"), of("blob:", F.upper("host"))]
+    kind = F.col("page_id") % 6
+    listed = F.lit(None).cast("array<string>")
+    for i, names in reversed(list(enumerate(lists))):
+        listed = F.when(kind == i, names).otherwise(listed)
+    policy = F.when(listed.isNotNull(), F.create_map(F.lit("default-src"), listed)).otherwise(F.create_map(F.lit("img-src"), of("'none'")))
+    asked = p.withColumn("policy", policy).select("page_id", "policy", F.explode(of(F.col("host"), "blob:", "data:", "'self'", "'unsafe-inline'")).alias("wanted"))
+    return asked.select("page_id", "wanted", X.csp_allows(X.csp_values(F.col("policy"), F.lit("script-src")), F.col("wanted")).alias("allowed"))
+
+
+@register("mixed_script_words", r"""
+WITH p AS (SELECT doc_id AS id, regexp_replace(text, '`[^`]*`|https?://\S+|\S*/\S*', ' ', 'g') AS t FROM documents),
+w AS (SELECT id, list_sort(list_distinct(list_filter(regexp_extract_all(t, '[A-Za-zа-яА-ЯёЁ]+'), lambda x: regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '[а-яА-ЯёЁ]')))) AS words FROM p)
+SELECT id, array_to_string(words, ' ') AS words FROM w WHERE len(words) > 0""")
+def mixed_script_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.mixed_script_words(docs(spark, sf_dir)).select("id", F.array_join("words", " ").alias("words"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import math
 import os
 import random
 
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 
 from signalweave import registry
 from signalweave.functions import expressions as X
-from signalweave.operators import history, journal, telemetry, text
+from signalweave.operators import graph, history, journal, telemetry, text
 
 #: Loops of 40 rounds: compared with SQL by the driver, too slow for a unit test.
-SLOW = {"pagerank", "node_stats", "personalized_pagerank", "task_neighbors", "rank_tiers", "segment_map"}
+SLOW = {"pagerank", "node_stats", "personalized_pagerank", "task_neighbors", "rank_tiers", "segment_map", "personalized_top", "graph_export"}
 
 
 @pytest.fixture(scope="module")
@@ -59,26 +60,49 @@ def test_paths(spark):
 
 
 def test_ratings(spark):
-    assert one(spark, X.tier(F.lit(0.96), F.lit(30))) == "law"
-    assert one(spark, X.tier(F.lit(0.96), F.lit(29))) == "habit"
-    assert one(spark, X.tier(F.lit(0.5), F.lit(99))) is None
+    def lower(p, n, z=1.64):
+        return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+
+    assert one(spark, X.wilson_lower(F.lit(0.9), F.lit(20))) == pytest.approx(lower(0.9, 20))
+    assert one(spark, X.wilson_lower(F.lit(0.9), F.lit(0))) is None
+    names = {(p, n): one(spark, X.tier(F.lit(p), F.lit(n))) for p, n in [(1.0, 100), (1.0, 5), (0.9, 20), (0.55, 9), (0.4, 1000)]}
+    assert names == {(1.0, 100): "law", (1.0, 5): "habit", (0.9, 20): "habit", (0.55, 9): "hypothesis", (0.4, 1000): None}
+    yes, no = F.lit(True), F.lit(False)
+    assert one(spark, X.init_rating(F.lit(0.8), F.lit(10), no)) == pytest.approx(9 / 12)
+    assert one(spark, X.init_deviation(F.lit(0.8), F.lit(10), no)) == pytest.approx((9 / 12 * 3 / 12 / 13) ** 0.5)
+    assert one(spark, X.init_rating(F.lit(1.0), F.lit(10), yes)) == pytest.approx(5 / 6)
+    assert one(spark, X.confirm_rating(F.lit(0.5), F.lit(0.2), F.lit(0.8), F.lit(0.1))) == pytest.approx(0.5 + 0.8 * 0.3)
+    assert one(spark, X.confirm_deviation(F.lit(0.2), F.lit(0.1))) == pytest.approx((1 / (1 / 0.04 + 1 / 0.01)) ** 0.5)
+    assert one(spark, X.effective_deviation(F.lit(0.1), F.lit(365.0))) == pytest.approx((0.01 + 0.04) ** 0.5)
+    assert one(spark, X.effective_deviation(F.lit(0.1), F.lit(-5.0))) == pytest.approx(0.1)
+    assert one(spark, X.effective_deviation(F.lit(0.1), F.lit(1e6))) == pytest.approx(12**-0.5)
+    assert [one(spark, X.live_tier(F.lit(0.95), F.lit(d))) for d in (0.02, 0.1, 0.25)] == ["law", "habit", "hypothesis"]
+    assert one(spark, X.live_tier(F.lit(0.3), F.lit(0.01))) == "no_consensus"
     assert one(spark, X.retrievability(F.lit(14.0), F.lit(14.0))) == pytest.approx(0.9)
+    late, early = (one(spark, X.confirm_stability(F.lit(14.0), F.lit(r))) for r in (0.5, 0.95))
+    assert 14 < early < late <= 365
     assert one(spark, X.fact_key(F.lit("naming"), F.lit("camel — 90 of 100"))) == "naming|camel"
-    assert one(spark, X.live_tier(F.lit(0.97), F.lit(0.2), F.lit(50))) == "habit"
     assert one(spark, X.hamming(F.lit(5), F.lit(6))) == 2
 
 
-def test_allowed_sources(spark):
-    under, scheme, full = (F.array(F.lit(x)) for x in ("https://*.example.org:443/a", "https:", "https://Example.com/x"))
-    assert one(spark, X.csp_allows(under, F.lit("cdn.example.org"))) is True
-    assert one(spark, X.csp_allows(under, F.lit("example.com"))) is False
-    assert one(spark, X.csp_allows(scheme, F.lit("example.com"))) is True
-    assert one(spark, X.csp_allows(scheme, F.lit("https://example.com"))) is True
-    assert one(spark, X.csp_allows(scheme, F.lit("http://example.com"))) is False
-    assert one(spark, X.csp_allows(full, F.lit("example.com"))) is True
-    assert one(spark, X.csp_allows(full, F.lit("ample.com"))) is False
-    assert one(spark, X.csp_allows(F.array(F.lit("'none'")), F.lit("x"))) is False
-    assert one(spark, X.csp_allows(F.lit(None).cast("array<string>"), F.lit("x"))) is True
+@pytest.mark.parametrize(("listed", "wanted", "allowed"), [
+    (["https://*.example.org:443/a"], "cdn.example.org", True), (["https://*.example.org:443/a"], "example.com", False), (["https://*.example.org"], "https://a.example.org/x", True),
+    (["https:"], "example.com", True), (["https:"], "https://example.com", True), (["https:"], "http://example.com", False), (["https:"], "host:8080", True),
+    (["https:"], "blob:", False), (["https:"], "data:", False), (["https:"], "'unsafe-inline'", False), (["https:"], "'nonce-a.b'", False), (["https:"], "localhost", False),
+    (["https://Example.com/x"], "example.com", True), (["https://Example.com/x"], "ample.com", False), (["a.com"], "a.com:443", True),
+    (["'none'"], "x.org", False), (["'none'", "a.com"], "a.com", False), (["*"], "'unsafe-inline'", True), (["'self'"], "'SELF'", True), (["data:"], "data:image/png", True),
+    (["blob:"], "blob:", True), ([], "a.com", False), (None, "a.com", True), (None, "'unsafe-eval'", True), (["a.com"], None, None),
+])
+def test_allowed_sources(spark, listed, wanted, allowed):
+    row = spark.createDataFrame([(listed, wanted)], "listed array<string>, wanted string")
+    assert row.select(X.csp_allows(F.col("listed"), F.col("wanted")).alias("v")).first().v is allowed
+
+
+def test_directives_fall_back_on_the_default(spark):
+    rows = spark.createDataFrame([({"default-src": ["a.com"], "img-src": ["'none'"]},), ({"img-src": ["b.com"]},)], "policy map<string, array<string>>")
+    got = [r.v for r in rows.select(X.csp_values(F.col("policy"), F.lit("font-src")).alias("v")).collect()]
+    assert got == [["a.com"], None]
+    assert rows.select(X.csp_values(F.col("policy"), F.lit("img-src")).alias("v")).first().v == ["'none'"]
 
 
 def test_cochange_leaves_large_commits_out(spark):
@@ -108,12 +132,89 @@ def test_journal_keeps_one_row_of_a_key_in_force(spark):
 
 
 def test_confirming_a_modelled_fact_blends_with_what_was_seen(spark):
-    now = F.lit("2030-01-02 00:00:00").cast("timestamp")
+    now, later = (F.lit(f"2030-01-{d} 00:00:00").cast("timestamp") for d in ("02", "16"))
     fact = spark.createDataFrame([("r", "n", "camel", 1.0, 20, 20)], "repo string, area string, statement string, prevalence double, positive bigint, total bigint")
     first = journal.assert_facts(spark.createDataFrame([], journal.JOURNAL), fact, "m", now, modelled=True).drop("outcome")
-    row = journal.assert_facts(first, fact, "m", now, modelled=True).first()
-    assert row.rating == pytest.approx(0.94 * (1 - 0.44) + 1.0 * 0.44)
-    assert (row.confirmations, row.deviation, row.stability) == (2, pytest.approx(0.22 * 0.85), pytest.approx(14 * 1.6))
+    born = first.first()
+    row = journal.assert_facts(first, fact, "m", later, modelled=True).first()
+    assert (born.rating, born.stability) == (pytest.approx(5 / 6), 14.0)
+    assert (row.rating, row.deviation) == (pytest.approx(born.rating), pytest.approx(born.deviation / 2**0.5))
+    assert row.confirmations == 2 and row.stability == pytest.approx(14 * (1 + math.exp(1.49) * 6 * 14**-0.14 * (math.exp(0.94 * 0.1) - 1)))
+
+
+def test_views_of_a_journal(spark):
+    at = lambda d: F.lit(f"2030-{d} 00:00:00").cast("timestamp")
+    facts = lambda *rows: spark.createDataFrame([("r", *x) for x in rows], "repo string, area string, statement string, prevalence double, positive bigint, total bigint")
+    measured = journal.assert_facts(spark.createDataFrame([], journal.JOURNAL), facts(("n", "camel — 9", 0.9, 18, 20), ("q", "single — 5", 0.8, 8, 10)), "count", at("01-01")).drop("outcome")
+    both = journal.assert_facts(measured, facts(("n", "camel — 10", 1.0, 200, 200)), "count", at("01-11")).drop("outcome")
+    history = [(r.key, r.version, r.in_force, r.statement) for r in journal.fact_history(both).orderBy("key", "version").collect()]
+    assert history == [("n|camel", 1, True, "camel — 10"), ("n|camel", 2, False, "camel — 9"), ("q|single", 1, True, "single — 5")]
+    touched = {(r.key, r.superseded_by is None): str(r.seen_at)[:10] for r in journal.touch_all(both, at("02-01")).collect()}
+    assert touched == {("n|camel", True): "2030-02-01", ("n|camel", False): "2030-01-01", ("q|single", True): "2030-02-01"}
+    modelled = journal.assert_facts(spark.createDataFrame([], journal.JOURNAL), facts(("z", "guess", 0.9, 1, 1)), "model:a", at("01-01"), modelled=True).drop("outcome")
+    assert journal.due_for_review(modelled, at("01-10")).count() == 0
+    assert journal.due_for_review(modelled.unionByName(both), at("01-20")).count() == 1
+    merged = journal.merge_journals(both, modelled.unionByName(modelled.withColumn("key", F.lit("q|single"))), "model:")
+    assert sorted(r.key for r in merged.collect()) == ["n|camel", "n|camel", "q|single", "z|guess"]
+    live = {r.key: r.live_tier for r in journal.active_facts(both, at("01-11")).collect()}
+    assert live == {"n|camel": "law", "q|single": "hypothesis"}
+    lines = {(r.tier, r.area): r.lines for r in journal.summary_sections(both.where("superseded_by IS NULL")).collect()}
+    assert lines == {("law", "n"): ["camel — 10"], ("hypothesis", "q"): ["single — 5"]}
+
+
+def test_the_latest_row_of_a_key_does_not_depend_on_the_order_of_rows(spark):
+    base = spark.createDataFrame([(1, 5, "a"), (2, 5, "x"), (3, None, "n")], "k int, o int, v string")
+    delta = spark.createDataFrame([(1, 5, "b"), (1, 5, "c"), (2, 4, "y"), (3, 1, "m")], "k int, o int, v string")
+    for d in (delta, delta.orderBy(F.desc("v"))):
+        assert {r.k: r.v for r in journal.upsert_latest(base, d, ["k"], "o").collect()} == {1: "c", 2: "x", 3: "m"}
+
+
+def brute_ranks(nodes, edges, teleport, damping, iters, own):
+    links = {v: sorted({d for s, d in edges if s == v}) for v in nodes}
+    rank = dict(teleport)
+    for _ in range(iters):
+        loose = sum(rank[v] for v in nodes if not links[v])
+        new = {v: own * rank[v] + (1 - own) * loose * teleport[v] for v in nodes}
+        for v in nodes:
+            for d in links[v]:
+                if d in new:
+                    new[d] += (1 - own) * rank[v] / len(links[v])
+        rank = {v: (1 - damping) * teleport[v] + damping * new[v] for v in nodes}
+    return rank
+
+
+def test_ranks_with_hubs_and_nodes_without_links(spark, monkeypatch):
+    """Two repos; the links of nodes with more than two are dealt in parts; half of the nodes lead nowhere."""
+    monkeypatch.setattr(graph, "HUB", 2)
+    rng = random.Random(2)
+    edges = {("a", rng.randrange(8), rng.randrange(16)) for _ in range(40)} | {("b", 0, i) for i in range(1, 9)}
+    edges = {e for e in edges if e[1] != e[2]}
+    nodes = {r: range(n) for r, n in (("a", 16), ("b", 9))}
+    v = spark.createDataFrame([(r, n) for r, ns in nodes.items() for n in ns], "repo string, node int")
+    e = spark.createDataFrame(sorted(edges), "repo string, src int, dst int")
+    seeds = spark.createDataFrame([("a", 3, 50.0)], "repo string, node int, weight double")
+    plain = {(r.repo, r.node): r["rank"] for r in graph.pagerank(v, e, iters=5).collect()}
+    own = {(r.repo, r.node): r["rank"] for r in graph.personalized_pagerank(v, e, seeds, iters=5).collect()}
+    for repo, ns in nodes.items():
+        links = [(s, d) for r, s, d in edges if r == repo]
+        want = brute_ranks(ns, links, dict.fromkeys(ns, 1 / len(ns)), 0.85, 5, 0.0)
+        assert {n: plain[repo, n] for n in ns} == pytest.approx(want)
+        weights = {n: 50.0 if (repo, n) == ("a", 3) else 1.0 for n in ns}
+        want = brute_ranks(ns, links, {n: w / sum(weights.values()) for n, w in weights.items()}, 0.85, 5, 0.1)
+        assert {n: own[repo, n] for n in ns} == pytest.approx(want)
+        assert sum(plain[repo, n] for n in ns) == pytest.approx(1.0)
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.range(0, 3000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).repartition(7)
+    got = graph.components(links.unionByName(spark.createDataFrame([(9001, 9000)], "a bigint, b bigint"))).collect()
+    assert {r.node: r.component for r in got} == {i: 0 for i in range(3001)} | {9000: 9000, 9001: 9000}
+
+
+def test_links_without_their_nodes_are_dropped(spark):
+    edges = spark.createDataFrame([("r", 1, 2), ("r", 2, 3), ("s", 1, 2)], "repo string, src int, dst int")
+    nodes = spark.createDataFrame([("r", 1), ("r", 2), ("s", 1)], "repo string, node int")
+    assert [tuple(r) for r in graph.drop_dangling(edges, nodes).collect()] == [("r", 1, 2)]
 
 
 def test_near_hashes_finds_every_pair(spark):
@@ -147,12 +248,36 @@ def test_heat_halves(spark):
     assert got.heat == pytest.approx(1.5)
 
 
-def test_greedy_dedupe_is_that_of_a_scan(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
-    rows = spark.range(1, 7)
-    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (5, 6)], "a bigint, b bigint")
-    got = {r.id: r.kept for r in text.greedy_dedupe(rows, pairs).collect()}
-    assert got == {1: True, 2: False, 3: True, 4: False, 5: True, 6: False}
+@pytest.mark.parametrize("scanned", [0, 1_000_000])
+def test_greedy_dedupe_is_that_of_a_scan(spark, scanned):
+    """Components scanned in tasks, and settled in rounds over tasks."""
+    rng = random.Random(6)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(3, 3), (5, 999), (61, 62), (62, 63)]
+    kept = {}
+    for i in range(70):
+        kept[i] = not any(kept[min(p)] for p in pairs if max(p) == i and min(p) < i)
+    got = text.greedy_dedupe(spark.range(70), spark.createDataFrame(pairs, "a bigint, b bigint"), scanned)
+    assert {r.id: r.kept for r in got.collect()} == kept
+
+
+def test_greedy_dedupe_of_a_long_chain(spark):
+    got = text.greedy_dedupe(spark.range(10_001), spark.range(10_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert got.where(F.col("kept") == (F.col("id") % 2 == 0)).count() == 10_001
+
+
+def test_recent_rows_and_even_samples(spark):
+    rows = spark.createDataFrame([(s, i) for s in "abc" for i in range(3)], "session_id string, i int")
+    sessions = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "session_id string, start int")
+    assert {r.session_id for r in telemetry.keep_recent(rows, sessions, 2).collect()} == {"b", "c"}
+    assert sorted(r.id for r in telemetry.sample_systematic(spark.range(100).repartition(5), "id", 10).collect()) == list(range(0, 100, 10))
+    assert sorted(r.id for r in telemetry.sample_systematic(spark.range(3), "id", 10).collect()) == [0, 1, 2]
+
+
+def test_links_in_any_quotes(spark):
+    html = """<a href="/x">One</a> <a class=b href='/y?q=1'>T<b>wo</b></a> <A HREF=/z id=1>three
+    3</A> <a href="#top">up</a> <a href=''>none</a> <a name="q">no link</a>"""
+    got = [(r.target, r.anchor) for r in text.page_links(spark.createDataFrame([(1, html)], "page_id bigint, html string")).collect()]
+    assert got == [("/x", "one"), ("/y?q=1", "two"), ("/z", "three 3")]
 
 
 def test_rules_and_diffs(spark):
@@ -162,3 +287,8 @@ def test_rules_and_diffs(spark):
     diffs = spark.createDataFrame([("p", "--- a\n+++ b\n-check()\n+eval(x)"), ("q", "-check()\n+check()")], "path string, diff string")
     got = text.diff_regressions(diffs, {"check": "check"}, {"eval": "eval"}).collect()
     assert sorted((r.path, r.kind) for r in got) == [("p", "check"), ("p", "eval")]
+
+
+def test_words_of_two_scripts(spark):
+    docs = spark.createDataFrame([(1, "plain words, обычные слова"), (2, "the wоrd and the wоrd; `cоde` http://x/у a/бb"), (3, None)], "id bigint, text string")
+    assert [(r.id, r.words) for r in text.mixed_script_words(docs).collect()] == [(2, ["wоrd"])]
