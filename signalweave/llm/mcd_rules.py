@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalweave.llm.store import materialize
+from signalweave.llm.store import materialize, scratch
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -129,17 +129,12 @@ def _group_medians(rows: DataFrame, of: list[Column]) -> DataFrame:
 
 def _distance(p: int) -> Column:
     """Squared Mahalanobis distance by forward substitution with the group's Cholesky factor; the last diagonal entry is still squared and without noise."""
-    y: list[Column] = []
+    y: list[str] = []
     for i in range(p):
-        v = F.col(FEATURES[i]) - F.col(f"c{i}")
-        for j in range(i):
-            v = v - F.col(f"l{i}{j}") * y[j]
-        own = F.sqrt(F.greatest(F.col(f"l{i}{i}") + F.col(NOISE[i]), F.lit(1e-9)))
-        y.append(v / (F.col(f"l{i}{i}") if i < p - 1 else own))
-    total = y[0] * y[0]
-    for v in y[1:]:
-        total = total + v * v
-    return total
+        rest = "".join(f" - l{i}{j} * {y[j]}" for j in range(i))
+        own = f"l{i}{i}" if i < p - 1 else f"sqrt(greatest(l{i}{i} + {NOISE[i]}, 1e-9D))"
+        y.append(f"(({FEATURES[i]} - c{i}{rest}) / {own})")
+    return F.expr(" + ".join(f"{v} * {v}" for v in y))
 
 
 def _bin_of(d2: Column) -> Column:
@@ -150,31 +145,32 @@ def _bin_of(d2: Column) -> Column:
 def _factor(got: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(keys, c*, l**, det): Cholesky factor and determinant of the scatter e** plus noise w*, about the centres c*."""
     p = len(FEATURES)
-    for i in range(p):
-        for j in range(i + 1):
-            v = F.col(f"e{i}{j}")
-            if i == j < p - 1:
-                v = v + F.col(f"w{i}")
-            for k in range(j):
-                v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            if i == j:
-                v = F.sqrt(F.greatest(v, F.lit(1e-9))) if i < p - 1 else F.greatest(v, F.lit(0.0))
-            got = got.withColumn(f"l{i}{j}", v if i == j else v / F.col(f"l{j}{j}"))
-    det = F.greatest(F.col(f"l{p - 1}{p - 1}") + F.col(f"w{p - 1}"), F.lit(1e-9))
-    for i in range(p - 1):
-        det = det * F.col(f"l{i}{i}") * F.col(f"l{i}{i}")
-    return got.select(*keys, *[f"c{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)], det.alias("det"))
-
-
-def _estimate(core: DataFrame, noise: DataFrame) -> DataFrame:
-    """(g, s, c*, l**, det): mean and factor of the covariance of each group and start, by grouped sums."""
+    for j in range(p):
+        # A column of the factor at a time: its diagonal, then what is below it.
+        own = f"e{j}{j}" + (f" + w{j}" if j < p - 1 else "") + "".join(f" - l{j}{k} * l{j}{k}" for k in range(j))
+        got = got.selectExpr("*", (f"sqrt(greatest({own}, 1e-9D))" if j < p - 1 else f"greatest({own}, 0D)") + f" AS l{j}{j}")
+        if j < p - 1:
+            got = got.selectExpr("*", *[f"(e{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j)) + f") / l{j}{j} AS l{i}{j}" for i in range(j + 1, p)])
+    det = " * ".join([f"greatest(l{p - 1}{p - 1} + w{p - 1}, 1e-9D)", *[f"l{i}{i} * l{i}{i}" for i in range(p - 1)]])
+    return got.selectExpr(*keys, *[f"c{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)], f"{det} AS det")
+
+
+def _moments(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, n, s*, q**): number of rows, sums and sums of products; exact, so they can be added up further."""
+    p = len(FEATURES)
+    exact = lambda x: f"sum(CAST({x} AS decimal(38,12)))"
+    sums = ["count(1) AS n", *[f"{exact(f)} AS s{i}" for i, f in enumerate(FEATURES)]]
+    sums += [f"{exact(f'{FEATURES[i]} * {FEATURES[j]}')} AS q{i}{j}" for i in range(p) for j in range(i + 1)]
+    return rows.groupBy(*keys).agg(*[F.expr(x) for x in sums])
+
+
+def _estimate(sums: DataFrame, noise: DataFrame) -> DataFrame:
+    """(g, s, c*, l**, det): mean and factor of the covariance of each group and start, from its moments."""
     p = len(FEATURES)
-    sums = [F.count(F.lit(1)).alias("n"), *[_exact(F.col(f)).alias(f"s{i}") for i, f in enumerate(FEATURES)]]
-    sums += [_exact(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)]
-    got = core.groupBy("g", "s").agg(*sums)
-    means = got.select("g", "s", "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"c{i}") for i in range(p)], *[f"q{i}{j}" for i in range(p) for j in range(i + 1)])
-    scatter = [(F.col(f"q{i}{j}") / F.col("n") - F.col(f"c{i}") * F.col(f"c{j}")).alias(f"e{i}{j}") for i in range(p) for j in range(i + 1)]
-    return _factor(means.select("g", "s", *[f"c{i}" for i in range(p)], *scatter).join(noise, "g"), ("g", "s"))
+    lower = [(i, j) for i in range(p) for j in range(i + 1)]
+    means = sums.selectExpr("g", "s", *[f"CAST(s{i} AS double) / n AS c{i}" for i in range(p)], *[f"CAST(q{i}{j} AS double) / n AS q{i}{j}" for i, j in lower])
+    scatter = means.selectExpr("g", "s", *[f"c{i}" for i in range(p)], *[f"q{i}{j} - c{i} * c{j} AS e{i}{j}" for i, j in lower])
+    return _factor(scatter.join(noise, "g"), ("g", "s"))
 
 
 def _starts(judged: DataFrame, noise: DataFrame) -> DataFrame:
@@ -208,10 +204,20 @@ def _starts(judged: DataFrame, noise: DataFrame) -> DataFrame:
 
 
 def _concentrated(judged: DataFrame, model: DataFrame, noise: DataFrame, core: float) -> DataFrame:
-    """The estimate of each group's ``core`` of rows nearest by ``model``, one for each start."""
+    """The estimate of each group's ``core`` of rows nearest by ``model``, one for each start, with ``was``, the determinant before.
+
+    One pass over the rows: moments are summed for each bin of distances, and the
+    bins of the core are added up.
+    """
     near = judged.join(model.drop("det"), "g").select("g", "s", *FEATURES, _bin_of(_distance(len(FEATURES))).alias("bin"))
-    cut = _quantile_bin(near.groupBy("g", "s", "bin").agg(F.count(F.lit(1)).alias("n")), ["g", "s"], core).withColumnRenamed("bin", "cut")
-    return materialize(_estimate(near.join(cut, ["g", "s"]).where(F.col("bin") <= F.col("cut")), noise), "model")
+    binned = _moments(near, ("g", "s", "bin"))
+    ascending = Window.partitionBy("g", "s").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("n").over(Window.partitionBy("g", "s"))
+    # The bins up to the one with which the core is reached.
+    inner = binned.withColumn("before", F.coalesce(F.sum("n").over(ascending), F.lit(0))).withColumn("total", total).where(F.col("before") < F.col("total") * core)
+    summed = inner.groupBy("g", "s").agg(*[F.sum(c).alias(c) for c in binned.columns if c not in ("g", "s", "bin")])
+    was = model.select("g", "s", F.col("det").alias("was"))
+    return materialize(_estimate(summed, noise).join(was, ["g", "s"]), "model")
 
 
 def least_determinant(judged: DataFrame, noise: DataFrame, core: float = CORE) -> DataFrame:
@@ -224,20 +230,18 @@ def least_determinant(judged: DataFrame, noise: DataFrame, core: float = CORE) -
     model = _starts(judged, noise)
     met = []
     for _ in range(TRIED):
-        model = _concentrated(judged, model, noise, core)
+        model = _concentrated(judged, model.drop("was"), noise, core)
         met.append(model)
     # Equal determinants are decided by the number of the start, so that reruns agree.
-    best = model.groupBy("g").agg(F.min_by(F.struct(*[c for c in model.columns if c != "g"]), F.struct("det", "s")).alias("best")).select("g", "best.*")
-    model = materialize(best, "model")
+    model = model.groupBy("g").agg(F.min_by(F.struct(*[c for c in model.columns if c != "g"]), F.struct("det", "s")).alias("best")).select("g", "best.*")
     while not model.isEmpty():
-        after = _concentrated(judged, model, noise, core)
+        after = _concentrated(judged, model.drop("was"), noise, core)
         met.append(after)
-        before = model.select("g", F.col("det").alias("was"))
-        model = materialize(after.join(before, "g").where(F.col("det") < F.col("was") * (1 - FALL)).drop("was"), "model")
+        model = after.where(F.col("det") < F.col("was") * (1 - FALL))
     every = met[0].withColumn("step", F.lit(0))
     for k, m in enumerate(met[1:], 1):
         every = every.unionByName(m.withColumn("step", F.lit(k)))
-    fields = [c for c in met[0].columns if c not in ("g", "s", "det")]
+    fields = [c for c in met[0].columns if c not in ("g", "s", "det", "was")]
     out = every.groupBy("g").agg(F.min_by(F.struct(*fields), F.struct("det", "s", "step")).alias("best")).select("g", "best.*")
     return materialize(out, "least")
 
@@ -269,7 +273,8 @@ def mcd_distances(rows: DataFrame, core: float = CORE, min_group: int = MIN_GROU
         judged = judged.where(F.col("g") != REST).unionByName(judged.withColumn("g", F.lit(REST)))
     p = len(FEATURES)
     noise = materialize(judged.groupBy("g").agg(*[(_exact(F.col(v)) / F.count(F.lit(1))).alias(f"w{i}") for i, v in enumerate(NOISE)]), "noise")
-    model = least_determinant(judged, noise, core)
+    with scratch() as keep:
+        model = keep(least_determinant(judged, noise, core))
     near = judged.join(model, "g").select("g", _bin_of(_distance(p)).alias("bin"))
     middle = _quantile_bin(near.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n")), ["g"], 0.5)
     scale = F.pow(F.lit(1.02), F.col("bin") + 0.5) / F.lit(CHI2_MEDIAN)

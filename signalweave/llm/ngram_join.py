@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalweave.llm.store import discard, materialize, sent
+from signalweave.llm.store import discard, materialize, scratch, sent
 from signalweave.llm.text import Words, gram_hashes, mixed, signed, slices
 
 #: Buckets of the frequency sketch, as a power of two: a table of one byte each travels to the tasks.
@@ -529,41 +529,41 @@ def connected(links: DataFrame) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, keys: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; with ``keys`` also row, the hash of its text, and class_key, which names its class (null for empty sets)."""
-    scanned = materialize(_sets(docs, n), "sets")
-    rows = scanned.where(F.col("kind") == 0)
-    classes = _frequency_classes(scanned.where(F.col("kind") == 1))
-    # One representative of equal sets, found again by doc_id and hash of its text; the second half of the digest guards the first.
-    first = F.min_by(F.struct("doc_id", "row"), F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("one")
-    equal = rows.where(F.col("size") > 0).groupBy("f1", "f2").agg(first, *[F.first(c).alias(c) for c in ("size", *_MAP, "wide")])
-    sets = materialize(equal.select("f1", "f2", "one.doc_id", "one.row", "size", *_MAP, "wide"), "equal_sets")
-    listed = materialize(_lists(_prefixes(docs, n, percent, classes), percent), "lists")
-
-    # First neighbours in the lists, then every pair whose sets are still apart.
-    near = materialize(listed.where(F.col("kind") == 1).select(F.col("token").alias("a"), F.col("f1").alias("b")).distinct(), "near")
-    plausible = materialize(_plausible(near, sets, percent), "plausible")
-    few = materialize(_few(plausible), "few")
-    labels = connected(_verified(few, docs, n, percent))
-    # Neighbours that have not been tried and are still in different classes come next, so that fewer sets are left for the second round.
-    ends = plausible.join(few.select("a", "b"), ["a", "b"], "left_anti")
-    for x in "ab":
-        ends = ends.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x, "left")
-    apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
-    late = _verified(materialize(ends.where(apart).select(*plausible.columns), "apart"), docs, n, percent)
-    if not late.isEmpty():
-        labels = connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(late))
-    half = [F.col(_MAP[i]).bitwiseXOR(F.col(_MAP[i + BITMAP // 2])).alias(f"h{i}") for i in range(BITMAP // 2)]
-    of_sets = sets.join(labels.withColumnRenamed("node", "f1"), "f1", "left").select("f1", F.coalesce("label", "f1").alias("label"), *half)
-    pairs = materialize(_cross_pairs(listed.where(F.col("kind") == 0).drop("kind").join(of_sets, "f1"), percent), "pairs")
-    more = _verified(_plausible(pairs, sets, percent), docs, n, percent)
-    for table in (listed, near, plausible, few, pairs):
-        discard(table)
-    # Where the second round found links, the classes take in both rounds' links.
-    final = labels if more.isEmpty() else connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
-
-    labelled = sets.join(final.withColumnRenamed("node", "f1"), "f1", "left").select("f1", "f2", "doc_id", F.coalesce("label", "f1").alias("class_key"))
-    ids = labelled.groupBy("class_key").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
-    of_class = materialize(labelled.join(ids, "class_key", "left").select("f1", "f2", "class_key", F.coalesce("component_id", "doc_id").alias("component_id")), "classes")
-    discard(sets)
+    with scratch() as keep:
+        scanned = keep(materialize(_sets(docs, n), "sets"))
+        rows = scanned.where(F.col("kind") == 0)
+        classes = _frequency_classes(scanned.where(F.col("kind") == 1))
+        # One representative of equal sets, found again by doc_id and hash of its text; the second half of the digest guards the first.
+        first = F.min_by(F.struct("doc_id", "row"), F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("one")
+        equal = rows.where(F.col("size") > 0).groupBy("f1", "f2").agg(first, *[F.first(c).alias(c) for c in ("size", *_MAP, "wide")])
+        sets = materialize(equal.select("f1", "f2", "one.doc_id", "one.row", "size", *_MAP, "wide"), "equal_sets")
+        listed = materialize(_lists(_prefixes(docs, n, percent, classes), percent), "lists")
+
+        # First neighbours in the lists, then every pair whose sets are still apart.
+        near = materialize(listed.where(F.col("kind") == 1).select(F.col("token").alias("a"), F.col("f1").alias("b")).distinct(), "near")
+        plausible = materialize(_plausible(near, sets, percent), "plausible")
+        few = materialize(_few(plausible), "few")
+        labels = connected(_verified(few, docs, n, percent))
+        # Neighbours that have not been tried and are still in different classes come next, so that fewer sets are left for the second round.
+        ends = plausible.join(few.select("a", "b"), ["a", "b"], "left_anti")
+        for x in "ab":
+            ends = ends.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x, "left")
+        apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
+        late = _verified(materialize(ends.where(apart).select(*plausible.columns), "apart"), docs, n, percent)
+        if not late.isEmpty():
+            labels = connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(late))
+        half = [F.col(_MAP[i]).bitwiseXOR(F.col(_MAP[i + BITMAP // 2])).alias(f"h{i}") for i in range(BITMAP // 2)]
+        of_sets = sets.join(labels.withColumnRenamed("node", "f1"), "f1", "left").select("f1", F.coalesce("label", "f1").alias("label"), *half)
+        pairs = materialize(_cross_pairs(listed.where(F.col("kind") == 0).drop("kind").join(of_sets, "f1"), percent), "pairs")
+        more = _verified(_plausible(pairs, sets, percent), docs, n, percent)
+        for table in (listed, near, plausible, few, pairs):
+            discard(table)
+        # Where the second round found links, the classes take in both rounds' links.
+        final = labels if more.isEmpty() else connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+
+        labelled = sets.join(final.withColumnRenamed("node", "f1"), "f1", "left").select("f1", "f2", "doc_id", F.coalesce("label", "f1").alias("class_key"))
+        ids = labelled.groupBy("class_key").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
+        of_class = keep(materialize(labelled.join(ids, "class_key", "left").select("f1", "f2", "class_key", F.coalesce("component_id", "doc_id").alias("component_id")), "classes"))
     out = rows.join(of_class, ["f1", "f2"], "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *(["row", "class_key"] if keys else []))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,40 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/signalweave-{uuid.uuid4().hex}/{name}"
 
 
+#: What ``scratch`` blocks that have not ended have written.
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end the tables written inside, but those given to the function that it gives.
+
+    What leaves the block must not be read from the deleted ones later.
+    """
+    mine: list[tuple[SparkSession, str]] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._signalweave_path)
+        return df
+
+    _scopes.append(mine)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for spark, path in mine:
+            if path not in kept:
+                _delete(spark, path)
+            elif _scopes:
+                _scopes[-1].append((spark, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it again.
 
@@ -41,6 +77,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if _scopes:
+        _scopes[-1].append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._signalweave_path = path
     return out
@@ -49,11 +87,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table that ``materialize`` wrote."""
     path = getattr(df, "_signalweave_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path is not None:
+        _delete(df.sparkSession, path)
 
 
 #: Rows of keys, of a few dozen bytes each, up to which they are sent to all tasks.

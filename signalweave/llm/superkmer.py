@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalweave.llm.store import discard, materialize
+from signalweave.llm.store import discard, materialize, scratch
 from signalweave.llm.text import STEP, Words, gram_hashes, mixed, signed, slices, sliding_min
 
 K = 50
@@ -192,7 +192,8 @@ def repeated_windows(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, k: int = K, m: int = M, keep: tuple[str, ...] = ("doc_id",), texts: bool = True) -> DataFrame:
     """``keep``, n_words, n_removed, kept_sha256 and, with ``texts``, kept: the kept words joined by one space, or the text itself where nothing repeats."""
-    found = materialize(repeated_windows(docs, k, m).groupBy("doc_key", "row").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges")
+    with scratch() as stays:
+        found = stays(materialize(repeated_windows(docs, k, m).groupBy("doc_key", "row").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges"))
     keyed = docs.select(*keep, F.coalesce("doc_id", F.lit(LAST).cast("bigint")).alias("doc_key"), F.xxhash64("text").alias("row"), F.col("text").alias("_text"))
     joined = keyed.join(found, ["doc_key", "row"], "left").select(*keep, "_text", "ranges")
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
