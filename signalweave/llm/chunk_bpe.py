@@ -10,7 +10,10 @@ space on either side, which no token of this tokenizer crosses, and there the
 ids of both neighbours hold exactly.
 
 Null text is encoded as empty text: no ids, the hash of the empty string.
-Repeated rows give repeated rows; other columns are ignored.
+Repeated rows give repeated rows, with or without a doc_id; an empty table gives an
+empty result.  Texts of any length are taken whole; a task holds the largest a few
+times.  Of the columns only text and those named by ``keep`` are read, whatever the
+others are called.
 """
 
 from __future__ import annotations

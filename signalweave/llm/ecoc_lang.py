@@ -10,7 +10,11 @@ almost as near, the document is flagged ambiguous.
 
 Language, source and doc_id are never inputs.  Null text and text without a
 letter give ``und`` with score 0.  Without any labelled document everything is
-``und``.
+``und``, and an empty table gives an empty result.  Rows that repeat a doc_id, or
+have none, are documents of their own, for learning and for prediction.  Texts of
+any length are taken whole; a task holds the largest a few times.  Of the columns
+only text, those named by ``keep`` and, for learning, doc_id and lang are read,
+whatever the others are called.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ are still too large.
 DataFrame operations only.  Null text has no bytes; null doc_id hashes as the
 empty string.  Rows of one doc_id share a hash and stay together; a bucket that
 holds one hash value only cannot split and is the only kind that may exceed the
-limit, marked by ``oversized``.  An empty table gives an empty result.
+limit, marked by ``oversized``.  Texts are only measured and do not travel, of
+whatever length.  An empty table gives an empty result.  Of the columns only doc_id
+and the text are read, whatever the others are called.
 """
 
 from __future__ import annotations
@@ -62,9 +64,15 @@ def assign_shards(docs: DataFrame, max_bytes: int = 1 << 20, text: str = "text")
 
 
 def write_shards(docs: DataFrame, path: str, max_bytes: int = 1 << 20) -> DataFrame:
-    """Writes the documents as Parquet, one folder a shard, and returns the assignment."""
+    """Writes the documents as Parquet, one folder ``shard=...`` a shard, and returns (doc_id, shard).
+
+    A column of the documents that is called shard is written as ``own_shard``.
+    Documents without an id are one bucket.
+    """
     shards = materialize(assign_shards(docs, max_bytes).select("doc_id", "shard").distinct(), "shards")
-    joined = docs.join(shards, docs["doc_id"].eqNullSafe(shards["doc_id"])).drop(shards["doc_id"])
+    taken = [c for c in docs.columns if c.lower() == "shard"]
+    renamed = docs.withColumnsRenamed({c: f"own_{c}" for c in taken})
+    joined = renamed.join(shards.withColumnRenamed("doc_id", "_shard_of"), F.col("doc_id").eqNullSafe(F.col("_shard_of"))).drop("_shard_of")
     joined.repartition("shard").write.partitionBy("shard").parquet(path)
     return shards
 

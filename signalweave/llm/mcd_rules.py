@@ -9,9 +9,10 @@ document too far from its group is rejected.  Concentration steps go from three
 robust starts; the one of least determinant goes on until it no longer falls.
 
 Groups below ``min_group`` documents are pooled by language, then together; what
-is still below that is judged by the estimate of all documents.  Only a table
-with fewer than ``min_group`` documents to judge has no estimate: all that pass
-the base rules are kept, as in an empty table.  To the group's scatter is
+is still below that is judged by the estimate of all documents.  In a table with
+fewer than ``min_group`` documents to judge the core is all of them, about their
+plain mean: three quarters of so few would span the rest too narrowly.  By that
+estimate no distance can exceed the number of documents.  To the group's scatter is
 added only the counting noise of each statistic, which keeps groups with a
 constant statistic regular: the variance that a share or mean over so many words
 has by chance, as a mean of the group.  Lines are so few that a document's own
@@ -262,13 +263,15 @@ def robust_groups(rows: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 def mcd_distances(rows: DataFrame, core: float = CORE, min_group: int = MIN_GROUP) -> DataFrame:
     """Adds distance2, scaled so that the core of each group has the median of a Gaussian.
 
-    It is null for rows that the base rules fail, and for all rows of a table with
-    fewer than ``min_group`` others.
+    It is null for rows that the base rules fail.
     """
     judged = rows.where(~F.col("base_failed")).select("g", *FEATURES, *NOISE)
     sizes = judged.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("g") == REST, 1)).alias("rest")).first()
     if sizes["n"] < min_group:
-        return rows.withColumn("distance2", F.lit(None).cast("double"))
+        judged = judged.withColumn("g", F.lit(REST))
+        noise = materialize(judged.groupBy("g").agg(*[(_exact(F.col(v)) / F.count(F.lit(1))).alias(f"w{i}") for i, v in enumerate(NOISE)]), "noise")
+        plain = materialize(_estimate(_moments(judged.withColumn("s", F.lit(0)), ("g", "s")), noise).drop("g", "s", "det"), "plain")
+        return rows.join(F.broadcast(plain), F.lit(True), "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance(len(FEATURES)))).select(*rows.columns, "distance2")
     if 0 < sizes["rest"] < min_group:  # too few for an estimate of their own: that of all documents stands in
         judged = judged.where(F.col("g") != REST).unionByName(judged.withColumn("g", F.lit(REST)))
     p = len(FEATURES)

@@ -20,7 +20,9 @@ scored as empty text.  Without positives or without unlabelled documents there
 is nothing to learn from and every score is 0.5.  A doc_id that is labelled more
 than once counts as positive if one of its labels is 1; rows without a doc_id
 are unlabelled.  Rows that repeat a doc_id are scored one by one.  An empty
-table gives an empty result.  Texts of any length are taken whole.
+table gives an empty result.  Texts of any length are taken whole.  Of the columns
+only doc_id, text, the labels' quality and those named by ``keep`` are read, whatever
+the others are called.
 """
 
 from __future__ import annotations

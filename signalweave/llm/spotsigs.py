@@ -195,27 +195,33 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(a, b, n_class_a, n_class_b, likeness): pairs of classes of equal fingerprints at or above ``threshold``.
 
-    A class is named by its smallest doc_id.  Sets of length n share range
-    floor(log(n) / -log(threshold)) with every set of like length; a set is
-    filed in its own range and probes it and the range below.
+    ``a`` and ``b`` are the smallest doc_ids of the classes, null for a class that
+    has none; of a pair ``a`` is the one with fewer signatures, or else the smaller id.
+    Sets of length n share range floor(log(n) / -log(threshold)) with every set of
+    like length; a set is filed in its own range and probes it and the range below.
     """
     prints = fingerprints(docs).where(F.col("n_sigs") > 0)
-    classes = prints.groupBy("sigs").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_class"))
+    # A class has a name of its own: ids may be missing.
+    named = prints.withColumn("name", F.sha2(F.concat_ws(",", F.transform("sigs", lambda x: x.cast("string"))), 256))
+    classes = named.groupBy("name").agg(F.first("sigs").alias("sigs"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_class"))
     # Rare signatures first, so that the prefix holds the ones that tell most.
     rarity = classes.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
-    spread = classes.select("doc_id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig")).join(rarity, "sig")
-    ordered = spread.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("order"))
+    spread = classes.select("name", F.size("sigs").alias("n"), F.explode("sigs").alias("sig")).join(rarity, "sig")
+    ordered = spread.groupBy("name", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("order"))
     width = F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1
     level = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")
-    prefix = ordered.select("doc_id", "n", level.alias("level"), F.posexplode(F.slice("order", F.lit(1), width)).alias("pos", "item")).select("doc_id", "n", "level", "pos", F.col("item.sig").alias("sig"))
-    probe = prefix.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "sig", F.explode(F.array("level", F.col("level") - 1)).alias("level"))
-    filed = prefix.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "sig", "level")
+    prefix = ordered.select("name", "n", level.alias("level"), F.posexplode(F.slice("order", F.lit(1), width)).alias("pos", "item")).select("name", "n", "level", "pos", F.col("item.sig").alias("sig"))
+    probe = prefix.select(F.col("name").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "sig", F.explode(F.array("level", F.col("level") - 1)).alias("level"))
+    filed = prefix.select(F.col("name").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "sig", "level")
     met = filed.join(probe, ["sig", "level"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
     need = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
     possible = met.where((F.col("na") >= F.col("nb") * threshold) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need - F.least("pa", "pb")))
     pairs = possible.select("a", "b").distinct()
-    side = classes.select("doc_id", "sigs", "n_class")
-    joined = pairs.join(side.withColumnsRenamed({"doc_id": "a", "sigs": "sa", "n_class": "n_class_a"}), "a").join(side.withColumnsRenamed({"doc_id": "b", "sigs": "sb", "n_class": "n_class_b"}), "b")
+    side = lambda x: classes.select(F.col("name").alias(x), F.col("sigs").alias(f"s{x}"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_class").alias(f"d{x}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     likeness = common / (F.size("sa") + F.size("sb") - common)
-    return joined.select("a", "b", "n_class_a", "n_class_b", likeness.alias("likeness")).where(F.col("likeness") >= threshold)
+    swap = (F.size("sa") == F.size("sb")) & (F.col("da") > F.col("db"))
+    low, high = F.when(swap, F.col("db")).otherwise(F.col("da")), F.when(swap, F.col("da")).otherwise(F.col("db"))
+    found = joined.select(low.alias("x"), high.alias("y"), likeness.alias("likeness")).where(F.col("likeness") >= threshold)
+    return found.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.n_class").alias("n_class_a"), F.col("y.n_class").alias("n_class_b"), "likeness")

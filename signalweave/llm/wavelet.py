@@ -10,8 +10,15 @@ Files are Parquet, so that every store Spark knows can hold them: one row a
 shard with its order key, counts and the matrix's bytes, beside a manifest that
 has each shard's first position in the whole token stream.
 
+``token_counts``, ``token_places`` and ``tokens_at`` answer from the stored shards
+by rank, select and access, without undoing a plane.
+
 Null text counts as empty: the document has its end id only.  A null doc_id
-comes first.  Rows with equal doc_id are ordered by their text.
+comes first.  Rows with equal doc_id are ordered by their text.  A text of any
+length is taken whole and lies in one shard, which is then longer than others; a
+task holds one shard.  An empty table gives a manifest without rows and empty
+results.  Of the columns only doc_id and text are read, whatever the others are
+called.
 """
 
 from __future__ import annotations
@@ -242,3 +249,50 @@ def read_token_shards(spark: SparkSession, path: str, tokens: bool = True) -> Da
     starts = spark.read.parquet(f"{path}/manifest").select("part", "seq", F.col("start").alias("shard_start"))
     out = docs.join(starts, ["part", "seq"])
     return out.select("doc_id", (F.col("shard_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if tokens else []))
+
+
+def _on_shards(spark: SparkSession, path: str, answer, schema: str, among: str = "true") -> DataFrame:
+    """Runs ``answer(start, matrix)`` on the shards that fulfil a condition on their ``start`` and ``n_tokens``; it gives columns in the order of the schema."""
+    fields = [f.name for f in spark.createDataFrame([], schema).schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                columns = answer(start, unpack_shard(payload.as_py())[2])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=fields)
+
+    starts = spark.read.parquet(f"{path}/manifest").where(among).select("part", "seq", "start")
+    shards = spark.read.parquet(f"{path}/shards").select("part", "seq", "payload").join(starts, ["part", "seq"])
+    return shards.select("start", "payload").mapInArrow(run, schema)
+
+
+def token_counts(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """token, n: how often each of a few ids comes in all shards; by two ranks a plane and shard."""
+    asked = sorted(set(tokens))
+    found = _on_shards(spark, path, lambda _, m: (asked, [m.count(t, 0, m.n) for t in asked]), "token bigint, n bigint")
+    counted = found.groupBy("token").agg(F.sum("n").alias("n"))
+    every = spark.createDataFrame([(t,) for t in asked], "token bigint")
+    return every.join(counted, "token", "left").fillna(0, ["n"])
+
+
+def token_places(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """token, place: all places of each of a few ids in the whole token stream, by select."""
+    asked = sorted(set(tokens))
+
+    def places(start: int, m: WaveletMatrix) -> tuple[list[int], list[int]]:
+        found = [(t, start + i) for t in asked for i in m.occurrences(t)]
+        return [t for t, _ in found], [i for _, i in found]
+
+    return _on_shards(spark, path, places, "token bigint, place bigint")
+
+
+def tokens_at(spark: SparkSession, path: str, places: list[int]) -> DataFrame:
+    """place, token: the ids at a few places of the whole stream, by access; only the shards that hold them are read. Places beyond the stream have no row."""
+    asked = np.unique(np.array(places, np.int64))
+
+    def at(start: int, m: WaveletMatrix) -> tuple[list[int], list[int]]:
+        inside = asked[(asked >= start) & (asked < start + m.n)].tolist()
+        return inside, [m.access(i - start) for i in inside]
+
+    listed = ", ".join(f"{i}L" for i in asked.tolist())
+    return _on_shards(spark, path, at, "place bigint, token bigint", f"exists(array({listed}), p -> p >= start AND p < start + n_tokens)" if listed else "false")

@@ -124,6 +124,23 @@ def test_wavelet_shards_round_trip(spark):
         at += len(ids)
 
 
+def test_stored_shards_answer_counts_places_and_access(spark, empty):
+    texts = [*odd_texts(), "one one one"]
+    path = wavelet.write_token_shards(spark.createDataFrame(rows_of(texts), SCHEMA), shard_tokens=500)
+    lib = library()
+    stream = [i for t in texts for i in [*lib.encode(t or "", add_special_tokens=False).ids, 2]]
+    asked = [2, stream[0], stream[-2], 49000]
+    counts = Counter(stream)
+    assert {r.token: r.n for r in wavelet.token_counts(spark, path, asked).collect()} == {t: counts[t] for t in asked}
+    want = [(t, i) for i, t in enumerate(stream) if t in asked]
+    assert Counter((r.token, r.place) for r in wavelet.token_places(spark, path, asked).collect()) == Counter(want)
+    places = [0, 1, 499, 500, 501, len(stream) // 2, len(stream) - 1, len(stream), -1]
+    assert {r.place: r.token for r in wavelet.tokens_at(spark, path, places).collect()} == {i: stream[i] for i in places if 0 <= i < len(stream)}
+    none = wavelet.write_token_shards(empty)
+    assert wavelet.read_token_shards(spark, none).collect() == [] and wavelet.token_places(spark, none, [2]).collect() == []
+    assert [r.n for r in wavelet.token_counts(spark, none, [2]).collect()] == [0] and wavelet.tokens_at(spark, none, []).collect() == []
+
+
 def test_wavelet_matrix_queries():
     rng = np.random.default_rng(1)
     for n in (1, 7, 512, 513, 5000):
@@ -164,6 +181,17 @@ def test_sharding_fits_and_splits_only_where_needed(spark):
     assert all(n > 400 for n in total.values())  # every split bucket was too large
 
 
+def test_written_shards_hold_every_document_once(spark, tmp_path):
+    texts = ["ab" * (i % 23) for i in range(120)]
+    docs = spark.createDataFrame(rows_of([*texts, "x", "y"], [*range(120), None, None]), SCHEMA).withColumn("shard", F.lit(5)).withColumn("hash", F.lit(1))
+    path = f"file://{tmp_path}/shards"
+    shards = {r.doc_id: r.shard for r in extendible.write_shards(docs, path, 300).collect()}
+    back = spark.read.option("basePath", path).schema(spark.read.parquet(path).drop("shard").schema.add("shard", "string")).parquet(path).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter(zip([*range(120), None, None], [*texts, "x", "y"], strict=True))
+    assert all((r.shard or "") == shards[r.doc_id] and r.own_shard == 5 and r.hash == 1 for r in back)
+    assert len(set(shards.values())) > 4
+
+
 def test_chunk_encoding_equals_the_library(spark):
     texts = [*odd_texts(), *TRICKY, " ".join(TRICKY * 20)]
     got = {r.doc_id: r for r in chunk_bpe.encode_texts(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
@@ -268,6 +296,15 @@ def test_fingerprint_pairs_are_those_of_brute_force(docs):
     assert {tuple(sorted((r.a, r.b))) for r in spotsigs.similar_pairs(docs, 0.8).collect()} == want
 
 
+def test_fingerprint_pairs_of_rows_without_an_id(spark):
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(300)]
+    one, two = (" ".join(rng.choices(vocab, k=200)) for _ in range(2))
+    rows = rows_of([one, one + " end", two, two + " end", two + " end"], [5, None, None, None, None])
+    got = [(r.a, r.b, r.n_class_a, r.n_class_b) for r in spotsigs.similar_pairs(spark.createDataFrame(rows, SCHEMA), 0.8).collect()]
+    assert Counter(got) == Counter([(5, None, 1, 1), (None, None, 1, 2)])
+
+
 def test_fingerprints_are_of_one_kind_for_short_and_long_texts(spark):
     rng = random.Random(6)
     vocab = [f"w{i}" for i in range(400)]
@@ -502,9 +539,13 @@ def test_documents_of_small_groups_are_judged_by_all(spark):
     got = {r.doc_id: r for r in mcd_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert [i for i in sorted(got) if not got[i].kept] == [201, 202]
     assert all(got[i].distance2 is not None for i in got)
-    # A table too small for any estimate is kept but for the base rules.
+    # In a small table the plain scatter stands in, by which no distance exceeds the number of rows.
     few = mcd_rules.quality_rules(spark.createDataFrame(rows[190:], SCHEMA)).collect()
-    assert len(few) == 13 and all(r.kept and r.distance2 is None for r in few)
+    assert len(few) == 13 and all(r.kept and r.distance2 <= 12 for r in few)
+    assert max(few, key=lambda r: r.distance2).doc_id in (201, 202)
+    # One row more or less than ``min_group`` makes no other difference to clean documents.
+    for n in (49, 51):
+        assert all(r.kept for r in mcd_rules.quality_rules(spark.createDataFrame(rows[:n], SCHEMA)).collect())
 
 
 def test_quality_rules_judge_repeated_rows_alike(spark):
@@ -631,3 +672,67 @@ def test_quality_without_anything_to_learn_from(spark, docs, empty):
     model = pu_quality.train(docs, none)
     assert {(r.score, r.predicted) for r in pu_quality.score(docs, model).collect()} == {(0.5, 1)}
     assert pu_quality.score(empty, pu_quality.train(empty, none)).count() == 0
+
+
+def test_fit_reaches_the_least_risk():
+    """Where the risk of negatives stays above 0 the risk is convex: Newton's method finds its minimum independently."""
+    rng = np.random.default_rng(3)
+    positive = rng.normal([1.0, 0.3, 0.0], 1.0, (400, 3))
+    unlabelled = np.concatenate([rng.normal([1.0, 0.3, 0.0], 1.0, (300, 3)), rng.normal([-1.0, -0.3, 0.0], 1.2, (700, 3))])
+    prior, decay = 0.3, 1e-3
+    model = pu_quality.fit(positive, unlabelled, prior, epochs=3000, decay=decay)
+    p, u = (np.c_[model.expand(x), np.ones(len(x))] for x in (positive, unlabelled))
+    keep = np.append(np.ones(p.shape[1] - 1), 0.0)
+
+    def parts(w):
+        return prior * np.logaddexp(0, -p @ w).mean(), np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean()
+
+    def risk(w):
+        good, bad = parts(w)
+        return good + max(0.0, bad) + decay / 2 * (keep * w * w).sum()
+
+    w = np.zeros(p.shape[1])
+    for _ in range(100):
+        s = 1 / (1 + np.exp(-u @ w))
+        slope = -prior * p.mean(axis=0) + u.T @ s / len(u) + decay * keep * w
+        bend = (u * (s * (1 - s))[:, None]).T @ u / len(u) + np.diag(decay * keep + 1e-12)
+        w -= np.linalg.solve(bend, slope)
+    assert parts(w)[1] > 0 and np.abs(slope).max() < 1e-9
+    got = np.append(model.weights, model.bias)
+    assert risk(w) <= risk(got) <= risk(w) + 1e-4
+    both = np.r_[p, u]
+    assert ((both @ got > 0) == (both @ w > 0)).mean() > 0.99
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 9])
+def test_decoding_takes_the_codeword_of_least_loss(n):
+    rng = np.random.default_rng(n)
+    size = 2 << ecoc_lang.BUCKET_BITS
+    model = ecoc_lang.Model({f"l{i}": rng.poisson(rng.gamma(0.3, 3, size)) for i in range(n)})
+    margins = rng.normal(0, 0.5 / model.scale, (50, model.code.shape[1]))
+    best, score, unsure = model.decode(margins)
+    for k, row in enumerate(margins):
+        loss = [sum(model.loss_weights[i, b] * math.exp(max(-30, min(30, -row[b] * model.scale * model.code[i, b]))) for b in range(len(row))) for i in range(n)]
+        order = sorted(range(n), key=lambda i: loss[i])
+        assert loss[best[k]] == pytest.approx(loss[order[0]])
+        if n > 1:
+            assert score[k] == pytest.approx(min(1, max(0, 1 - loss[order[0]] / loss[order[1]])), abs=1e-9)
+            assert bool(unsure[k]) == (score[k] < ecoc_lang.AMBIGUOUS)
+
+
+def test_margins_of_whole_texts_by_definition(spark):
+    """The classifiers' answers for a text from its letter pairs and triples, counted one by one."""
+    docs = spark.createDataFrame(rows_of(["the cat sat on the mat", "le chat est sur le tapis", "der hund ist im haus"] * 20), SCHEMA)
+    docs = docs.withColumn("lang", F.element_at(F.array(F.lit("en"), F.lit("fr"), F.lit("de")), (F.col("doc_id") % 3 + 1).cast("int")))
+    model = ecoc_lang.train(docs)
+    texts = ["the dog", "chat noir", "haus", "a", "É"]
+    got = {r.doc_id: r for r in ecoc_lang.predict(spark.createDataFrame(rows_of(texts), SCHEMA), model).collect()}
+    for i, t in enumerate(texts):
+        pair, triple, (n2, n3), _ = ecoc_lang.grams_of([t.encode()])
+        margin = np.zeros(model.code.shape[1])
+        for grams, n in ((pair, int(n2[0])), (triple, int(n3[0]))):
+            for b in range(len(margin)):
+                margin[b] += sum(float(model.weights[g, b]) for g in grams.tolist()) / max(n, 1) / 2
+        best, score, _ = model.decode(margin[None])
+        assert got[i].lang_pred == model.langs[best[0]]
+        assert got[i].score == pytest.approx(score[0], abs=1e-4)
