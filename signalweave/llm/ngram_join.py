@@ -568,6 +568,40 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, keys: bool =
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *(["row", "class_key"] if keys else []))
 
 
+def jaccard_links(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
+    """All links, not only what ties classes together: (links, members).
+
+    links: a, b, each pair of different sets that link, once, by the names of the
+    sets; members: doc_id, row, n_shingles, name, n_copies (rows with that set),
+    n_links (rows that this one links with: the copies of its own set and those of
+    the sets that it links with).  Rows without words have no name and no link.
+
+    Candidates are all pairs of the index lists whose blocks are not skipped, so
+    the work grows with the links, and with the square of a group in which all
+    texts are near to each other; classes alone are had for less.
+    """
+    with scratch() as keep:
+        scanned = keep(materialize(_sets(docs, n), "sets"))
+        rows = scanned.where(F.col("kind") == 0)
+        classes = _frequency_classes(scanned.where(F.col("kind") == 1))
+        first = F.min_by(F.struct("doc_id", "row"), F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("one")
+        equal = rows.where(F.col("size") > 0).groupBy("f1", "f2").agg(first, F.count(F.lit(1)).alias("n_copies"), *[F.first(c).alias(c) for c in ("size", *_MAP, "wide")])
+        sets = keep(materialize(equal.select("f1", "f2", "one.doc_id", "one.row", "n_copies", "size", *_MAP, "wide"), "equal_sets"))
+        half = [F.col(_MAP[i]).bitwiseXOR(F.col(_MAP[i + BITMAP // 2])).alias(f"h{i}") for i in range(BITMAP // 2)]
+        # Every set is a class of its own, so every pair of a list is one between classes.
+        apart = sets.select("f1", F.col("f1").alias("label"), *half)
+        listed = _lists(_prefixes(docs, n, percent, classes), percent).where(F.col("kind") == 0).drop("kind")
+        pairs = materialize(_cross_pairs(listed.join(apart, "f1"), percent), "pairs")
+        links = keep(_verified(_plausible(pairs, sets, percent), docs, n, percent))
+    copies = sets.select("f1", "n_copies")
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = both.join(copies, F.col("b") == F.col("f1")).groupBy("a").agg(F.sum("n_copies").alias("others"))
+    of_sets = sets.select("f1", "f2", "n_copies").join(linked.withColumnRenamed("a", "f1"), "f1", "left").withColumn("n_links", F.col("n_copies") - 1 + F.coalesce("others", F.lit(0)))
+    members = rows.join(of_sets, ["f1", "f2"], "left")
+    name = F.when(F.col("size") > 0, F.col("f1")).alias("name")
+    return links.select("a", "b"), members.select("doc_id", "row", F.col("size").alias("n_shingles"), name, F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 ORACLE = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words

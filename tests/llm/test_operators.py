@@ -71,6 +71,25 @@ def test_jaccard_classes(docs, n, percent):
     assert got == brute_classes(odd_texts(), n, percent)
 
 
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (2, 40)])
+def test_jaccard_links_are_all_links(spark, n, percent):
+    texts, ids = odd_texts(), [None if i % 5 == 0 else i // 2 for i in range(len(odd_texts()))]
+    links, members = ngram_join.jaccard_links(spark.createDataFrame(rows_of(texts, ids), SCHEMA), n, percent)
+    sets = []
+    for t in texts:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append(frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else []))
+    near = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= percent * len(a | b)
+    want = Counter((str(d), len(s), sum(near(s, t) for t in sets) - bool(s)) for d, s in zip(ids, sets, strict=True))
+    got = members.collect()
+    assert Counter((str(r.doc_id), r.n_shingles, r.n_links) for r in got) == want
+    different = list({s for s in sets if s})
+    pairs = sum(near(a, b) for i, a in enumerate(different) for b in different[:i])
+    found = [tuple(r) for r in links.collect()]
+    assert len(found) == len({tuple(sorted(p)) for p in found}) == pairs > 3
+    assert {x for p in found for x in p} <= {r.name for r in got}
+
+
 def test_jaccard_classes_of_many_near_copies(spark):
     rng = random.Random(2)
     base = [f"v{i}" for i in range(120)]
