@@ -252,9 +252,15 @@ def safe_rules(rules: DataFrame, shortest: int = 3, longest: int = 120) -> DataF
     return rules.where((n >= shortest) & (n <= longest) & ~F.col("pattern").rlike(_UNSAFE))
 
 
+#: Rules that one pass over the files can apply.
+MOST_RULES = 1000
+
+
 def apply_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """(path, rule_id): files that match a rule; the rules are a short list that the caller keeps."""
-    kept = safe_rules(rules).select("rule_id", "pattern").collect()
+    """(path, rule_id): files that match a rule; all safe rules are tried in one pass, and more than ``MOST_RULES`` of them are an error."""
+    kept = safe_rules(rules).select("rule_id", "pattern").limit(MOST_RULES + 1).collect()
+    if len(kept) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     hits = F.array(*[F.when(F.col("content").rlike(r["pattern"]), F.lit(r["rule_id"])) for r in kept]) if kept else F.array().cast("array<string>")
     return files.select("path", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("rule_id"))
 

@@ -100,6 +100,39 @@ def journal_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.fact_history(_twice(spark, sf_dir, False)).select("repo", "area", "statement", "version", "in_force")
 
 
+@register("journal_retracted", _BOTH + "SELECT repo, area, total < 62 AS retracted FROM new")
+def journal_retracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that a later measurement, of suppliers with 62 lines or more, no longer gives."""
+    facts = return_facts(spark, sf_dir)
+    kept = journal.assert_facts(spark.createDataFrame([], journal.JOURNAL), facts, "lines", F.lit(FIRST).cast("timestamp")).drop("outcome")
+    fresh = journal.prepared(facts.where("total >= 62"), "lines", F.lit(SECOND).cast("timestamp")).select("repo", "key")
+    return journal.retract_missing(kept, fresh, "lines").select("repo", "area", F.col("superseded_by").isNotNull().alias("retracted"))
+
+
+@register("journal_merge", _BOTH + """
+SELECT repo, area, statement, 'lines' AS source FROM old
+UNION ALL SELECT repo, area, statement, 'other:lines' FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.repo = new.repo AND old.area = new.area)""")
+def journal_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal of the early lines, with what another one knows besides."""
+    empty, at = spark.createDataFrame([], journal.JOURNAL), F.lit(FIRST).cast("timestamp")
+    ours = journal.assert_facts(empty, return_facts(spark, sf_dir, SPLIT), "lines", at).drop("outcome")
+    theirs = journal.assert_facts(empty, return_facts(spark, sf_dir), "other:lines", at).drop("outcome")
+    return journal.merge_journals(ours, theirs, "other:").select("repo", "area", "statement", "source")
+
+
+@register("journal_summary", _BOTH + """,
+w AS (SELECT *, positive / total AS p, 1.64 * 1.64 AS zz FROM new),
+t AS (
+  SELECT repo, statement, p, CASE WHEN low >= 0.85 THEN 'law' WHEN low >= 0.6 THEN 'habit' WHEN p >= 0.5 THEN 'hypothesis' END AS tier
+  FROM (SELECT *, (p + zz / (2 * total) - 1.64 * sqrt(p * (1 - p) / total + zz / (4 * total * total))) / (1 + zz / total) AS low FROM w))
+SELECT repo, coalesce(tier, 'none') AS tier, array_to_string(list(statement ORDER BY -p, statement), '; ') AS lines FROM t GROUP BY ALL""")
+def journal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is in force, by nation and tier, the firmest first."""
+    kept = journal.assert_facts(spark.createDataFrame([], journal.JOURNAL), return_facts(spark, sf_dir), "lines", F.lit(FIRST).cast("timestamp"))
+    sections = journal.summary_sections(kept.where("superseded_by IS NULL").withColumn("area", F.lit("returns")))
+    return sections.select("repo", F.coalesce("tier", F.lit("none")).alias("tier"), F.array_join("lines", "; ").alias("lines"))
+
+
 @register("upsert_latest", """
 SELECT o_custkey, o_orderkey, o_orderstatus FROM (
   SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1""")

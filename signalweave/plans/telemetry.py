@@ -175,3 +175,20 @@ def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drift_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     alarms = T.drift_alarms(_drift(spark, sf_dir), {"n": -1.0, "errors": 1.0, "mean": -0.03})
     return alarms.select("metric", F.round("delta", 6).alias("delta"))
+
+
+@register("event_sample", "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS r, count(*) OVER () AS n FROM events) WHERE r % greatest(1, n // 60) = 0")
+def event_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About sixty events at even distances."""
+    return T.sample_systematic(events(spark, sf_dir).select("event_id"), "event_id", 60)
+
+
+@register("recent_events", _STARTS + """,
+k AS (SELECT user_id, session FROM st ORDER BY start DESC, user_id || '/' || session LIMIT 30)
+SELECT n.event_id FROM n JOIN k USING (user_id, session)""")
+def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the thirty latest sessions hold."""
+    e = events(spark, sf_dir)
+    spans = T.sessions_by_gap(e).withColumn("session_id", F.concat_ws("/", "user_id", "session"))
+    inside = e.alias("e").join(spans.alias("s"), (F.col("e.user_id") == F.col("s.user_id")) & F.col("e.ts").between(F.col("s.start"), F.col("s.end"))).select("event_id", "session_id")
+    return T.keep_recent(inside, spans.select("session_id", "start"), 30).select("event_id")

@@ -184,3 +184,13 @@ w AS (SELECT id, list_sort(list_distinct(list_filter(regexp_extract_all(t, '[A-Z
 SELECT id, array_to_string(words, ' ') AS words FROM w WHERE len(words) > 0""")
 def mixed_script_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.mixed_script_words(docs(spark, sf_dir)).select("id", F.array_join("words", " ").alias("words"))
+
+
+#: Rules as they come from a reviewer, one of which is not safe to run.
+RULES = [("licence", "(?i)license"), ("number", "[0-9]{3}[- ][0-9]{4}"), ("repeat", "(a+)+b"), ("signs", "###"), ("no", "xy")]
+
+
+@register("rule_hits", "SELECT doc_id AS path, rule_id FROM documents JOIN (VALUES ('licence', '(?i)license'), ('number', '[0-9]{3}[- ][0-9]{4}'), ('signs', '###')) r(rule_id, pattern) ON regexp_matches(text, pattern)")
+def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "rule_id string, pattern string")
+    return T.apply_rules(docs(spark, sf_dir).select(F.col("id").alias("path"), F.col("text").alias("content")), rules)
