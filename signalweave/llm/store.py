@@ -34,6 +34,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/signalweave-{uuid.uuid4().hex}/{name}"
 
 
+#: Whether Spark deletes an execution's shuffle files when it ends, rather than when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside leaves no shuffle files: its result is on the shared folder."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 #: What ``scratch`` blocks that have not ended have written.
 _scopes: list[list[tuple[SparkSession, str]]] = []
 
@@ -42,7 +60,9 @@ _scopes: list[list[tuple[SparkSession, str]]] = []
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Deletes at its end the tables written inside, but those given to the function that it gives.
 
-    What leaves the block must not be read from the deleted ones later.
+    Nothing that is executed inside, counts and what goes to the driver included,
+    leaves shuffle files.  What leaves the block must not be read from the deleted
+    tables later.
     """
     mine: list[tuple[SparkSession, str]] = []
     kept: set[str] = set()
@@ -52,8 +72,13 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         return df
 
     _scopes.append(mine)
+    spark = SparkSession.getActiveSession()
     try:
-        yield keep
+        if spark is None:
+            yield keep
+        else:
+            with _without_shuffle_files(spark):
+                yield keep
     finally:
         _scopes.pop()
         for spark, path in mine:
@@ -68,24 +93,6 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Whether Spark deletes an execution's shuffle files when it ends, rather than when the driver happens to collect its garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def _without_shuffle_files(spark: SparkSession) -> Iterator[None]:
-    """What is executed inside leaves no shuffle files: its result is on the shared folder."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it again.
 
