@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import corpus_pipeline as pipeline
@@ -92,3 +93,52 @@ def test_stages_take_empty_tables(spark, small):
     none = spark.createDataFrame([], SCHEMA).select(*pipeline.COLUMNS)
     for _, stage in pipeline.STAGES:
         assert stage(spark, none, small).count() == 0
+
+#: Names that stages use themselves, as further columns of the documents.
+CLASHING = ("row", "ranges", "kept", "n_words", "doc_key", "_text", "predicted", "score", "ids", "class_key", "copies")
+SHARED = " ".join(f"s{i}" for i in range(60))
+
+
+def odd_documents(spark, rows):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    return spark.createDataFrame([(i, t, None, None, None, *CLASHING) for i, t in rows], schema)
+
+
+ODD = [(7, "own " + SHARED), (7, SHARED + " end"), (8, "x y " + SHARED + " tail"), (None, SHARED), (None, SHARED), (None, f"p {SHARED} q"), (3, None), (3, None), (4, ""), (5, " \n"), (None, None)]
+
+
+def test_quality_judges_alike_rows_alike(spark, small):
+    there = spark.read.parquet(f"{small}/documents.parquet").select(*pipeline.COLUMNS)
+    docs = odd_documents(spark, ODD).unionByName(there, allowMissingColumns=True)
+    got = pipeline.quality(spark, docs, small)
+    assert tuple(got.columns) == pipeline.COLUMNS
+    kept, given = Counter(map(tuple, got.collect())), Counter(tuple(r) for r in docs.select(*pipeline.COLUMNS).collect())
+    assert 0 < kept.total() < given.total()
+    assert all(n == given[r] for r, n in kept.items())
+
+
+def test_substrings_of_rows_without_or_with_repeated_ids(spark):
+    """Rows of one id leave each other alone, rows without an id come last, rows without text stay as they are."""
+    got = pipeline.substrings(spark, odd_documents(spark, ODD), "")
+    assert set(got.columns) == set(pipeline.COLUMNS)
+    want = [(7, "own " + SHARED), (7, SHARED + " end"), (8, "x y tail"), (None, "p q"), (3, None), (3, None), (4, ""), (5, " \n"), (None, None)]
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in got.collect()) == Counter((i, t, None if t is None else len(t)) for i, t in want)
+
+
+def test_tokens_of_rows_without_or_with_repeated_ids(spark):
+    lib = library()
+    got = pipeline.tokens(spark, odd_documents(spark, ODD), "").collect()
+    want = Counter((i, tuple(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in ODD)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
+    assert all(r.n_tokens == len(r.ids) for r in got)
+
+
+def test_stages_take_texts_of_a_million_words(spark):
+    rng = random.Random(5)
+    long = " ".join(rng.choices([f"w{i}" for i in range(30_000)], k=1_000_000))
+    docs = odd_documents(spark, [(1, long), (2, "head " + long), (3, "short text")])
+    assert sorted((r.doc_id, len(r.text)) for r in pipeline.near_duplicates(spark, docs, "").collect()) == [(1, len(long)), (3, 10)]
+    assert {r.doc_id: r.text for r in pipeline.substrings(spark, docs, "").collect()} == {1: long, 2: "head", 3: "short text"}
+    ids = {r.doc_id: r.ids for r in pipeline.tokens(spark, docs, "").collect()}
+    assert ids[1] == library().encode(long, add_special_tokens=False).ids
+    assert set(ids) == {1, 2, 3}
