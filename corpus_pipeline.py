@@ -2,6 +2,9 @@
 
 Each stage takes the documents that its predecessor kept, written as Parquet
 and read again, and all but the last return the columns of ``documents``.
+
+Every stage gives an empty result for an empty table, takes texts of any length
+whole, and reads the columns of ``documents`` only, whatever others are there.
 """
 
 from __future__ import annotations
@@ -20,7 +23,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the positive-unlabelled classifier accepts."""
+    """Keeps the documents that the positive-unlabelled classifier accepts.
+
+    Null text is scored as empty text.  Rows are judged one by one, by their text
+    alone, so rows alike stay or go together, with or without a doc_id.
+    """
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = pu_quality.train(docs, labels)
@@ -53,7 +60,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out passages of 50 words or more that an earlier document has; documents that keep no word go."""
+    """Takes out passages of 50 words or more that an earlier document has; documents that keep no word go.
+
+    Earlier is a smaller doc_id, and none counts as the largest; rows of one doc_id,
+    or without, take nothing from each other.  Documents that had no word stay as they
+    are, null text included, and n_chars becomes that of what is kept.
+    """
     ship(spark)
     found = superkmer.remove_repeats(docs, keep=("doc_id", "lang", "source"), texts=True)
     kept = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
@@ -82,7 +94,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes every document: doc_id, lang, source, n_tokens, ids, and digests of ids and decoded text."""
+    """Encodes every document: doc_id, lang, source, n_tokens, ids, and digests of ids and decoded text.
+
+    Null text has no ids.  Repeated rows give repeated rows, with or without a doc_id.
+    """
     ship(spark)
     return chunk_bpe.encode_texts(docs, keep=("doc_id", "lang", "source"), texts=True, decoded=False)
 
