@@ -6,6 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of changes that a task handles together; the pairs of so many are dealt to ``PAIR_TASKS`` tasks.
+TASK_ROWS = 1_000_000
+PAIR_TASKS = 4
+
+
+def _tasks(commit_files: DataFrame) -> int | None:
+    """Tasks over which changes are dealt, so that none has more of a larger table; none for a table that one task can take."""
+    n = -(-commit_files.count() // TASK_ROWS)
+    return max(n, commit_files.sparkSession.sparkContext.defaultParallelism) if n > 1 else None
+
+
 def _bounded_commits(commit_files: DataFrame, max_per_commit: int) -> DataFrame:
     """Distinct (repo, sha, path) of commits with at most so many distinct files.
 
@@ -18,10 +29,14 @@ def _bounded_commits(commit_files: DataFrame, max_per_commit: int) -> DataFrame:
 
 def cochange(commit_files: DataFrame, max_per_commit: int = 30, min_n: int = 2) -> DataFrame:
     """(repo, a, b, n): unordered pairs a < b changed in the same commit at least ``min_n`` times."""
-    files = _bounded_commits(commit_files, max_per_commit)
+    tasks = _tasks(commit_files)
+    dealt = commit_files.repartition(tasks, "repo", "sha") if tasks else commit_files
+    files = _bounded_commits(dealt, max_per_commit)
     commits = files.groupBy("repo", "sha").agg(F.sort_array(F.collect_list("path")).alias("paths")).where(F.size("paths") > 1)
     left = commits.select("repo", "paths", F.posexplode("paths").alias("_i", "a"))
     pairs = left.select("repo", "a", F.explode(F.expr("slice(paths, _i + 2, size(paths))")).alias("b"))
+    if tasks:
+        pairs = pairs.repartition(PAIR_TASKS * tasks, "repo", "a", "b")
     return pairs.groupBy("repo", "a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_n)
 
 

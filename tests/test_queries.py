@@ -114,6 +114,15 @@ def test_cochange_leaves_large_commits_out(spark):
     assert totals == {"a": 3, "b": 2}
 
 
+def test_cochange_of_a_larger_table_has_more_tasks_and_the_same_pairs(spark, monkeypatch):
+    files = spark.range(600).selectExpr("'r' AS repo", "id DIV 3 AS sha", "(id * 7) % 11 AS path")
+    few = sorted(tuple(r) for r in history.cochange(files).collect())
+    monkeypatch.setattr(history, "TASK_ROWS", 50)
+    dealt = history.cochange(files)
+    assert dealt.rdd.getNumPartitions() == 12 * history.PAIR_TASKS
+    assert few and sorted(tuple(r) for r in dealt.collect()) == few
+
+
 def test_journal_keeps_one_row_of_a_key_in_force(spark):
     now = F.lit("2030-01-02 00:00:00").cast("timestamp")
     empty = spark.createDataFrame([], journal.JOURNAL)
