@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import hashlib
 import math
 import os
 import random
@@ -119,7 +120,7 @@ def test_cochange_of_a_larger_table_has_more_tasks_and_the_same_pairs(spark, mon
     few = sorted(tuple(r) for r in history.cochange(files).collect())
     monkeypatch.setattr(history, "TASK_ROWS", 50)
     dealt = history.cochange(files)
-    assert dealt.rdd.getNumPartitions() == 12 * history.PAIR_TASKS
+    assert f"{12 * history.PAIR_TASKS}), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
     assert few and sorted(tuple(r) for r in dealt.collect()) == few
 
 
@@ -263,6 +264,23 @@ def test_texts_without_a_token_have_hash_zero(spark):
     assert [got[i] for i in (1, 2, 3)] == [0, 0, 0] and got[4] != 0
 
 
+def test_votes_of_tokens_of_many_texts(spark, monkeypatch):
+    """More tokens than are remembered, and rows that repeat an id; each token is hashed once a text."""
+    monkeypatch.setattr(text, "KNOWN_TOKENS", 3)
+    rng = random.Random(8)
+    rows = [(i // 2, " ".join(rng.choice(["alpha", "beta", "gammaray", "delta", "ёлка", "x1"]) + str(rng.randrange(9)) for _ in range(rng.randrange(30)))) for i in range(40)]
+    want = {}
+    for i in range(20):
+        votes = [0] * 64
+        for t in " ".join(r for k, r in rows if k == i).split():
+            h = int(hashlib.sha1(t[:5].encode()).hexdigest()[:16], 16)
+            votes = [v + (1 if h >> b & 1 else -1) for b, v in enumerate(votes)]
+        h = sum(1 << b for b, v in enumerate(votes) if v > 0)
+        want[i] = h - (1 << 64) if h >> 63 else h
+    got = text.simhash64(spark.createDataFrame(rows, "id bigint, text string"))
+    assert {r.id: r.hash for r in got.collect()} == want
+
+
 def test_heat_halves(spark):
     rows = spark.createDataFrame([("a", "2030-01-01 00:00:00"), ("a", "2030-01-04 00:00:00")], "key string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     got = telemetry.decayed_heat(rows, F.lit("2030-01-04 00:00:00").cast("timestamp")).first()
