@@ -25,13 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from signalweave.llm.bpe import WordEncoder, encoder, tokenizer_path
+from signalweave.llm.bpe import WordEncoder, tokenizer_path
 from signalweave.llm.text import slices
 
 #: A chunk ends where the rolling hash of the last 16 bytes has these bits zero: 512 bytes on average.
 END_BITS = 9
 #: Bytes of chunks that a worker remembers before it starts anew; bounds memory, not results.
-CHUNK_MEMORY = 40 << 20
+CHUNK_MEMORY = 20 << 20
+#: Bytes of words that it remembers; workers live for many tasks and several of them share an executor's memory.
+WORD_MEMORY = 40 << 20
 
 _WS = b" \t\n\v\f\r"
 _TABLE = np.random.default_rng(20240229).integers(1, 2**32, 256, dtype=np.uint32)
@@ -134,7 +136,7 @@ _made: dict[str, ChunkEncoder] = {}
 
 def _encoder(path: str) -> ChunkEncoder:
     if path not in _made:
-        _made[path] = ChunkEncoder(encoder(path))
+        _made[path] = ChunkEncoder(WordEncoder(path, WORD_MEMORY))
     return _made[path]
 
 

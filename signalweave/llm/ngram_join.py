@@ -266,6 +266,12 @@ def may_link(size_a: np.ndarray, pos_a: np.ndarray, size_b: np.ndarray, pos_b: n
     return (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (room >= pair_overlap(a, b, percent))
 
 
+def shared_first(size_a: np.ndarray, pos_a: np.ndarray, size_b: np.ndarray, pos_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets can link whose first common shingle has these positions: all that they share stands there or later."""
+    a, b = size_a.astype(np.int64), size_b.astype(np.int64)
+    return np.minimum(a - pos_a, b - pos_b) >= pair_overlap(a, b, percent)
+
+
 def _lists(prefixes: DataFrame, percent: int) -> DataFrame:
     """kind 0: the index lists with two or more sets (token, f1, size, pos); kind 1: pairs (token, f1) of near neighbours in a list."""
     names = ["kind", "token", "f1", "size", "pos"]
@@ -330,7 +336,11 @@ def list_pairs(size: np.ndarray, pos: np.ndarray, label: np.ndarray, percent: in
 
 
 def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b): candidate pairs of sets in different classes; ``lists`` has columns label and a bitmap of half the width, h0 and on."""
+    """(a, b): candidate pairs of sets in different classes; ``lists`` has columns label and a bitmap of half the width, h0 and on.
+
+    A pair that links is found in the list of its first common shingle, so each list gives
+    only the pairs that could link if its shingle were their first.
+    """
     half = [f"h{i}" for i in range(BITMAP // 2)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,33 +363,40 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
             longer = lengths > BLOCK
             for lo, hi in zip(cuts[:-1][longer].tolist(), cuts[1:][longer].tolist(), strict=True):
                 i, j = list_pairs(size[lo:hi], pos[lo:hi], label[lo:hi], percent)
-                yield from add(held, i + lo, j + lo, f1, size, bits)
+                yield from add(held, i + lo, j + lo, f1, size, pos, bits)
             small = np.flatnonzero(np.repeat(~longer, lengths))
             for step in range(1, int(lengths[~longer].max(initial=1))):
                 i = small[:-step][small[step:] - small[:-step] == step]
                 i = i[(token[i] == token[i + step]) & (label[i] != label[i + step])]
                 j = i + step
                 ok = may_link(size[i], pos[i], size[j], pos[j], percent)
-                yield from add(held, i[ok], j[ok], f1, size, bits)
+                yield from add(held, i[ok], j[ok], f1, size, pos, bits)
 
         if held:
-            yield from told(held)
+            yield told(pd.concat(held).drop_duplicates())
 
-    def told(held: list[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
-        rows = pd.concat(held).drop_duplicates()
-        held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(rows["a"].to_numpy()), pa.array(rows["b"].to_numpy())], names=["a", "b"])
+    def told(rows: pd.DataFrame) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows["a"].to_numpy()), pa.array(rows["b"].to_numpy())], names=["a", "b"])
 
-    def add(held: list[pd.DataFrame], i: np.ndarray, j: np.ndarray, f1: np.ndarray, size: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(held: list[pd.DataFrame], i: np.ndarray, j: np.ndarray, f1: np.ndarray, size: np.ndarray, pos: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(i), 1 << 16):
             x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            ok = shared_first(size[x], pos[x], size[y], pos[y], percent)
+            x, y = x[ok], y[ok]
             total = size[x].astype(np.int64) + size[y]
             apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
             ok = apart <= total - 2 * pair_overlap(total, 0, percent)
             a, b = f1[x[ok]], f1[y[ok]]
+            if not len(a):
+                continue
             held.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates())
             if sum(map(len, held)) > HELD_PAIRS:
-                yield from told(held)
+                # Pairs are told before the end only where there are many different ones.
+                rows = pd.concat(held).drop_duplicates()
+                held[:] = [rows]
+                if 2 * len(rows) > HELD_PAIRS:
+                    held.clear()
+                    yield told(rows)
 
     dealt = lists.repartition("token").sortWithinPartitions("token")
     return dealt.select("token", "f1", "size", "pos", "label", *half).mapInArrow(run, "a bigint, b bigint").distinct()

@@ -122,6 +122,45 @@ def test_list_pairs_keeps_all_that_may_link():
         assert got == want
 
 
+def test_pairs_between_classes_are_told_once_a_task_and_by_their_first_shingle(spark):
+    # Two classes of 40 sets that share 100 shingles of 160, too few to link: their first common shingle stands too late.
+    rows, order = [], {}
+    for k in range(80):
+        own = [f"{k % 2}-{i}" for i in range(58)] + [f"{k}-{i}" for i in range(2)]
+        shared = [f"s{i}" for i in range(100)]
+        order[k] = own + shared
+    number = {t: i for i, t in enumerate(sorted({t for o in order.values() for t in o}, key=lambda t: (t[0] == "s", t)))}
+    for k, tokens in order.items():
+        placed = sorted(number[t] for t in tokens)
+        rows += [(t, k, 160, p, k % 2, 0, 0, 0, 0) for p, t in enumerate(placed[: 160 - 128 + 60])]
+    lists = spark.createDataFrame(rows, "token bigint, f1 bigint, size int, pos int, label bigint, h0 bigint, h1 bigint, h2 bigint, h3 bigint")
+    assert ngram_join._cross_pairs(lists, 80).count() == 0
+    # Sets of two classes that begin alike: the first of their common shingles tells the pair.
+    near = [(t, f1, 100, t, f1, 0, 0, 0, 0) for f1 in (1, 2) for t in range(21)]
+    assert [tuple(r) for r in ngram_join._cross_pairs(spark.createDataFrame(near, lists.schema), 80).collect()] == [(1, 2)]
+
+
+def test_remembered_words_of_the_chunk_encoder_are_few():
+    coder = chunk_bpe._encoder(tokenizer_path())
+    assert 2 * coder.words.words.limit + 2 * coder.words.pieces.limit + chunk_bpe.CHUNK_MEMORY <= 70 << 20
+
+
+def test_shared_first_keeps_every_pair_that_links():
+    rng = np.random.default_rng(4)
+    linked = 0
+    for _ in range(3000):
+        percent, base = int(rng.integers(40, 96)), rng.permutation(200)[: rng.integers(1, 60)]
+        a = np.unique(np.concatenate([base, rng.integers(0, 200, rng.integers(0, 6))]))
+        b = np.unique(np.concatenate([base, rng.integers(0, 200, rng.integers(0, 6))]))
+        common = np.intersect1d(a, b)
+        if 100 * len(common) >= percent * (len(a) + len(b) - len(common)):
+            linked += 1
+            at = [np.array([np.searchsorted(x, common[0])]) for x in (a, b)]
+            assert all(p[0] <= len(x) - ngram_join.min_overlap(len(x), percent) for p, x in zip(at, (a, b), strict=True))
+            assert ngram_join.shared_first(np.array([len(a)]), at[0], np.array([len(b)]), at[1], percent).all()
+    assert linked > 500
+
+
 def library():
     from tokenizers import Tokenizer
 
