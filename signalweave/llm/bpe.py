@@ -4,7 +4,8 @@ The tokenizer drops white space before it cuts text into pieces, so no token
 crosses an ASCII space: the ids of a text are the ids of its words in order.
 Words of letters, digits and signs from ASCII and Latin-1 / Latin Extended-A
 are cut by an equivalent pattern and given to the library's BPE model at once;
-every other word goes through the library's whole encoder.
+every other word goes through the library's whole encoder.  ``BatchEncoder``
+takes many texts at once, and each of their distinct words once.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import sys
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from signalweave.llm.text import Words, mixed
 
@@ -294,3 +297,108 @@ def byte_encoder(path: str) -> ByteEncoder:
     if path not in _byte_encoders:
         _byte_encoders[path] = ByteEncoder(path)
     return _byte_encoders[path]
+
+
+#: What two bytes in a row say of a word: that a piece ends between them, or that the word is not plain.
+_CUT, _ODD = 1, 2
+
+
+def _pair_marks() -> np.ndarray:
+    """The marks of two bytes, at 256 * first + second, where line feeds part words."""
+    kind = np.full(256, 3, np.uint8)
+    kind[0x0A] = 0
+    kind[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+    kind[0x30:0x3A] = 2
+    first, second = np.divmod(np.arange(1 << 16), 256)
+    cut = (kind[first] > 0) & (kind[second] > 0) & ((kind[first] != kind[second]) | (kind[second] == 2))
+    # As in ``_LATIN``: U+00C0 to U+012F without the signs of multiplication and division.
+    latin = (first == 0xC3) & (second >= 0x80) & (second < 0xC0) & ~np.isin(second, [0x97, 0xB7])
+    latin |= (first == 0xC4) & (second >= 0x80) & (second < 0xB0)
+    begins = (second > 0x20) & (second < 0x7F) | np.isin(second, [0x0A, 0xC3, 0xC4])
+    odd = np.where(np.isin(first, [0xC3, 0xC4]), ~latin, ~begins)
+    odd |= (first == ord("'")) & np.isin(second, list(b"stmdrvlSTMDRVL"))
+    odd |= (first == ord("<")) & (second == ord("|"))
+    return (cut * _CUT + odd * _ODD).astype(np.uint8)
+
+
+class BatchEncoder:
+    """Texts -> ids as uint16, for the tokenizers of ``WordEncoder``; of equal words in a call one is encoded.
+
+    Plain words are cut into pieces by their bytes, and all pieces encoded
+    together, with a line feed for the vocabulary's mark of a word's end.  Words of
+    other letters, those that may hold a contraction or a special token, and long
+    ones go to ``WordEncoder`` one by one.  No plain word is remembered between calls.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        self.words = encoder(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocabulary, mark, letters = model["vocab"], model.get("end_of_word_suffix"), _byte_letters()
+        merged = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in model["merges"]]
+        if not mark or merged != sorted(set(merged)) or merged[0] <= max(vocabulary.get(x, len(vocabulary)) for c in letters for x in (c, c + mark)):
+            raise ValueError(f"{path} is not a vocabulary of words in the order of its merges")
+        byte_of = {c: b for b, c in enumerate(letters)}
+        ranks = {}
+        for token, i in vocabulary.items():
+            last = token.endswith(mark)
+            raw = bytes(map(byte_of.__getitem__, token[: -len(mark)] if last else token))
+            if b"\n" not in raw:
+                ranks[raw + b"\n" * last] = i
+        self.ranked = tiktoken.Encoding("pieces", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={})
+        self.last = np.zeros(max(ranks.values()) + 1, bool)
+        self.last[[i for raw, i in ranks.items() if raw.endswith(b"\n")]] = True
+        self.marks = _pair_marks()
+
+    def _table(self, words: pa.StringArray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """The ids of distinct words, and the place of each word's there."""
+        n = len(words)
+        offsets = np.frombuffer(words.buffers()[1], "<i4", n + 1, 4 * words.offset)
+        raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        lengths = np.diff(offsets)
+        codes = np.insert(raw, offsets[1:], 0x0A)
+        pairs = codes.astype(np.uint16)
+        pairs[1:] |= pairs[:-1] << np.uint16(8)
+        pairs[:1] |= 0x0A00
+        marks = self.marks[pairs]
+        odd = (lengths == 0) | (lengths > _LONG)
+        odd[np.searchsorted(offsets[1:] + np.arange(n), np.flatnonzero(marks & _ODD))] = True
+        single = np.flatnonzero(odd)
+        if len(single):
+            kept = np.repeat(~odd, lengths + 1)
+            codes, marks, lengths = codes[kept], marks[kept], lengths[~odd]
+        cuts = np.flatnonzero(marks & _CUT)
+        pieces = np.insert(codes, cuts, 0x0A).tobytes().decode().lower()
+        ids = self.ranked.encode_to_numpy(pieces, disallowed_special=()).astype("<u2")
+        # A word ends with the last of its pieces, a piece with an id that holds the mark.
+        ends = np.cumsum(lengths + 1)
+        stops = (np.flatnonzero(self.last[ids]) + 1)[np.arange(len(ends)) + np.searchsorted(cuts, ends)]
+        plain = pa.Array.from_buffers(pa.large_binary(), len(stops), [None, pa.py_buffer(np.concatenate([[0], 2 * stops]).astype("<i8")), pa.py_buffer(ids)])
+        others = [self.words._word(w) for w in words.take(pa.array(single)).cast(pa.binary()).to_pylist()]
+        place = np.empty(n, np.int64)
+        place[~odd], place[single] = np.arange(len(stops)), len(stops) + np.arange(len(single))
+        return pa.concat_arrays([plain, pa.array(others, pa.large_binary())]), place
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, in order, and how many of them come before each text and in all; null is empty."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        words = split.flatten().dictionary_encode()
+        table, place = self._table(words.dictionary)
+        found = table.take(pa.array(place[words.indices.to_numpy()]))
+        offsets = np.frombuffer(found.buffers()[1], "<i8", len(found) + 1, 8 * found.offset) // 2
+        ids = np.frombuffer(found.buffers()[2] or b"", "<u2", offsets[-1])
+        first = split.offsets.to_numpy()
+        return ids, offsets[first - first[0]]
+
+
+_batch_encoders: dict[str, BatchEncoder] = {}
+
+
+def batch_encoder(path: str) -> BatchEncoder:
+    """One per Python worker, which Spark keeps for many tasks."""
+    if path not in _batch_encoders:
+        _batch_encoders[path] = BatchEncoder(path)
+    return _batch_encoders[path]

@@ -26,22 +26,25 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalweave.llm.bpe import encoder, tokenizer_path
+from signalweave.llm.bpe import batch_encoder, tokenizer_path
 from signalweave.llm.store import new_path
-from signalweave.llm.text import slices
 
 MAGIC = b"SWWM0001"
 #: Bits that one entry of a plane's rank directory stands for.
 BLOCK = 512
 #: Ids that close a shard once reached; a longer document makes a longer shard.
 SHARD_TOKENS = 1 << 20
+#: Text that is encoded in one step, in bytes; a longer text is a step of its own, with what comes after it.
+STEP_BYTES = 8 << 20
 
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -180,31 +183,46 @@ def unpack_shard(raw: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatri
     return ids, lengths, WaveletMatrix.from_bytes(raw[12 + 13 * n :])
 
 
+def _steps(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch of doc_id and text where another ``limit`` bytes of text are full."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(sizes // limit)) + 1
+    for a, b in pairwise([0, *cuts.tolist(), batch.num_rows]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def write_token_shards(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> str:
     """Writes shards and manifest below ``path`` and returns it."""
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
     tokenizer = tokenizer or tokenizer_path()
-    end = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part = encoder(tokenizer), TaskContext.get().partitionId()
+        coder, part = batch_encoder(tokenizer), TaskContext.get().partitionId()
         doc_ids, lengths, held, size, seq = [], [], [], 0, 0
 
         def shard() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u2")
+            ids = np.concatenate(held)
             raw = pack_shard(doc_ids, lengths, ids)
             arrays = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(doc_ids)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([raw], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, names=["part", "seq", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
-            for rows, raws in slices(batch):
-                for doc_id, raw in zip(rows.column(0).to_pylist(), raws, strict=True):
-                    ids = coder.encode(raw) + end
-                    doc_ids.append(doc_id)
-                    lengths.append(len(ids) // 2)
-                    held.append(ids)
-                    size += len(ids) // 2
+            for rows in _steps(batch, STEP_BYTES):
+                ids, bounds = coder.encode(rows.column(1))
+                ids = np.insert(ids, bounds[1:], end_id)
+                numbers, counts = rows.column(0).to_pylist(), np.diff(bounds) + 1
+                ends, first, begin = np.cumsum(counts), 0, 0
+                while first < len(ends):
+                    # To the document that fills the shard, or to the end of the step.
+                    last = min(int(np.searchsorted(ends, begin + shard_tokens - size)) + 1, len(ends))
+                    end = int(ends[last - 1])
+                    doc_ids += numbers[first:last]
+                    lengths += counts[first:last].tolist()
+                    held.append(ids[begin:end])
+                    size += end - begin
+                    first, begin = last, end
                     if size >= shard_tokens:
                         yield shard()
                         doc_ids, lengths, held, size, seq = [], [], [], 0, seq + 1

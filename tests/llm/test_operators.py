@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -10,11 +11,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from signalweave.llm import chunk_bpe, ecoc_lang, entropy_mix, extendible, mcd_rules, ngram_join, pu_quality, spotsigs, superkmer, wavelet
-from signalweave.llm.bpe import WordEncoder, tokenizer_path
+from signalweave.llm.bpe import BatchEncoder, WordEncoder, tokenizer_path
 from signalweave.llm.text import Words, gram_hashes, sliding_min
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, label string"
@@ -214,6 +216,79 @@ def test_only_words_not_lately_remembered_are_looked_at_one_by_one(monkeypatch):
     assert asked == [b"New", b"new"] and pieces == ["new", "new"]
 
 
+def test_each_distinct_word_of_a_batch_is_encoded_once(monkeypatch):
+    coder, asked, given = BatchEncoder(tokenizer_path()), [], []
+    one, ranked = coder.words._word, coder.ranked
+    monkeypatch.setattr(coder.words, "_word", lambda w: asked.append(w) or one(w))
+    monkeypatch.setattr(coder, "ranked", type("", (), {"encode_to_numpy": lambda _, t, **k: given.append(t) or ranked.encode_to_numpy(t, **k)})())
+    texts = [" New words&& ", None, "", "\n", "don't 日本語 New", *["words&& New Ünïque 日本語\fx1y22"] * 50]
+    ids, bounds = coder.encode(pa.array(["left out", *texts])[1:])
+    want = [library().encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want and bounds[0] == 0
+    assert given == ["new\nwords\n&&\nünïque\nx\n1\ny\n2\n2\n"] and sorted(asked) == sorted([b"", b"don't", "日本語".encode()])
+    for nothing in ([], [None], ["", " \t"]):
+        ids, bounds = coder.encode(pa.array(nothing, pa.large_string()))
+        assert len(ids) == 0 and bounds.tolist() == [0] * (len(nothing) + 1)
+
+
+def test_batches_are_encoded_as_by_the_library():
+    rng, lib, coder = random.Random(8), library(), BatchEncoder(tokenizer_path())
+    signs = [chr(c) for c in [*range(256), *range(0x100, 0x138), 0x17F, 0x212A, 0x301, 0x4E00, 0x2003, 0x1F600]]
+    vocabulary = [k.replace("</w>", rng.choice(["", " "])) for k in rng.sample(sorted(lib.get_vocab()), 6000) if k.replace("</w>", "").isascii()]
+    texts = [*odd_texts(), *TRICKY, "".join(vocabulary), "y" * 255 + " " + "y" * 256, "\x1c \x1d\x1e\x1f\x85\xa0a", "it'S 's x's ''s <| <|EndOfText|>|>", "aaaaa aaaaaaaa bababab 0007"]
+    texts += ["".join(rng.choices([*"abcdefgth"] * 4 + [" "] * 9 + signs, k=300)) for _ in range(150)]
+    texts += [f"{a}{b} x{a}{b}y" for a in signs[:0x130] for b in "a1!'é \n"]
+    ids, bounds = coder.encode(pa.array(texts))
+    for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert ids[a:b].tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
+    cut = [b"\xc3", b"a\xc3 \xa9", b"\xc3\xc3\xa9", b"\xc4\xb0 \xc4\xaf\xaf", b"\xe9t\xe9"]
+    ids, bounds = coder.encode(pa.Array.from_buffers(pa.string(), len(cut), pa.array(cut).buffers()))
+    assert [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [coder.words.encode(t) for t in cut]
+
+
+def test_every_token_of_the_vocabulary_is_reached_by_its_merges():
+    """Then no two tokens that make a third when joined meet but by that third's own merge, and any encoder by ranks gives the ids of one by merges."""
+    read = json.loads(open(tokenizer_path(), encoding="utf-8").read())["model"]
+    rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(read["merges"])}
+    for token in read["vocab"]:
+        parts = list(token.removesuffix("</w>"))
+        if token.endswith("</w>"):
+            parts[-1:] = [parts[-1] + "</w>"]
+        while len(parts) > 1:
+            pairs = [(rank.get(p, len(rank)), i) for i, p in enumerate(zip(parts, parts[1:], strict=False))]
+            best, i = min(pairs)
+            assert best < len(rank), token
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert parts == [token]
+
+
+def test_vocabularies_of_another_kind_are_refused():
+    with pytest.raises(ValueError, match="not a vocabulary of words"):
+        BatchEncoder(tokenizer_path("byte_bpe_50k.json"))
+
+
+def test_shards_end_with_the_document_that_fills_them(spark):
+    texts = ["a b c", None, "d e f g", "x " * 40, "", "a", "b c"]
+    path = wavelet.write_token_shards(spark.createDataFrame(rows_of(texts), SCHEMA).coalesce(1), shard_tokens=9)
+    spans = spark.read.parquet(f"{path}/manifest").orderBy("part", "seq").collect()
+    begins = list(np.cumsum([0, 4, 1, 5, 41, 1, 2, 3]))
+    assert [r.start for r in spans] == list(np.cumsum([0, *[r.n_tokens for r in spans[:-1]]])) and sum(r.n_tokens for r in spans) == begins[-1]
+    assert all(r.start in begins for r in spans)
+    for r in spans:  # but for its last document no shard is full
+        inside = [b for b in begins if r.start < b < r.start + r.n_tokens]
+        assert not inside or inside[-1] - r.start < 9
+
+
+def test_steps_hold_all_rows_in_order():
+    texts = [None, "", "abc", "d" * 25, "", "e" * 4, "f" * 9, None, "gh"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], names=["doc_id", "text"])
+    for limit in (1, 5, 10, 1000):
+        steps = list(wavelet._steps(batch, limit))
+        assert [x for s in steps for x in s.column(1).to_pylist()] == texts and all(s.num_rows for s in steps)
+        assert all(sum(len(t or "") for t in s.column(1).to_pylist()[1:]) <= limit for s in steps)
+    assert list(wavelet._steps(batch.slice(0, 0), 5)) == []
+
+
 def test_wavelet_matrix_bytes_are_those_of_a_plain_build():
     rng = np.random.default_rng(3)
     for n in (0, 1, 511, 512, 513, 3000):
