@@ -264,6 +264,20 @@ def test_texts_without_a_token_have_hash_zero(spark):
     assert [got[i] for i in (1, 2, 3)] == [0, 0, 0] and got[4] != 0
 
 
+@pytest.mark.parametrize("name", ["simhash64", "near_clones", "greedy_clones"])
+def test_clones_of_odd_texts_equal_sql(spark, tmp_path, name):
+    """Letters whose lower case is special, texts that are null or without a token, and negative ids."""
+    rng = random.Random(3)
+    words = ["alpha", "beta", "İstanbul", "aİb", "İ", "ı", "KELVIN", "\u212aelvin", "ſtreet", "ΣΑΣ", "ẞETA", "éa", "ДОМ", "ЁЛКА", "x\0yz", "日本", "١٢٣", "ﬁne", "😀", "a\u00adbc", "n\r\nm"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 5)))) for i in range(-300, 300)] + [(300, None), (301, ""), (302, " ")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(registry.oracle_sql()[name])
+    got = registry.queries()[name](spark, str(tmp_path)).select(want.columns)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
+
+
 def test_votes_of_tokens_of_many_texts(spark, monkeypatch):
     """More tokens than are remembered, and rows that repeat an id; each token is hashed once a text."""
     monkeypatch.setattr(text, "KNOWN_TOKENS", 3)
