@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import glob
 import hashlib
+import itertools
 import math
 import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,6 +320,62 @@ def test_greedy_dedupe_of_a_long_chain(spark):
     assert got.where(F.col("kept") == (F.col("id") % 2 == 0)).count() == 10_001
 
 
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+@pytest.mark.parametrize(("few", "crowd"), [(0, 1_000_000), (0, 7), (40, 7), (1000, 7)])
+def test_greedy_hashes_is_a_scan_of_all_pairs(spark, few, crowd):
+    """By rounds alone, with keys in parts, and with the rest or all by a list of pairs."""
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(5)]
+    hashes = [rng.choice(base) ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(6))) for _ in range(250)] + [rng.getrandbits(64) for _ in range(50)]
+    first, kept = {}, {}
+    for i, h in enumerate(hashes):
+        first.setdefault(h, i)
+    for h, i in first.items():
+        kept[i] = not any(kept[j] and (h ^ g).bit_count() <= 4 for g, j in first.items() if j < i)
+    rows = spark.createDataFrame([(i, signed(h)) for i, h in enumerate(hashes)], "id bigint, hash bigint")
+    assert {r.id: r.kept for r in text.greedy_hashes(rows, few=few, crowd=crowd).collect()} == kept
+
+
+def test_greedy_hashes_of_a_long_chain(spark):
+    """Each hash is near to the one before it and the one after it alone, which rounds are slow on."""
+    hashes = [0]
+    for i in range(400):
+        step = [(3 * i + k) % 64 for k in range(3)]
+        hashes.append(hashes[-1] ^ sum(1 << b for b in step))
+    kept, seen = {}, {}
+    for i, h in enumerate(hashes):
+        if h not in seen:
+            seen[h] = i
+            kept[i] = not any(kept[j] and (h ^ g).bit_count() <= 4 for g, j in seen.items() if j < i)
+    rows = spark.createDataFrame([(i, signed(h)) for i, h in enumerate(hashes)], "id bigint, hash bigint")
+    assert {r.id: r.kept for r in text.greedy_hashes(rows, few=0).collect()} == kept
+
+
+def test_greedy_clones_lists_no_pairs_of_a_large_group(spark, small, monkeypatch):
+    """2,016 hashes of which each two are near, hence two million pairs."""
+    group = [(i, signed((1 << 63) ^ (1 << a) ^ (1 << b))) for i, (a, b) in enumerate(itertools.combinations(range(64), 2))]
+    hashes = spark.createDataFrame([*group, (5000, 0x0F0F0F0F0F0F0F0F), (5001, 0x0F0F0F0F0F0F0F0F), (None, 0x00FF00FF00FF00FF)], "id bigint, hash bigint")
+    monkeypatch.setattr(text, "simhash64", lambda docs: hashes)
+    monkeypatch.setattr(text, "near_hashes", lambda *a: pytest.fail("pairs are listed"))
+    monkeypatch.setattr(text, "FEW", 0)
+    got = {r.id: r.kept for r in registry.queries()["greedy_clones"](spark, small).collect()}
+    assert len(got) == 2018 and {i for i, k in got.items() if k} == {0, 5000, None}
+
+
+def test_hashes_beaten_in_a_large_group():
+    """Several tiles of sources and of targets, against all pairs."""
+    rng = np.random.default_rng(4)
+    hashes = np.bitwise_or.reduce([np.uint64(1) << rng.integers(0, 40, 6000).astype(np.uint64) for _ in range(5)])
+    source, target = rng.random(6000) < 0.3, rng.random(6000) < 0.8
+    near = (np.bitwise_count(hashes[:, None] ^ hashes[None, :]) <= 2) & (hashes[:, None] != hashes[None, :])
+    want = (np.tril(near, -1) & source[None, :]).any(axis=1) & target
+    assert 0 < want.sum() < target.sum()
+    assert sorted(text._beaten_in_group(hashes, source, target, 2).tolist()) == np.flatnonzero(want).tolist()
+
+
 def test_recent_rows_and_even_samples(spark):
     rows = spark.createDataFrame([(s, i) for s in "abc" for i in range(3)], "session_id string, i int")
     sessions = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "session_id string, start int")
