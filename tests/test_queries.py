@@ -320,6 +320,21 @@ def test_greedy_dedupe_of_a_long_chain(spark):
     assert got.where(F.col("kept") == (F.col("id") % 2 == 0)).count() == 10_001
 
 
+def test_greedy_dedupe_of_large_and_small_components_together(spark):
+    """A small component stays in one task when the large ones are left out by a join that Spark turns into a broadcast."""
+    chains = [(i, i + 1) for i in range(1500) if i % 5 < 4]
+    pairs = spark.createDataFrame(chains + [(a, b) for b in range(2000, 2060) for a in range(2000, b)], "a bigint, b bigint")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "32k"}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = text.greedy_dedupe(pairs.selectExpr("explode(array(a, b)) AS id"), pairs, scanned=1000).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert sorted((r.id, r.kept) for r in got) == [(i, i % 5 % 2 == 0) for i in range(1500)] + [(i, i == 2000) for i in range(2000, 2060)]
+
+
 def signed(h):
     return h - (1 << 64) if h >> 63 else h
 
