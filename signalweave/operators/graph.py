@@ -321,9 +321,11 @@ def components(links: DataFrame) -> DataFrame:
         levels.append(found.select("node", "least"))
         many = found.where(F.size("roots") > 1)
         left = many.select(F.explode("roots").alias("a"), F.col("least").alias("b")).where("a != b").distinct()
-        if many.isEmpty():
+        n = many.agg(F.sum(F.size("roots") - 1)).first()[0]
+        if not n:
             break
-        left = left.repartition("b")
+        # What a task joins at once is one round's work there; dealt out, a chain of roots would take a round for each link.
+        left = left.repartition(1) if n <= LOCAL_LINKS else left.repartition("b")
     out = levels.pop()
     while levels:
         below = levels.pop()

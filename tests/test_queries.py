@@ -235,6 +235,19 @@ def test_components_of_a_long_chain(spark):
     assert {r.node: r.component for r in got} == {i: 0 for i in range(3001)} | {9000: 9000, 9001: 9000}
 
 
+def test_components_of_a_mixed_chain_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    roots = graph._roots
+    monkeypatch.setattr(graph, "_roots", lambda links: rounds.append(1) or roots(links) if len(rounds) < 5 else pytest.fail("too many rounds"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = spark.createDataFrame([((i * 7919) % 3000, (i * 7919) % 3000 + 1) for i in range(3000)], "a bigint, b bigint").repartition(4, "a")
+        got = {(r.node, r.component) for r in graph.components(links).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {(i, 0) for i in range(3001)}
+
+
 def test_links_without_their_nodes_are_dropped(spark):
     edges = spark.createDataFrame([("r", 1, 2), ("r", 2, 3), ("s", 1, 2)], "repo string, src int, dst int")
     nodes = spark.createDataFrame([("r", 1), ("r", 2), ("s", 1)], "repo string, node int")
